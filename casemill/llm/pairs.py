@@ -63,9 +63,9 @@ for _n, _l in enumerate(_LANGUAGES):
 def language_counts(text: str) -> list[int]:
     """Function words of each language of FUNCTION_WORDS in a text."""
     counts = [0] * len(_LANGUAGES)
-    for w in _WORD.findall(text.lower()):
-        for n in _OF_WORD.get(w, ()):
-            counts[n] += 1
+    for w, n in Counter(filter(_OF_WORD.__contains__, _WORD.findall(text.lower()))).items():
+        for k in _OF_WORD[w]:
+            counts[k] += n
     return counts
 
 
@@ -191,21 +191,19 @@ def _defect(prompt: str | None, response: str | None, copies: _Copies, ends: np.
         return "other_language"
     if complete is False:
         return "truncated"
-    refusal = bool(_REFUSAL.search(text))
-    ratio = copies.ratio(_plain(prompt), _plain(text)) if prompt else 1.0
-    if ratio <= COPY_RATIO and not ruled and not refusal:
+    # A response with a ruling is sound or cut off: what follows costs the most and is only asked of the others.
+    refusal = not ruled and bool(_REFUSAL.search(text))
+    if not ruled and not refusal and prompt and copies.ratio(_plain(prompt), _plain(text)) <= COPY_RATIO:
         return "copies_question"
     if complete is None:
-        line = text.strip().split("\n")[-1]
+        line = text.strip().rpartition("\n")[2]
         *_, (key, _) = _contexts(line)
         chance, ended = ends[_bucket(*key)], bool(_SENTENCE_END.search(line))
         if chance != chance:  # never seen
             chance = 1.0 if ended else 0.0
         if chance < (BOUNDARY_CHANCE_RULED if key[0] else BOUNDARY_CHANCE):
-            return "truncated" if not (refusal and ended) else "refusal"
-    if ruled:
-        return None
-    return "refusal"
+            return "refusal" if refusal and ended else "truncated"
+    return None if ruled else "refusal"
 
 
 def copy_ratios(df: DataFrame, id_col: str, prompt_col: str, response_col: str) -> DataFrame:
