@@ -8,8 +8,8 @@ documents with full gradients that are summed over the partitions after each rou
 
 from __future__ import annotations
 
+import pickle
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -131,7 +131,7 @@ class _Batch:
                         spelled.append(buckets(w))
                     ids.append(known[w])
         self.docs = len(kept)
-        self.ids, self.sizes, self.per_doc = np.array(ids, np.int64), np.array(sizes), np.array(per_doc)
+        self.ids, self.sizes, self.per_doc = np.array(ids, np.int32), np.array(sizes, np.int64), np.array(per_doc, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]) if sizes else np.empty(0, np.int64)
         self.doc_first = np.concatenate([[0], np.cumsum(self.per_doc)[:-1]]) if per_doc else np.empty(0, np.int64)
         self.doc_of = np.repeat(np.arange(self.docs), self.per_doc) if self.docs else np.empty(0, np.int64)
@@ -147,58 +147,60 @@ class _Batch:
         sentence for the labels that a document has."""
         outputs = len(model.bias)
         words = np.add.reduceat(model.table[self.flat], self.starts, axis=0) / self.lengths[:, None]
-        adds = words @ model.weights
+        adds = (words @ model.weights).astype(np.float32)
         z = np.add.reduceat(adds[self.ids], self.first, axis=0) / self.sizes[:, None] * SCALE + model.bias
-        g = np.zeros_like(z)
-        for k in range(outputs):
-            order = np.lexsort((-z[:, k], self.doc_of))
-            best, second = order[self.doc_first], order[self.doc_first + SENTENCES - 1]
-            yes = self.y[:, k] > 0
-            g[second, k] += (1 / (1 + np.exp(-z[second, k])) - self.y[:, k]) * np.where(yes, 1, ABSENT)
-            if warm:
-                g[best[yes], k] += 1 / (1 + np.exp(-z[best[yes], k])) - 1
-        per_word = g / self.sizes[:, None] * SCALE
-        spread = np.repeat(per_word, self.sizes, axis=0)
-        d_adds = np.stack([np.bincount(self.ids, spread[:, k], len(self.lengths)) for k in range(outputs)], axis=1)
+        best = np.maximum.reduceat(z, self.doc_first, axis=0)
+        is_best = z == best[self.doc_of]
+        others = np.where(is_best, -np.inf, z)
+        second = np.maximum.reduceat(others, self.doc_first, axis=0)
+        chance = 1 / (1 + np.exp(-np.where(np.isfinite(second), second, -30.0)))
+        pull = (chance - self.y) * np.where(self.y > 0, 1, ABSENT)
+        g = np.where((others == second[self.doc_of]) & np.isfinite(others), pull[self.doc_of], 0)
+        if warm:
+            g += np.where(is_best, ((1 / (1 + np.exp(-best)) - 1) * self.y)[self.doc_of], 0)
+        d_adds = np.zeros((len(self.lengths), outputs))
+        for k in range(outputs):  # only the sentences that move the output
+            s = np.flatnonzero(g[:, k])
+            size = self.sizes[s]
+            at = np.repeat(self.first[s] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            d_adds[:, k] = np.bincount(self.ids[at], np.repeat(g[s, k] / size * SCALE, size), len(self.lengths))
         d_words = (d_adds @ model.weights.T) / self.lengths[:, None]
         wide = np.repeat(d_words, self.lengths, axis=0)
         d_table = np.stack([np.bincount(self.flat, wide[:, j], BUCKETS) for j in range(WIDTH)], axis=1)
         return [x.astype(np.float32) for x in (d_table, words.T @ d_adds, g.sum(axis=0))]
 
 
-_batches: dict[str, _Batch] = {}
-
-
 def train(examples: DataFrame, outputs: int, seed: int = 0) -> Model:
     """Fits a model. examples: part int, text string, labels array<int>; at most TRAIN_DOCUMENTS rows, by part. In each
     round every partition returns one gradient, whose size is fixed, and the sum moves the model (Adam)."""
-    model, run = Model(outputs, seed), uuid.uuid4().hex
+    model = Model(outputs, seed)
     sc = examples.sparkSession.sparkContext
-    laid = cut(examples.repartition(TRAIN_PARTITIONS, "part").sortWithinPartitions("part", F.xxhash64("text")))
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"part": [], "text": [], "labels": []})])
+        for part, own in rows.groupby("part"):
+            yield pd.DataFrame({"part": [part], "batch": [pickle.dumps(_Batch(own.text.tolist(), [list(x) for x in own.labels], outputs))]})
+
+    laid = examples.repartition(TRAIN_PARTITIONS, "part").sortWithinPartitions("part", F.xxhash64("text"))
+    ready = cut(laid.mapInPandas(prepare, "part int, batch binary"))
     means, squares = ([np.zeros_like(p) for p in model.parts()] for _ in range(2))
     for step in range(ROUNDS):
         shared = sc.broadcast((model, step < ROUNDS // 2))  # about a megabyte
 
         def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            rows = pd.concat(list(batches) or [pd.DataFrame({"part": [], "text": [], "labels": []})])
             now, warm = shared.value
-            for part, own in rows.groupby("part"):
-                key = f"{run}-{part}"
-                batch = _batches.get(key)
-                if batch is None:
-                    if len(_batches) > 2 * TRAIN_PARTITIONS:
-                        _batches.clear()
-                    batch = _batches[key] = _Batch(own.text.tolist(), [list(x) for x in own.labels], outputs)
-                if batch.docs:
-                    d = batch.gradient(now, warm)
-                    yield pd.DataFrame({"docs": [batch.docs], "g": [b"".join(x.tobytes() for x in d)]})
-
-        got = laid.mapInPandas(partial, "docs bigint, g binary").collect()  # TRAIN_PARTITIONS gradients
+            for b in batches:
+                for part, packed in zip(b.part, b.batch, strict=True):
+                    batch = pickle.loads(packed)
+                    if batch.docs:
+                        yield pd.DataFrame({"part": [part], "docs": [batch.docs], "g": [b"".join(x.tobytes() for x in batch.gradient(now, warm))]})
+
+        got = ready.mapInPandas(partial, "part int, docs bigint, g binary").collect()  # TRAIN_PARTITIONS gradients
         shared.unpersist()
         docs = sum(r.docs for r in got)
         if not docs:
             break
-        total = np.sum([np.frombuffer(r.g, np.float32) for r in sorted(got, key=lambda r: (r.docs, bytes(r.g[:64])))], axis=0) / docs
+        total = np.sum([np.frombuffer(r.g, np.float32) for r in sorted(got, key=lambda r: r.part)], axis=0) / docs
         at = 0
         for p, m, v in zip(model.parts(), means, squares, strict=True):
             g = total[at : at + p.size].reshape(p.shape)
