@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from casemill.operators.packed import split_values
+from casemill.plans import corpus, ledgers, scoring
 from casemill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_values(table(spark, d, "pages"), "page_id", fields)
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
-FLAGSHIP = "p2_found"
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, **scoring.QUERIES, **ledgers.QUERIES, **corpus.QUERIES}
+FLAGSHIP = "metric_set_by_task"
+ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL, **ledgers.ORACLE_SQL, **corpus.ORACLE_SQL}
