@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.operators.metrics import histogram, running, usable
+from casemill.runtime import arrow_safe
 
 #: Where switch points outside the grid are put, and the fit's iterations and ridge.
 CAP_LOW, CAP_HIGH, ITERATIONS, RIDGE = 0.53, 0.97, 200, 1e-6
@@ -125,4 +126,4 @@ def switch_points(rows: DataFrame, item: list[str], level: str, choice: str) ->
             got = [switch_point([r["_x"] for r in rs], [r["_y"] for r in rs]) for rs in b["_c"]]
             yield b[item].assign(point=[p for p, _ in got], method=[m for _, m in got])
 
-    return grouped.mapInPandas(fit, f"{kinds}, point double, method string")
+    return grouped.mapInPandas(arrow_safe(fit), f"{kinds}, point double, method string")

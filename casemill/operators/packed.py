@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casemill.runtime import broadcast_if, cut
+from casemill.runtime import arrow_safe, broadcast_if, cut
 
 #: What people write for "nothing" (compared in lower case, without the characters around it).
 PLACEHOLDERS = ("n/a", "na", "n.a.", "none", "nil", "null", "unknown", "tbc", "tba", "not applicable", "not known", "not stated", "no", "-", "--", "---", "–", "—", "?", ".", "/", "x", "none stated", "nothing", "not recorded", "blank", "empty", "keine", "aucun", "aucune", "none listed", "no clauses", "see report", "pending", "not available")
@@ -151,7 +151,7 @@ def split_values(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFram
 
     distinct = rows.select("kind", "skeleton").distinct()
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("rule", _RULE)])
-    table = cut(distinct.mapInPandas(rules, schema))
+    table = cut(distinct.mapInPandas(arrow_safe(rules), schema))
     table = broadcast_if(table, table.count(), RULE_BROADCAST_ROWS)
 
     joined = rows.join(table, ["kind", "skeleton"])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import text as t
+from casemill.runtime import arrow_safe
 
 #: What headings say, in the order in which they are tried.
 HEADINGS = (("CASE ", "case", True), ("APPEAL BOARD", "appeal_ruling", False), ("RULING", "ruling", False), ("APPEAL", "appeal", False), ("COMPLAINT", "complaint", False), ("RESPONSE", "response", False))
@@ -115,4 +116,4 @@ def parse_pages(df: DataFrame, key: str, source: str) -> DataFrame:
             yield pd.DataFrame([{"key": k, **(parse_page(s) if s is not None else {})} for k, s in zip(b["key"], b["source"], strict=True)], columns=["key", "title", "blocks", "headings", "links", "tables"])
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"))
-    return rows.mapInPandas(parse, f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)
+    return rows.mapInPandas(arrow_safe(parse), f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)

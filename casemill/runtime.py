@@ -78,3 +78,16 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 def broadcast_if(small: DataFrame, rows: int, bound: int) -> DataFrame:
     """A broadcast hint only where the counted rows stay within the bound; beyond it the planner shuffles."""
     return F.broadcast(small) if rows <= bound else small
+
+
+def arrow_safe(step):
+    """A step of mapInPandas that leaves out empty frames and hands strings over as plain objects: Arrow gets neither a
+    string column without chunks nor one of several."""
+
+    def run(batches):
+        for frame in step(batches):
+            if len(frame):
+                text = [c for c in frame.columns if frame[c].dtype != object and str(frame[c].dtype).startswith("str")]
+                yield frame.astype(dict.fromkeys(text, object)) if text else frame
+
+    return run
