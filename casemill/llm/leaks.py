@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.runtime import arrow_safe
+
 WINDOW = 20
 RADIUS = 3
 SHINGLE = 5
@@ -141,7 +143,7 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
     for block in range(blocks):
         rows = distinct.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).collect()  # bounded by BLOCK_CHARS
         probes = spark.sparkContext.broadcast((Probes([r.extract for r in rows], window), np.array([r.key for r in rows], dtype=object)))
-        one = docs.mapInPandas(lambda batches, probes=probes: _scan(batches, *probes.value, window, radius, similarity), f"doc {key_type}, key string")
+        one = docs.mapInPandas(arrow_safe(lambda batches, probes=probes: _scan(batches, *probes.value, window, radius, similarity)), f"doc {key_type}, key string")
         found = one if found is None else found.union(one)
     return found.distinct().join(asked.select("key", "item"), "key").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.runtime import arrow_safe
+
 #: Letters of other scripts after the Latin letter that they look like.
 LETTERS = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СᏟϹ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫͿ", "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥУҮ", "Z": "ΖᏃ",
@@ -34,6 +36,8 @@ MARKS = {
 #: Characters that show nothing.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u034f\u2061\u2062\u2063\u2064\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\ufe00\ufe01\ufe0e\ufe0f"
 
+#: Code points whose compatibility forms are always known: Latin with accents, ligatures, full width, letters of formulas.
+FORMS = (range(0xC0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800))
 #: Code points that are assigned at all: bounds the table of character counts.
 CODE_POINTS = 0x110000
 _GAP = re.compile(r" {2,}")
@@ -72,7 +76,7 @@ def classes(characters: set[str]) -> list[list[str]]:
             u.join(latin, c)
     for c in INVISIBLE:
         u.join("", c)
-    fixed = set(u.parent) - {""}
+    fixed = set(u.parent) - {""} | {chr(p) for r in FORMS for p in r}
     for c in sorted(characters | fixed):
         for form in ("NFC", "NFKC", "NFD"):
             other = unicodedata.normalize(form, c)
@@ -88,7 +92,7 @@ class Rewriter:
         self.table: dict[str, str] = {}
         for members in classes({c for c in counts if len(c) == 1}):
             # The empty string stands for its class: what shows nothing is dropped.
-            best = "" if "" in members else max(members, key=lambda m: (counts.get(m, 0), -len(m), [-ord(x) for x in m]))
+            best = "" if "" in members else max(members, key=lambda m: (counts.get(m, 0), m.isascii(), -len(m), [-ord(x) for x in m]))
             self.table |= {m: best for m in members if m and m != best}
         self.automaton = ahocorasick.Automaton()
         for m, best in self.table.items():
@@ -117,19 +121,20 @@ class Rewriter:
 def member_counts(texts: DataFrame, column: str) -> dict[str, int]:
     """How often the texts of a column have each character, and each longer member of a look-alike class. All rows are
     counted; only one row per character that occurs comes to the driver, at most CODE_POINTS and a few hundred."""
-    long_members = sorted({m for c in classes(set()) for m in c if len(m) > 1} | {unicodedata.normalize("NFKC", chr(p)) for p in range(0xFB00, 0xFB07)})
+    long_members = sorted({m for c in classes(set()) for m in c if len(m) > 1})
+    plain = [m for m in long_members if m.isascii()]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for t in b.t:
                 seen.update(t)
-                if not t.isascii():
-                    seen.update({m: t.count(m) for m in long_members if not m.isascii()})
-                seen.update({m: n for m in ("ff", "fi", "fl") if (n := t.count(m))})
+                for m in plain if t.isascii() else long_members:
+                    if n := t.count(m):
+                        seen[m] += n
         yield pd.DataFrame({"m": [m for m, n in seen.items() if n], "n": [n for n in seen.values() if n]})
 
-    rows = texts.select(F.col(f"`{column}`").cast("string").alias("t")).where("t is not null").mapInPandas(count, "m string, n bigint")
+    rows = texts.select(F.col(f"`{column}`").cast("string").alias("t")).where("t is not null").mapInPandas(arrow_safe(count), "m string, n bigint")
     return {r.m: r.n for r in rows.groupBy("m").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -170,4 +175,4 @@ def find_quotes(quotes: DataFrame, places: DataFrame, rewriter: Rewriter) -> Dat
             yield b.loc[hit, ["quote_id", "place_id"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
-    return both.select("quote_id", "place_id", "quote", "text").mapInPandas(stands, f"quote_id {kinds['quote_id']}, place_id {kinds['place_id']}").distinct()
+    return both.select("quote_id", "place_id", "quote", "text").mapInPandas(arrow_safe(stands), f"quote_id {kinds['quote_id']}, place_id {kinds['place_id']}").distinct()

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.runtime import cut
+from casemill.runtime import arrow_safe, cut
 
 #: Public tokenizer by which sizes are measured: a vocabulary of byte pairs with their ranks.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -42,7 +42,7 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, source: str, toke
         for b in batches:
             yield pd.DataFrame({"doc": b.doc, "source": b.source, "tokens": [len(encoding.encode_ordinary(t)) for t in b.text]})
 
-    return rows.mapInPandas(count, f"doc {kind}, source string, tokens bigint").groupBy("doc").agg(F.min_by("source", "source").alias("source"), F.min("tokens").alias("tokens"))
+    return rows.mapInPandas(arrow_safe(count), f"doc {kind}, source string, tokens bigint").groupBy("doc").agg(F.min_by("source", "source").alias("source"), F.min("tokens").alias("tokens"))
 
 
 def van_der_corput(index: Column) -> Column:

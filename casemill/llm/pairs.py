@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.runtime import arrow_safe
+
 #: Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the a of and to in was that is for it with as on by at from this which not be are were had has its his her their would could what did does there been have an or before without",
@@ -164,7 +166,7 @@ def defects(df: DataFrame, id_col: str, prompt_col: str, response_col: str) -> D
         some = np.flatnonzero(counts.sum(axis=1))
         yield pd.DataFrame({"bucket": some, "inner": counts[some, 0], "boundary": counts[some, 1]})
 
-    counted = rows.select("response").mapInPandas(first, "bucket int, inner bigint, boundary bigint").groupBy("bucket").agg(F.sum("inner").alias("inner"), F.sum("boundary").alias("boundary"))
+    counted = rows.select("response").mapInPandas(arrow_safe(first), "bucket int, inner bigint, boundary bigint").groupBy("bucket").agg(F.sum("inner").alias("inner"), F.sum("boundary").alias("boundary"))
     ends = np.full(CONTEXTS, np.nan)
     for r in counted.collect():  # at most CONTEXTS rows
         ends[r.bucket] = (r.boundary + 0.5) / (r.inner + r.boundary + 1)
@@ -178,7 +180,7 @@ def defects(df: DataFrame, id_col: str, prompt_col: str, response_col: str) -> D
             yield pd.DataFrame({"id": b.id[some], "defect": [k for k in kinds if k]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(second, f"id {kind}, defect string").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(arrow_safe(second), f"id {kind}, defect string").withColumnRenamed("id", id_col)
 
 
 def _defect(prompt: str | None, response: str | None, copies: _Copies, ends: np.ndarray) -> str | None:
@@ -215,7 +217,7 @@ def copy_ratios(df: DataFrame, id_col: str, prompt_col: str, response_col: str)
         for b in batches:
             yield pd.DataFrame({"id": b.id, "ratio": [copies.ratio(_plain(p or ""), _plain(_parts(r or "")[0])) for p, r in zip(b.prompt, b.response, strict=True)]})
 
-    return rows.mapInPandas(measure, f"id {rows.schema['id'].dataType.simpleString()}, ratio double").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(arrow_safe(measure), f"id {rows.schema['id'].dataType.simpleString()}, ratio double").withColumnRenamed("id", id_col)
 
 
 __all__ = ["COPY_RATIO", "copy_ratios", "defects", "language_counts", "other_language"]

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.runtime import cut
+from casemill.runtime import arrow_safe, cut
 
 #: Character groups as they are misread, after what is meant.
 CONFUSIONS = {
@@ -138,7 +138,7 @@ def corpus_counts(corpus: DataFrame, text: str) -> DataFrame:
         yield out()
 
     rows = corpus.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
-    return rows.mapInPandas(count, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(arrow_safe(count), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _break_keys(a: str, b: str) -> list[str]:
@@ -236,7 +236,7 @@ class ScanRepair:
                             out.append((file, page, shape(r["text"]), edge))
                 yield pd.DataFrame(out, columns=["file", "page", "shape", "edge"])
 
-        shapes = grouped.mapInPandas(edges, "file string, page bigint, shape string, edge boolean").where("shape != ''")
+        shapes = grouped.mapInPandas(arrow_safe(edges), "file string, page bigint, shape string, edge boolean").where("shape != ''")
         per_file = shapes.groupBy("shape", "file").agg(F.count_if("edge").alias("edges"), F.count("*").alias("n"), F.countDistinct("page").alias("on"))
         size = grouped.groupBy("file").agg(F.countDistinct("page").alias("pages"))
         many = per_file.join(size.where("file is not null"), "file")
@@ -255,7 +255,7 @@ class ScanRepair:
                 b["alone"] = [bool(e and t.strip() and (_PAGE_NUMBER.fullmatch(t.strip()) or _CASE_TITLE.match(t.strip()))) for t, e in zip(texts, edge, strict=True)]
                 yield b
 
-        lines = spread.select("file", "page", "place", F.col("size").alias("size_"), "k", "r.line_id", "r.text", "r.hint").mapInPandas(shaped, shaped_type)
+        lines = spread.select("file", "page", "place", F.col("size").alias("size_"), "k", "r.line_id", "r.text", "r.hint").mapInPandas(arrow_safe(shaped), shaped_type)
         marked = lines.join(running, "shape", "left").withColumn("f", F.col("alone") | F.coalesce("running", F.lit(False)))
         back = marked.groupBy("file", "page", "place").agg(F.array_sort(F.collect_list(F.struct("k", "line_id", "text", "hint", "f"))).alias("rows"))
         n = F.size("rows")
@@ -284,7 +284,7 @@ class ScanRepair:
                 out = [(row.pid, key) for row in b.itertuples(index=False) for key in _Page(row).keys()]
                 yield pd.DataFrame(out, columns=["pid", "key"])
 
-        asked = cut(self.pages.mapInPandas(types, "pid bigint, key string"))
+        asked = cut(self.pages.mapInPandas(arrow_safe(types), "pid bigint, key string"))
         words = counts.where("key not like '% %'")
         # Candidates once for each distinct word; those that the corpus knows, and knows well enough, are kept.
         distinct = asked.select("key").distinct().join(words, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
@@ -294,7 +294,7 @@ class ScanRepair:
                 out = [(w, n, v, list(steps)) for w, n in zip(b.key, b.n, strict=True) for v, steps in variants(w).items()]
                 yield pd.DataFrame(out, columns=["seen", "seen_n", "key", "steps"])
 
-        possible = distinct.mapInPandas(candidates, "seen string, seen_n bigint, key string, steps array<string>").join(words, "key").where(F.col("n") > DOUBT_RATIO * F.col("seen_n"))
+        possible = distinct.mapInPandas(arrow_safe(candidates), "seen string, seen_n bigint, key string, steps array<string>").join(words, "key").where(F.col("n") > DOUBT_RATIO * F.col("seen_n"))
         suspects = cut(possible.select("seen", "key", "n", "steps"))
         rates = {}
         for r in suspects.join(asked.withColumnRenamed("key", "seen"), "seen").where("size(steps) = 1").groupBy(F.col("steps")[0].alias("step")).agg(F.count("*").alias("n")).collect():  # at most one row per confusion
@@ -313,6 +313,7 @@ class ScanRepair:
                     options = _options(row.doubts)
                     page = _Page(row)
                     out.update((row.pid, k) for k in page.keys())
+                    out.update((row.pid, o[0]) for own in options.values() for o in own)
                     for (_, x, _), (_, y, _) in page.breaks():
                         a, c = core(x.split()[-1].rstrip(BREAK_MARKS)), core(y.split()[0])
                         if a and c:
@@ -328,7 +329,7 @@ class ScanRepair:
                                         out.add((row.pid, f"{v} {u}"))
                 yield pd.DataFrame(sorted(out), columns=["pid", "key"])
 
-        found = pages.mapInPandas(pairs, "pid bigint, key string").join(counts, "key").groupBy("pid").agg(F.collect_list(F.struct("key", "n")).alias("known"))
+        found = pages.mapInPandas(arrow_safe(pairs), "pid bigint, key string").join(counts, "key").groupBy("pid").agg(F.collect_list(F.struct("key", "n")).alias("known"))
         ready = pages.join(found, "pid", "left")
         kind = self.id_type
 
@@ -336,7 +337,7 @@ class ScanRepair:
             for b in batches:
                 yield pd.DataFrame([{"file": r.file, "page": r.page, "place": r.place, "decoded": _decode_page(r, chance, floor, total)} for r in b.itertuples(index=False)], columns=["file", "page", "place", "decoded"])
 
-        return cut(ready.mapInPandas(decode, f"file string, page bigint, place string, decoded array<struct<line_id:{kind},text:string,seen:string,furniture:boolean,broken:boolean,misread:boolean,goes_on:string>>"))
+        return cut(ready.mapInPandas(arrow_safe(decode), f"file string, page bigint, place string, decoded array<struct<line_id:{kind},text:string,seen:string,furniture:boolean,broken:boolean,misread:boolean,goes_on:string>>"))
 
     # Results --------------------------------------------------------------------------------------------------------
 
@@ -373,7 +374,7 @@ class ScanRepair:
                         out.append((row.file, row.page, k, t, k == 0 and opens, not (last and not ended), last and bool(own) and own[-1]["goes_on"] is not None))
                 yield pd.DataFrame(out, columns=["file", "page", "k", "text", "opens", "closed", "glued"])
 
-        cutted = self.decoded.where("place = ''").mapInPandas(pieces, "file string, page bigint, k int, text string, opens boolean, closed boolean, glued boolean")
+        cutted = self.decoded.where("place = ''").mapInPandas(arrow_safe(pieces), "file string, page bigint, k int, text string, opens boolean, closed boolean, glued boolean")
         from pyspark.sql import Window
 
         order = Window.partitionBy("file").orderBy("page", "k")
@@ -441,6 +442,8 @@ def _decode_page(row, chance: dict, floor: float, total: float) -> list[dict]:
         hint = None if hint is None else bool(hint)
         whole = broken(a_token, b_token, hint, with_candidates, total)
         if whole is None:
+            if i in state and a_token[-1:] in "-‐" and core(a_token.rstrip(BREAK_MARKS)) and re.match(r"[^\W\d_]", b_token):
+                state[i]["goes_on"] = a_token  # a compound that keeps its hyphen
             continue
         a = core(a_token.rstrip(BREAK_MARKS))
         meant = whole

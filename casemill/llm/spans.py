@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.runtime import cut
+from casemill.runtime import arrow_safe, cut
 
 #: Reference segments in one suffix automaton: bounds its memory (about 275 characters each).
 SHARD_SEGMENTS = 400
@@ -56,8 +56,9 @@ def _extreme(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x if have == width else pick(x[: len(x) - (width - have)], x[width - have :])
 
 
-def anchors(text: str, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the anchors of a text; of equal k-grams in equal surroundings only the first."""
+def anchors(text: str, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+    """(hashes, positions, also) of the anchors of a text. Of equal k-grams in equal surroundings only the first is listed;
+    also has the positions of the others, by the index of the first."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     width = min_len - k + 1
     hashes, places = [], []
@@ -78,19 +79,22 @@ def anchors(text: str, min_len: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(h[chosen])
         places.append(chosen + at)
     if not hashes:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), {}
     h, p = np.concatenate(hashes).view(np.int64), np.concatenate(places)
     _, first = np.unique(p, return_index=True)
     h, p = h[first], p[first]
+    also: dict[int, list[int]] = {}
     if len(np.unique(h)) < len(h):
-        seen, keep = set(), []
+        seen: dict[tuple[int, str], int] = {}
+        keep: list[int] = []
         for n, (x, y) in enumerate(zip(h.tolist(), p.tolist(), strict=True)):
-            key = (x, text[max(0, y - min_len + k) : y + min_len])
-            if key not in seen:
-                seen.add(key)
+            first = seen.setdefault((x, text[max(0, y - min_len + k) : y + min_len]), len(keep))
+            if first == len(keep):
                 keep.append(n)
+            else:
+                also.setdefault(first, []).append(y)
         h, p = h[keep], p[keep]
-    return h, p
+    return h, p, also
 
 
 class SuffixAutomaton:
@@ -207,27 +211,30 @@ class SharedSpans:
         self.segments = self._segments()
 
     def _segments(self) -> DataFrame:
-        """(h, sd, seg, id, start): the segments around anchors that more than one text has, sd their digest."""
+        """(h, sd, seg, id, start, also): the segments around anchors that more than one text has, sd their digest, also the
+        other places of the same segment in the text."""
         min_len, k = self.min_len, self.k
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                ids, hs, ps = [], [], []
+                ids, hs, ps, more = [], [], [], []
                 for i, t in zip(b.id, b.text, strict=True):
-                    h, p = anchors(t, min_len, k)
+                    h, p, also = anchors(t, min_len, k)
                     ids.append(np.full(len(h), i))
                     hs.append(h)
                     ps.append(p)
-                yield pd.DataFrame({"id": np.concatenate(ids), "h": np.concatenate(hs), "at": np.concatenate(ps).astype(np.int32)}) if ids else pd.DataFrame({"id": [], "h": [], "at": []})
+                    more.extend(also.get(n) for n in range(len(h)))
+                if ids:
+                    yield pd.DataFrame({"id": np.concatenate(ids), "h": np.concatenate(hs), "at": np.concatenate(ps).astype(np.int32), "also": pd.Series(more, dtype=object)})
 
-        found = cut(self.docs.mapInPandas(find, "id bigint, h bigint, at int"))
+        found = cut(self.docs.mapInPandas(arrow_safe(find), "id bigint, h bigint, at int, also array<int>"))
         shared = found.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
-        places = found.join(shared, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+        places = found.join(shared, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "also")).alias("places"))
         side = min_len - k
         return cut(
             self.docs.join(places, "id")
             .select("id", "text", F.explode("places").alias("p"))
-            .select("id", F.col("p.h").alias("h"), F.greatest(F.col("p.at") - side, F.lit(0)).alias("start"), F.expr(f"substring(text, greatest(p.at - {side}, 0) + 1, p.at + {min_len} - greatest(p.at - {side}, 0))").alias("seg"))
+            .select("id", F.col("p.h").alias("h"), F.greatest(F.col("p.at") - side, F.lit(0)).alias("start"), F.transform("p.also", lambda x: F.greatest(x - side, F.lit(0))).alias("also"), F.expr(f"substring(text, greatest(p.at - {side}, 0) + 1, p.at + {min_len} - greatest(p.at - {side}, 0))").alias("seg"))
             .withColumn("sd", F.md5("seg"))
         )
 
@@ -241,7 +248,7 @@ class SharedSpans:
         queries = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("is_ref", F.lit(False))
         both = refs.unionByName(queries).drop("shards")
         laid = both.repartition("h", "shard").sortWithinPartitions("h", "shard", F.col("is_ref").desc())
-        return laid.mapInPandas(lambda batches: (x for x in _sharded(batches, min_len, answer) if len(x)), schema)
+        return laid.mapInPandas(arrow_safe(lambda batches: _sharded(batches, min_len, answer)), schema)
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: every two texts with a run of at least min_len equal characters."""
@@ -288,7 +295,8 @@ class SharedSpans:
         segs = self.segments.groupBy("h", "sd").agg(F.min("seg").alias("seg"), F.min("id").alias("low"), F.max("id").alias("high"))
         copies = segs.where((F.col("low") < F.col("high")) & (F.length("seg") >= min_len)).select("h", "sd", F.lit(0).alias("first"), F.length("seg").alias("last"))
         spans = self._streamed(answer, "h bigint, sd string, first int, last int", segs).union(copies)
-        placed = self.segments.select("h", "sd", "id", "start").join(spans, ["h", "sd"]).select("id", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b")).alias("s")).distinct()
+        places = F.explode(F.concat(F.array("start"), F.coalesce("also", F.array().cast("array<int>"))))
+        placed = self.segments.select("h", "sd", "id", places.alias("start")).join(spans, ["h", "sd"]).select("id", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b")).alias("s")).distinct()
         merged = placed.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("spans"))
         size = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, s: F.struct((acc.n + F.greatest(s.b - F.greatest(s.a, acc.end), F.lit(0))).alias("n"), F.greatest(acc.end, s.b).alias("end")))
         lengths = self.docs.groupBy("id").agg(F.max(F.length("text")).alias("n_chars"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.runtime import cut
+from casemill.runtime import arrow_safe, cut
 
 #: Rows of the embedding table, and its width.
 BUCKETS, WIDTH = 1 << 14, 16
@@ -182,7 +182,7 @@ def train(examples: DataFrame, outputs: int, seed: int = 0) -> Model:
             yield pd.DataFrame({"part": [part], "batch": [pickle.dumps(_Batch(own.text.tolist(), [list(x) for x in own.labels], outputs))]})
 
     laid = examples.repartition(TRAIN_PARTITIONS, "part").sortWithinPartitions("part", F.xxhash64("text"))
-    ready = cut(laid.mapInPandas(prepare, "part int, batch binary"))
+    ready = cut(laid.mapInPandas(arrow_safe(prepare), "part int, batch binary"))
     means, squares = ([np.zeros_like(p) for p in model.parts()] for _ in range(2))
     for step in range(ROUNDS):
         shared = sc.broadcast((model, step < ROUNDS // 2))  # about a megabyte
@@ -195,7 +195,7 @@ def train(examples: DataFrame, outputs: int, seed: int = 0) -> Model:
                     if batch.docs:
                         yield pd.DataFrame({"part": [part], "docs": [batch.docs], "g": [b"".join(x.tobytes() for x in batch.gradient(now, warm))]})
 
-        got = ready.mapInPandas(partial, "part int, docs bigint, g binary").collect()  # TRAIN_PARTITIONS gradients
+        got = ready.mapInPandas(arrow_safe(partial), "part int, docs bigint, g binary").collect()  # TRAIN_PARTITIONS gradients
         shared.unpersist()
         docs = sum(r.docs for r in got)
         if not docs:
@@ -242,4 +242,4 @@ def assign_subjects(documents: DataFrame, doc_id: str, text: str, labels: DataFr
                 row, k = np.nonzero(z >= cutoff)
                 yield pd.DataFrame({"doc": part.doc.to_numpy()[row], "subject": spelled[k], "score": 1 / (1 + np.exp(-z[row, k].astype(float)))})
 
-    return docs.mapInPandas(score, f"doc {kind}, subject string, score double").groupBy("doc", "subject").agg(F.max("score").alias("score")).withColumnRenamed("doc", doc_id)
+    return docs.mapInPandas(arrow_safe(score), f"doc {kind}, subject string, score double").groupBy("doc", "subject").agg(F.max("score").alias("score")).withColumnRenamed("doc", doc_id)

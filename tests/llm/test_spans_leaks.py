@@ -59,7 +59,8 @@ def test_spans_equal_brute_force(spark, seed):
 def test_spans_edges(spark):
     schema = "h string, seg string, pane_id bigint, text string"
     assert SharedSpans(spark.createDataFrame([], schema), "pane_id", "text", 40).pairs().count() == 0
-    long = "".join(random.Random(5).choice("abcdef ") for _ in range(400))
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdef ") for _ in range(400))
     rows = [("a", "b", 1, long), ("a", "b", 1, long), ("a", "b", None, long), ("a", "b", 2, long[100:300])]
     made = SharedSpans(spark.createDataFrame(rows, schema), "pane_id", "text", 40)
     assert [tuple(r) for r in made.pairs().collect()] == [(1, 2)]
@@ -98,10 +99,11 @@ def test_a_shared_run_shares_an_anchor(run, left, right):
 def test_anchors_over_blocks(monkeypatch):
     from casemill.llm import spans
 
-    text = "".join(random.Random(2).choice("abcdefghij") for _ in range(5000))
-    whole = list(zip(*map(list, anchors(text, 40, 25)), strict=True))
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghij") for _ in range(5000))
+    whole = list(zip(*map(list, anchors(text, 40, 25)[:2]), strict=True))
     monkeypatch.setattr(spans, "BLOCK", 300)
-    assert list(zip(*map(list, anchors(text, 40, 25)), strict=True)) == whole
+    assert list(zip(*map(list, anchors(text, 40, 25)[:2]), strict=True)) == whole
 
 
 def _leak_rows(seed: int):
