@@ -40,7 +40,7 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u180e\u034f\u2061\u2062\u2063\
 FORMS = (range(0xC0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800))
 #: Code points that are assigned at all: bounds the table of character counts.
 CODE_POINTS = 0x110000
-_GAP = re.compile(r" {2,}")
+_COMBINING = re.compile("[\\u0300-\\u036f]")
 
 
 class UnionFind:
@@ -129,7 +129,7 @@ def member_counts(texts: DataFrame, column: str) -> dict[str, int]:
         for b in batches:
             for t in b.t:
                 seen.update(t)
-                for m in plain if t.isascii() else long_members:
+                for m in long_members if _COMBINING.search(t) else plain:
                     if n := t.count(m):
                         seen[m] += n
         yield pd.DataFrame({"m": [m for m, n in seen.items() if n], "n": [n for n in seen.values() if n]})
