@@ -113,7 +113,8 @@ def parse_pages(df: DataFrame, key: str, source: str) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([{"key": k, **(parse_page(s) if s is not None else {})} for k, s in zip(b["key"], b["source"], strict=True)], columns=["key", "title", "blocks", "headings", "links", "tables"])
+            parsed = [parse_page(s) if s is not None else {} for s in b["source"]]
+            yield pd.DataFrame({"key": b["key"], **{part: pd.Series([p.get(part) for p in parsed], dtype=object, index=b.index) for part in ("title", "blocks", "headings", "links", "tables")}})
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"))
     return rows.mapInPandas(arrow_safe(parse), f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.runtime import cut
+
 
 def resolve(witnesses: dict[str, Column]) -> Column:
     """struct(value, basis, sources, conflict). basis: none without a witness, unanimous if all that speak agree (single if
@@ -71,19 +73,20 @@ def lookup_with_parent(rows: DataFrame, book: DataFrame, group: list[str], numbe
     return both.select(*(F.col(f"r.{c}") for c in rows.columns), F.coalesce("a._t", "b._t").alias(text), rung.alias("rung"))
 
 
-def chain_ends(links: DataFrame, old: str, new: str, max_rounds: int = 40) -> DataFrame:
-    """(old, end, steps): where each chain of renamings ends, by doubling; a chain that runs in a circle has null end and
-    steps. One new name per old name is required; links to themselves end at once."""
-    from casemill.runtime import cut
-
-    step = cut(links.where(f"{old} is not null and {new} is not null").groupBy(old).agg(F.min(new).alias("end")).withColumn("steps", F.lit(1).cast("bigint")).withColumn("done", F.col(old) == F.col("end")))
-    for _ in range(max_rounds):
-        a, b = step.alias("a"), step.where(f"{old} != end").alias("b")
-        moved = a.join(b, F.col("a.end") == F.col(f"b.{old}"), "left")
-        grown = cut(moved.select(F.col(f"a.{old}").alias(old), F.coalesce("b.end", "a.end").alias("end"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), F.col(f"b.{old}").isNull().alias("done")))
-        step = grown
-        if not grown.where("not done and steps < 1000000000").take(1):
-            break
-        if grown.agg(F.min(F.when(~F.col("done"), F.col("steps")))).first()[0] > links.count():
+def chain_ends(links: DataFrame, old: str, new: str) -> DataFrame:
+    """(old, end, steps): where each chain of renamings ends, by doubling; a chain that runs into a circle has null end and
+    steps. Of several new names the smallest counts; a link to itself ends at once. Null names are left out. Rounds are
+    the logarithm of the number of links, and one counter per round reaches the driver."""
+    one = cut(links.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(old).agg(F.min(new).alias("end")).withColumn("steps", F.lit(1).cast("bigint")))
+    stops = one.where(F.col(old) == F.col("end")).withColumn("done", F.lit(True))
+    moving = one.where(F.col(old) != F.col("end"))
+    known = moving.select(F.col(old).alias("_o"))
+    step = cut(moving.join(known, F.col("end") == F.col("_o"), "left").withColumn("done", F.col("_o").isNull()).drop("_o"))
+    for _ in range(max(1, moving.count().bit_length())):
+        if not step.where("not done").take(1):
             break
-    return step.select(old, F.when(F.col("done"), F.col("end")).alias("end"), F.when(F.col("done"), F.col("steps")).alias("steps"))
+        a, b = step.alias("a"), step.alias("b")
+        moved = a.join(b, (F.col("a.end") == F.col(f"b.{old}")) & ~F.col("a.done"), "left")
+        step = cut(moved.select(F.col(f"a.{old}").alias(old), F.coalesce("b.end", "a.end").alias("end"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), F.coalesce("b.done", "a.done").alias("done")))
+    both = step.unionByName(stops)
+    return both.select(old, F.when(F.col("done"), F.col("end")).alias("end"), F.when(F.col("done"), F.col("steps")).alias("steps"))

@@ -334,6 +334,8 @@ SELECT clause, CAST(split_part(clause, '.', 1) AS INTEGER) AS major, coalesce(TR
     "token_multiset": """WITH a AS (SELECT file, unnest(string_split(trim(regexp_replace(flow_text, '[ \\t\\r\\n]+', ' ', 'g')), ' ')) AS token, 1 AS s FROM pdf_records WHERE flow_text IS NOT NULL AND file IS NOT NULL), b AS (SELECT file, unnest(string_split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' ')) AS token, -1 AS s FROM pdf_lines WHERE text IS NOT NULL AND file IS NOT NULL),
 u AS (SELECT file, token, sum(s) AS d FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE token <> '' GROUP BY 1, 2)
 SELECT file, CAST(coalesce(sum(d) FILTER (d > 0), 0) AS BIGINT) AS only_left, CAST(coalesce(-sum(d) FILTER (d < 0), 0) AS BIGINT) AS only_right FROM u GROUP BY file""",
+    "hyphen_decisions": """WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '([a-z]+(?:-[a-z]+)*)', 1)) AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT w, count(*) AS n FROM w GROUP BY w)
+SELECT h.w AS pair, coalesce(c.n, 0) AS closed, h.n AS hyphened, CASE WHEN coalesce(c.n, 0) > h.n THEN 'closed' ELSE 'hyphened' END AS decision FROM c h LEFT JOIN c ON c.w = replace(h.w, '-', '') WHERE regexp_matches(h.w, '^[a-z]+-[a-z]+$')""",
     "contamination_containment": f"""WITH s AS (SELECT DISTINCT doc_id, case_number, unnest(regexp_extract_all(text, '{_CASE}', 1)) AS stated FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, stated, CASE WHEN stated = case_number THEN 'contaminated' WHEN stated IN (SELECT case_number FROM cases WHERE case_number IS NOT NULL) THEN 'recognised' ELSE 'unknown' END AS status FROM s""",
     "page_slugs": """SELECT page_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, lower(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/]*', ''), '[?#].*$', ''), '/+$', ''), ''), CASE WHEN url IS NOT NULL THEN '/' END)) AS path FROM pages WHERE title IS NOT NULL""",

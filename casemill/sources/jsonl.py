@@ -30,7 +30,8 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def read_reporting(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All rows with _corrupt_record, the raw text of a malformed line, and file, where the row came from."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(path).withColumn("file", F.input_file_name())
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"), F.input_file_name().alias("file"))
+    return lines.select("r.*", "file")
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
