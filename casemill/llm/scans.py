@@ -24,9 +24,8 @@ from casemill.runtime import arrow_safe, cut
 
 #: Character groups as they are misread, after what is meant.
 CONFUSIONS = {
-    "a": "@ o", "b": "h 8 6", "c": "e", "d": "cl", "e": "c", "f": "t", "g": "q 9", "h": "b li", "i": "1 l !", "l": "1 i | !",
-    "m": "rn nn", "n": "ri", "o": "0 c", "q": "g", "r": "i", "s": "5 $", "t": "f 7 l", "u": "ii", "v": "y", "w": "vv", "y": "v", "z": "2",
-    "rn": "m", "cl": "d", "ti": "h", "ll": "u", "ri": "n", "vv": "w", "li": "h", "fi": "fl h", "fl": "fi", "ii": "u",
+    "a": "@", "b": "h 8 6", "c": "e", "d": "cl", "e": "c", "f": "t", "g": "q 9", "h": "b", "i": "1 l ! |", "l": "1 i ! |", "m": "rn", "o": "0",
+    "q": "g", "s": "5 $", "t": "f 7", "u": "ii ll", "w": "vv", "z": "2", "rn": "m", "cl": "d", "ti": "h", "ll": "u", "vv": "w", "fi": "fl h", "fl": "fi", "ii": "u",
 }
 #: Marks of a broken word, the last two of which are never part of a word.
 BREAK_MARKS = "-‐¬­"
@@ -51,8 +50,8 @@ _SEEN_FOR: dict[str, list[str]] = {}
 for _meant, _seen in CONFUSIONS.items():
     for _s in _seen.split():
         _SEEN_FOR.setdefault(_s, []).append(_meant)
-_FOLD_PAIRS = (("rn", "m"), ("nn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ti", "h"))
-_FOLD = str.maketrans({"c": "e", "f": "t", "b": "h", "1": "l", "i": "l", "!": "l", "|": "l", "0": "o", "5": "s", "$": "s", "@": "a", "q": "g", "9": "g", "8": "h", "2": "z"})
+#: Every character as what it may be mistaken for, letter by letter: both sides of a confusion come out the same.
+_FOLD = str.maketrans({"c": "e", "f": "t", "7": "t", "i": "l", "1": "l", "!": "l", "|": "l", "0": "o", "5": "s", "$": "s", "@": "a", "q": "g", "9": "g", "2": "z", "d": "el", "u": "ll", "m": "rn", "w": "vv", "h": "tl", "b": "tl", "8": "tl", "6": "tl"})
 _CORE = re.compile(r"^[^\w@$|!]+|[^\w@$|]+$")
 _WORD = re.compile(r"[^\W\d_](?:[\w'’@$|!-]*[\w@$|])?|[0-9@$|!][\w'’@$|!-]*[^\W\d_][\w'’@$|!-]*|@[\w]*")
 _PAGE_NUMBER = re.compile(r"[\[(\-–—\s]*(?:p[a@][gq9][ec]\s*)?(?:\d{1,5}|[ivxl1]{1,7})(?:\s*(?:[o0c][ft]|/)\s*\d{1,5})?[\])\-–—\s]*", re.I)
@@ -61,11 +60,8 @@ _TERMINAL = re.compile(r"[.!?:][\"'”’)\]]*$")
 
 
 def fold(text: str) -> str:
-    """Lower case with characters that are mistaken for one another made equal."""
-    text = text.lower()
-    for a, b in _FOLD_PAIRS:
-        text = text.replace(a, b)
-    return text.translate(_FOLD)
+    """Lower case with characters and groups that are mistaken for one another made equal."""
+    return text.lower().translate(_FOLD)
 
 
 _MONTH_SHAPES = {fold(m) for m in MONTHS}
@@ -89,22 +85,21 @@ def core(token: str) -> str:
     return bare if _WORD.fullmatch(bare) else ""
 
 
-def variants(word: str) -> dict[str, tuple[str, ...]]:
-    """Words that may be meant where word is seen, with the misread groups (seen>meant) of each."""
-    found: dict[str, tuple[str, ...]] = {}
-    border = {word: ()}
-    for _ in range(MAX_MISREAD):
-        new: dict[str, tuple[str, ...]] = {}
-        for w, steps in border.items():
-            for at in range(len(w)):
-                for size in (1, 2):
-                    for meant in _SEEN_FOR.get(w[at : at + size], ()) if at + size <= len(w) else ():
-                        v = w[:at] + meant + w[at + size :]
-                        if v != word and v not in found and v not in new and not re.search(r"[@$|!]|\d", meant):
-                            new[v] = (*steps, f"{w[at : at + size]}>{meant}")
-        found |= new
-        border = new
-    return {v: s for v, s in found.items() if not re.search(r"[@$|!\d]", v)}
+def misread_groups(seen: str, meant: str) -> tuple[str, ...] | None:
+    """The misread groups (seen>meant), at most MAX_MISREAD, that turn one word into the other; None if none do."""
+    border: dict[tuple[int, int], tuple[str, ...]] = {(0, 0): ()}
+    while border:
+        (i, j), steps = min(border.items(), key=lambda x: (x[0][0] + x[0][1], len(x[1])))
+        del border[i, j]
+        if i == len(seen) and j == len(meant):
+            return steps or None
+        moves = [((i + 1, j + 1), steps)] if seen[i : i + 1] == meant[j : j + 1] != "" else []
+        if len(steps) < MAX_MISREAD:
+            moves += [((i + n, j + len(m)), (*steps, f"{seen[i : i + n]}>{m}")) for n in (1, 2) if i + n <= len(seen) for m in _SEEN_FOR.get(seen[i : i + n], ()) if meant.startswith(m, j)]
+        for at, way in moves:
+            if at not in border or len(way) < len(border[at]):
+                border[at] = way
+    return None
 
 
 def corpus_counts(corpus: DataFrame, text: str) -> DataFrame:
@@ -226,37 +221,23 @@ class ScanRepair:
     def _furniture(self, grouped: DataFrame) -> DataFrame:
         """(file, page, place, lines array<line_id, text, hint, furniture>, before, after)."""
 
-        def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spread = grouped.select("file", "page", "place", F.size("rows").alias("size_"), F.posexplode("rows").alias("k", "r"))
+
+        def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = []
-                for file, page, place, rows in zip(b.file, b.page, b.place, b.rows, strict=True):
-                    for k, r in enumerate(rows):
-                        edge = not place and (k < 2 or k >= len(rows) - 2)
-                        if r["text"] and r["text"].strip() and not place:
-                            out.append((file, page, shape(r["text"]), edge))
-                yield pd.DataFrame(out, columns=["file", "page", "shape", "edge"])
-
-        shapes = grouped.mapInPandas(arrow_safe(edges), "file string, page bigint, shape string, edge boolean").where("shape != ''")
+                texts = [(t or "").strip() for t in b.text]
+                edge = [not p and (k < 2 or k >= n - 2) for p, k, n in zip(b.place, b.k, b.size_, strict=True)]
+                yield b.assign(shape=[shape(t) if not p else "" for t, p in zip(texts, b.place, strict=True)], edge=edge, alone=[bool(e and t and (_PAGE_NUMBER.fullmatch(t) or _CASE_TITLE.match(t))) for t, e in zip(texts, edge, strict=True)])
+
+        shaped_type = f"file string, page bigint, place string, size_ int, k int, line_id {self.id_type}, text string, hint boolean, shape string, edge boolean, alone boolean"
+        lines = cut(spread.select("file", "page", "place", "size_", "k", "r.line_id", "r.text", "r.hint").mapInPandas(arrow_safe(shaped), shaped_type))
+        shapes = lines.where("shape != ''").select("file", "page", "shape", "edge")
         per_file = shapes.groupBy("shape", "file").agg(F.count_if("edge").alias("edges"), F.count("*").alias("n"), F.countDistinct("page").alias("on"))
         size = grouped.groupBy("file").agg(F.countDistinct("page").alias("pages"))
         many = per_file.join(size.where("file is not null"), "file")
         running = many.groupBy("shape").agg(F.sum("edges").alias("edges"), F.sum("n").alias("n"), F.count_if(F.col("on") > 1).alias("again"), F.count_if(F.col("pages") > 1).alias("could")).where((F.col("edges") >= EDGE_SHARE * F.col("n")) & (F.col("again") > 0) & (F.col("again") >= REPEAT_SHARE * F.col("could"))).select("shape", F.lit(True).alias("running"))
 
-        spread = grouped.select("file", "page", "place", F.size("rows").alias("size"), F.posexplode("rows").alias("k", "r"))
-
-        shaped_type = f"file string, page bigint, place string, size int, k int, line_id {self.id_type}, text string, hint boolean, shape string, alone boolean"
-
-        def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                texts = [t or "" for t in b.text]
-                edge = [not p and (k < 2 or k >= s - 2) for p, k, s in zip(b.place, b.k, b.size_, strict=True)]
-                b = b.rename(columns={"size_": "size"})
-                b["shape"] = [shape(t) if e else None for t, e in zip(texts, edge, strict=True)]
-                b["alone"] = [bool(e and t.strip() and (_PAGE_NUMBER.fullmatch(t.strip()) or _CASE_TITLE.match(t.strip()))) for t, e in zip(texts, edge, strict=True)]
-                yield b
-
-        lines = spread.select("file", "page", "place", F.col("size").alias("size_"), "k", "r.line_id", "r.text", "r.hint").mapInPandas(arrow_safe(shaped), shaped_type)
-        marked = lines.join(running, "shape", "left").withColumn("f", F.col("alone") | F.coalesce("running", F.lit(False)))
+        marked = lines.join(running, "shape", "left").withColumn("f", F.col("alone") | F.col("edge") & F.coalesce("running", F.lit(False)))
         back = marked.groupBy("file", "page", "place").agg(F.array_sort(F.collect_list(F.struct("k", "line_id", "text", "hint", "f"))).alias("rows"))
         n = F.size("rows")
         at = lambda i: F.coalesce(F.get("rows", i)["f"], F.lit(False))
@@ -286,15 +267,19 @@ class ScanRepair:
 
         asked = cut(self.pages.mapInPandas(arrow_safe(types), "pid bigint, key string"))
         words = counts.where("key not like '% %'")
-        # Candidates once for each distinct word; those that the corpus knows, and knows well enough, are kept.
-        distinct = asked.select("key").distinct().join(words, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+        # Words that may be mistaken for one another have the same folded form, so candidates are found by an equi-join on
+        # it; the misread groups are worked out for those pairs alone.
+        folded = F.pandas_udf(lambda w: w.map(fold), "string")
+        distinct = asked.select("key").distinct().join(words, "key", "left").select(F.col("key").alias("seen"), F.coalesce("n", F.lit(0)).alias("seen_n"), folded("key").alias("fold"))
+        book = words.select("key", "n", folded("key").alias("fold"))
+        met = distinct.join(book, "fold").where((F.col("key") != F.col("seen")) & (F.col("n") > DOUBT_RATIO * F.col("seen_n")))
 
         def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [(w, n, v, list(steps)) for w, n in zip(b.key, b.n, strict=True) for v, steps in variants(w).items()]
-                yield pd.DataFrame(out, columns=["seen", "seen_n", "key", "steps"])
+                out = [(w, v, n, list(steps)) for w, v, n in zip(b.seen, b.key, b.n, strict=True) if (steps := misread_groups(w, v)) is not None]
+                yield pd.DataFrame(out, columns=["seen", "key", "n", "steps"])
 
-        possible = distinct.mapInPandas(arrow_safe(candidates), "seen string, seen_n bigint, key string, steps array<string>").join(words, "key").where(F.col("n") > DOUBT_RATIO * F.col("seen_n"))
+        possible = met.select("seen", "key", "n").mapInPandas(arrow_safe(candidates), "seen string, key string, n bigint, steps array<string>")
         suspects = cut(possible.select("seen", "key", "n", "steps"))
         rates = {}
         for r in suspects.join(asked.withColumnRenamed("key", "seen"), "seen").where("size(steps) = 1").groupBy(F.col("steps")[0].alias("step")).agg(F.count("*").alias("n")).collect():  # at most one row per confusion

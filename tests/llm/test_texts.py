@@ -150,7 +150,10 @@ def test_scan_edges(spark):
 
 
 def test_variants_and_shapes():
-    assert "complainant" in scans.variants("cornplainant") and "practice" in scans.variants("prachce") and "dated" in scans.variants("clated")
+    for seen, meant in (("cornplainant", "complainant"), ("prachce", "practice"), ("clated", "dated"), ("5upp1ied", "supplied"), ("aueged", "alleged"), ("flrst", "first"), ("tbat", "that"), ("@pproved", "approved"), ("iinused", "unused"), ("nevvsletter", "newsletter"), ("remaininq", "remaining"), ("hfres", "titres")):
+        assert scans.misread_groups(seen, meant) and scans.fold(seen) == scans.fold(meant), (seen, meant)
+    assert all(scans.fold(meant) == scans.fold(seen) for meant, every in scans.CONFUSIONS.items() for seen in every.split())
+    assert scans.misread_groups("same", "same") is None and scans.misread_groups("bcet", "boat") is None and scans.misread_groups("", "a") is None
     assert scans.shape("Quarferly Casebook August 2017") == scans.shape("7   Quarterly Casebook May 2020")
     assert scans.core("'once-daily,") == "once-daily" and scans.core("3.5") == "" and scans.core("@pproved.") == "@pproved"
 
