@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def collapse(rows: DataFrame, key: list[str], item: str) -> DataFrame:
-    """(item, n, others): one row per key: its smallest item, how many there are, and the others in order, joined by
-    commas. Keys compare null-safe; null items are left out."""
-    groups = rows.where(F.col(item).isNotNull()).groupBy(*key).agg(F.array_sort(F.collect_set(item)).alias("_ids"))
-    return groups.select(F.get("_ids", F.lit(0)).alias(item), F.size("_ids").cast("bigint").alias("n"), F.array_join(F.slice("_ids", 2, F.greatest(F.size("_ids") - 1, F.lit(1))), ",").alias("others"))
+    """(item, keeper, n): for each item the smallest item with the same key, which stands for all, and how many there are.
+    The members of a group are never gathered. Keys compare null-safe; null items are left out, repeated ones count once."""
+    own = rows.where(F.col(item).isNotNull()).select(item, *key).distinct()
+    groups = own.groupBy(*key).agg(F.min(item).alias("keeper"), F.count("*").alias("n"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    return own.alias("l").join(groups.alias("r"), on).select(F.col(f"l.{item}").alias(item), "r.keeper", "r.n")
 
 
 def classes(rows: DataFrame, item: str, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.operators.metrics import histogram, running, usable
+from casemill.operators.ordered import Ordered
 from casemill.runtime import arrow_safe
 
 #: Where switch points outside the grid are put, and the fit's iterations and ridge.
@@ -61,31 +62,24 @@ def implied_bins(rows: DataFrame, item: list[str], costs: list[int], loss: int)
     return bins.join(placed, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "low", "high")
 
 
-def monotone_patterns(rows: DataFrame, item: list[str], level: str, choice: str) -> DataFrame:
-    """(item, levels, falls, monotone): how often a 0/1 choice falls from one level to the next; ties in level go by
-    response_id. Items have few levels."""
-    at = Window.partitionBy(*item).orderBy(level, "response_id")
-    step = usable(rows).withColumn("_before", F.lag(choice).over(at))
-    return step.groupBy(*item).agg(F.count("*").alias("levels"), F.count_if(F.col("_before") > F.col(choice)).alias("falls")).withColumn("monotone", F.col("falls") == 0)
+def monotone_patterns(rows: DataFrame, item: list[str], level: str, choice: str, tie: str) -> DataFrame:
+    """(item, levels, falls, monotone): how often a 0/1 choice falls from one level to the next, equal levels in the order
+    of tie."""
+    step = Ordered(usable(rows).select(*item, level, tie, choice), item, [level, tie]).neighbour("_before", F.col(choice)).rows()
+    return step.groupBy(*item).agg(F.count("*").alias("levels"), F.count_if(F.col("_before.v") > F.col(choice)).alias("falls")).withColumn("monotone", F.col("falls") == 0)
 
 
-def logistic_fit(xs: list[float], ys: list[int]) -> tuple[float, float]:
-    """Intercept and slope of a logistic curve by Newton steps with a small ridge."""
+def logistic_fit(xs: list[float], zeros: list[int], ones: list[int]) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve over levels with counts of both choices, by Newton steps with a small
+    ridge."""
     a = b = 0.0
     for _ in range(ITERATIONS):
-        g0 = g1 = 0.0
-        h00, h01, h11 = RIDGE, 0.0, RIDGE
-        for x, y in zip(xs, ys, strict=True):
-            z = max(-35.0, min(35.0, a + b * x))
-            q = 1 / (1 + math.exp(-z))
-            w = q * (1 - q)
-            g0 += y - q
-            g1 += (y - q) * x
-            h00 += w
-            h01 += w * x
-            h11 += w * x * x
-        g0 -= RIDGE * a
-        g1 -= RIDGE * b
+        g0, g1, h00, h01, h11 = -RIDGE * a, -RIDGE * b, RIDGE, 0.0, RIDGE
+        for x, n0, n1 in zip(xs, zeros, ones, strict=True):
+            q = 1 / (1 + math.exp(-max(-35.0, min(35.0, a + b * x))))
+            r, w = n1 - (n0 + n1) * q, (n0 + n1) * q * (1 - q)
+            g0, g1 = g0 + r, g1 + r * x
+            h00, h01, h11 = h00 + w, h01 + w * x, h11 + w * x * x
         det = h00 * h11 - h01 * h01
         if abs(det) < 1e-18:
             break
@@ -96,34 +90,44 @@ def logistic_fit(xs: list[float], ys: list[int]) -> tuple[float, float]:
     return a, b
 
 
-def switch_point(levels: list[float], choices: list[int]) -> tuple[float, str]:
-    """(point, method) at which 0/1 choices over rising levels in [0, 1] turn from 0 to 1: the midpoint of neighbours if
-    they turn once, a cap if never, else where a fitted logistic curve crosses one half (the midpoint by count where the
-    fit leaves the grid)."""
-    order = sorted(zip(levels, choices, strict=True))
-    xs, ys = [x for x, _ in order], [y for _, y in order]
-    zeros = len(ys) - sum(ys)
-    if not ys:
+def switch_point(levels: list[float], zeros: list[int], ones: list[int]) -> tuple[float, str]:
+    """(point, method) at which 0/1 choices over rising levels in [0, 1] turn from 0 to 1, given how often each was made at
+    each level: the midpoint of neighbours if they turn once, a cap if never, else where a fitted logistic curve crosses
+    one half (the midpoint by count where the fit leaves the grid)."""
+    order = sorted(zip(levels, zeros, ones, strict=True))
+    xs, n0, n1 = ([row[k] for row in order] for k in range(3))
+    none, every = sum(n0), sum(n0) + sum(n1)
+    if not every:
         return float("nan"), "empty"
-    middle = CAP_LOW if zeros == 0 else CAP_HIGH if zeros == len(ys) else (xs[zeros - 1] + xs[zeros]) / 2
-    if ys == sorted(ys):
-        return middle, "cap" if zeros in (0, len(ys)) else "midpoint"
-    a, b = logistic_fit(xs, ys)
+
+    def at(index: int) -> float:
+        for x, a, b in order:
+            index -= a + b
+            if index < 0:
+                return x
+        return xs[-1]
+
+    middle = CAP_LOW if none == 0 else CAP_HIGH if none == every else (at(none - 1) + at(none)) / 2
+    first = next((k for k, n in enumerate(n1) if n), len(xs))
+    if not any(n0[first + 1 :]):
+        return middle, "cap" if none in (0, every) else "midpoint"
+    a, b = logistic_fit(xs, n0, n1)
     if b > 0 and xs[0] <= -a / b <= xs[-1]:
         return -a / b, "logistic"
     return middle, "count"
 
 
 def switch_points(rows: DataFrame, item: list[str], level: str, choice: str) -> DataFrame:
-    """(item, point, method) for each item; levels are scaled to [0, 1] by a tenth. Items are small groups that are sorted
-    into place and read one after the other, never gathered."""
-    ok = usable(rows).select(*item, (F.col(level) / F.lit(10.0)).alias("_x"), F.col(choice).cast("int").alias("_y"))
-    grouped = ok.groupBy(*item).agg(F.collect_list(F.struct("_x", "_y")).alias("_c"))
+    """(item, point, method) for each item; levels are scaled to [0, 1] by a tenth. Choices are counted per level first, so
+    an item has no more entries than there are levels."""
+    x = (F.col(level) / F.lit(10.0)).alias("x")
+    counts = usable(rows).where(F.col(level).isNotNull()).groupBy(*item, x).agg(F.count_if(F.col(choice) == 0).alias("n0"), F.count_if(F.col(choice) == 1).alias("n1"))
+    grouped = counts.groupBy(*item).agg(F.collect_list(F.struct("x", "n0", "n1")).alias("_c"))
     kinds = ", ".join(f"{c} {grouped.schema[c].dataType.simpleString()}" for c in item)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [switch_point([r["_x"] for r in rs], [r["_y"] for r in rs]) for rs in b["_c"]]
+            got = [switch_point([r["x"] for r in rs], [r["n0"] for r in rs], [r["n1"] for r in rs]) for rs in b["_c"]]
             yield b[item].assign(point=[p for p, _ in got], method=[m for _, m in got])
 
     return grouped.mapInPandas(arrow_safe(fit), f"{kinds}, point double, method string")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.operators.ordered import Ordered
 from casemill.runtime import cut
 
 #: Buckets of p between the two steps of running totals.
@@ -156,8 +157,7 @@ def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, draws: int,
     cluster are resampled. Work is draws times clusters, and no more rows than these are shuffled.
     """
     per = usable(rows).groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("bigint")).alias("k"), F.sum(F.pow(F.col("p") - F.col("correct"), 2)).alias("se")).where(F.col(cluster).isNotNull())
-    index = Window.partitionBy(*by).orderBy(cluster)
-    numbered = per.withColumn("_i", F.row_number().over(index) - 1)
+    numbered = cut(Ordered(per, by, [cluster]).number("_i").rows().withColumn("_i", (F.col("_i") - 1).cast("int")))
     size = numbered.groupBy(*by).agg(F.count("*").alias("_m"))
     slots = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_m").cast("int") - 1)))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "_s")), 1, 8), 16, 10).cast("bigint") % F.col("_m")

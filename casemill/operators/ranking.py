@@ -29,11 +29,23 @@ def round_robin(items: DataFrame, case: str, item: str, seed: int) -> DataFrame:
     """items with depth and rank: every case gives one item before any gives a second. Order in a case and between cases
     follows seeded keys, ties the ids. A case's items are numbered inside the case; rank adds the sizes of the levels of
     depth before, and numbers inside a level by ranges of the case's key."""
-    inside = Window.partitionBy(case).orderBy(seeded_key(seed, "item", F.col(item).cast("string")), F.col(item))
-    deep = items.withColumn("depth", F.row_number().over(inside)).withColumn("_k", seeded_key(seed, "case", F.coalesce(F.col(case).cast("string"), F.lit(""))))
+    keyed = items.withColumn("_k", seeded_key(seed, "item", F.col(item).cast("string")))
+    deep = _hashed_numbers(keyed, case, [F.col("_k"), F.col(item)], "depth")
+    deep = deep.withColumn("_k", seeded_key(seed, "case", F.coalesce(F.col(case).cast("string"), F.lit(""))))
     return _level_ranks(deep, "depth", [F.col("_k"), F.col(case), F.col(item)], "rank").drop("_k")
 
 
+def _hashed_numbers(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """df with row numbers within by in the order of the hex key _k: its first two digits cut a group into 256 parts."""
+    parts = df.withColumn("_r", F.substring("_k", 1, 2))
+    sizes = parts.groupBy(by, "_r").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.select(F.col(by).alias("_by"), F.col("_r").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_r").orderBy(*order)))
+    joined = numbered.join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_r") == F.col("_q")))
+    return joined.withColumn(name, (F.col("_i") + F.col("_o")).cast("int")).select(*df.columns, name)
+
+
 def _level_ranks(df: DataFrame, level: str, order: list[Column], name: str, within: list[str] | None = None) -> DataFrame:
     """df with a rank by (level, _k, ...): _k is a hex key, whose first three digits cut a level into 4096 ranges."""
     within = within or []

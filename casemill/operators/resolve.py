@@ -6,7 +6,7 @@ nothing that lost is thrown away.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.runtime import cut
@@ -57,9 +57,8 @@ def verdict_rows(statements: DataFrame, key: list[str], polarity: str, body: str
 def canonical_spelling(rows: DataFrame, key: Column, name: str) -> DataFrame:
     """(key, name, n, spellings): per key the most frequent spelling, of equals the shorter, then the first by order."""
     counts = rows.where(F.col(name).isNotNull()).select(key.alias("key"), F.col(name)).where("key != ''").groupBy("key", name).agg(F.count("*").alias("n"))
-    best = Window.partitionBy("key").orderBy(F.col("n").desc(), F.length(name), F.col(name))
-    spellings = counts.groupBy("key").agg(F.count("*").alias("spellings"), F.sum("n").alias("rows"))
-    return counts.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r").join(spellings, "key").select("key", name, "n", "spellings", "rows")
+    best = counts.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("m"), F.length(name).alias("l"), F.col(name).alias("v"))).alias("_b"), F.count("*").alias("spellings"), F.sum("n").alias("rows"))
+    return best.select("key", F.col("_b.v").alias(name), (-F.col("_b.m")).alias("n"), "spellings", "rows")
 
 
 def lookup_with_parent(rows: DataFrame, book: DataFrame, group: list[str], number: str, text: str) -> DataFrame:

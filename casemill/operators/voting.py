@@ -7,15 +7,16 @@ Null answers or probabilities are the caller's to drop: here they count as value
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def modal(rows: DataFrame, by: list[str], answer: str) -> DataFrame:
     """(by, answer, draws, p, tied): the most frequent answer, of equals the alphabetically first; p its share."""
-    counts = rows.groupBy(*by, F.col(answer).alias("_a")).agg(F.count("*").alias("n"))
-    top = counts.groupBy(*by).agg(F.max("n").alias("top"), F.sum("n").alias("draws"), F.min(F.struct((-F.col("n")).alias("m"), F.col("_a").alias("a"))).alias("best"), F.collect_list("n").alias("ns"))
-    return top.select(*by, F.col("best.a").alias(answer), "draws", (F.col("top") / F.col("draws")).alias("p"), (F.size(F.filter("ns", lambda x: x == F.col("top"))) > 1).alias("tied"))
+    counts = rows.groupBy(*by, F.col(answer).alias("_a")).agg(F.count("*").alias("_n"))
+    levels = counts.groupBy(*by, "_n").agg(F.count("*").alias("_c"), F.min("_a").alias("_a"))
+    best = levels.groupBy(*by).agg(F.max(F.struct("_n", "_c", "_a")).alias("_b"), F.sum(F.col("_n") * F.col("_c")).alias("draws"))
+    return best.select(*by, F.col("_b._a").alias(answer), "draws", (F.col("_b._n") / F.col("draws")).alias("p"), (F.col("_b._c") > 1).alias("tied"))
 
 
 def prefix_votes(rows: DataFrame, by: list[str], repeat: str, answer: str, sizes: list[int]) -> DataFrame:
@@ -37,9 +38,8 @@ def linear_pool(rows: DataFrame, by: list[str], answer: str, p: str, positive: s
 def dispersion(rows: DataFrame, by: list[str], answer: str, p: str) -> DataFrame:
     """(by, draws, entropy, sd, low, high): entropy of the answers in bits, and spread of the probabilities."""
     counts = rows.groupBy(*by, F.col(answer).alias("_a")).agg(F.count("*").alias("n"))
-    total = Window.partitionBy(*by)
-    share = counts.withColumn("_f", F.col("n") / F.sum("n").over(total))
-    entropy = share.groupBy(*by).agg((-F.sum(F.col("_f") * F.log2("_f"))).alias("entropy"))
+    # With n draws and counts c: entropy = log2 n - (sum of c log2 c) / n, so no share is needed per answer.
+    entropy = counts.groupBy(*by).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
     spread = rows.groupBy(*by).agg(F.count("*").alias("draws"), F.stddev_pop(p).alias("sd"), F.min(p).alias("low"), F.max(p).alias("high"))
     return spread.join(entropy, by).select(*by, "draws", (F.col("entropy") + 0.0).alias("entropy"), "sd", "low", "high")
 

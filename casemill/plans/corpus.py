@@ -60,8 +60,8 @@ def sibling_components(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "cases")
     declared = cases.select(F.col("case_number").alias("a"), F.explode("sibling_cases").alias("b"))
     known = cases.select(F.col("case_number").alias("b")).distinct()
-    shared = cases.select("case_number", F.explode("source_files").alias("f")).groupBy("f").agg(F.min("case_number").alias("b"), F.collect_set("case_number").alias("all"))
-    by_file = shared.select(F.explode("all").alias("a"), "b")
+    by_case = cases.select(F.col("case_number").alias("a"), F.explode("source_files").alias("f"))
+    by_file = by_case.join(by_case.groupBy("f").agg(F.min("a").alias("b")), "f").select("a", "b")
     loops = cases.select(F.col("case_number").alias("a"), F.col("case_number").alias("b"))
     return graph.components(declared.join(known, "b", "left_semi").select("a", "b").union(by_file).union(loops), "a", "b")
 
@@ -284,8 +284,7 @@ ORACLE_SQL = {
 SELECT doc_id, source FROM r ORDER BY p, size DESC, k, doc_id LIMIT 100""",
     "hash_split": f"SELECT doc_id, CASE WHEN u < 0.6 THEN 'train' WHEN u < 0.8 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5('{SEED}|' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM documents WHERE source IS NOT NULL)",
     "content_ids": "SELECT pane_id, substr(sha256(concat_ws(chr(10), file, pane, sha256(text))), 1, 16) AS content_id FROM panes",
-    "dedupe_siblings": """WITH g AS (SELECT task, case_number, sha256(extract_text) AS digest, list_sort(list(DISTINCT item_id)) AS ids FROM eval_items GROUP BY ALL)
-SELECT ids[1] AS item_id, CAST(len(ids) AS BIGINT) AS n, array_to_string(ids[2:], ',') AS others FROM g""",
+    "dedupe_siblings": """SELECT item_id, min(item_id) OVER g AS keeper, count(*) OVER g AS n FROM (SELECT DISTINCT item_id, task, case_number, sha256(extract_text) AS digest FROM eval_items WHERE item_id IS NOT NULL) WINDOW g AS (PARTITION BY task, case_number, digest)""",
     "exact_copies": """SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text), length(text)) AS class, count(*) OVER (PARTITION BY md5(text), length(text)) AS copies FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL""",
     "repeated_fetches": "SELECT file, count(*) AS fetches, min(page_id) AS first_page, count(DISTINCT completed_date) AS versions FROM pages WHERE file IS NOT NULL GROUP BY file",
     "sibling_components": """WITH RECURSIVE f AS (SELECT case_number, unnest(source_files) AS f FROM cases), s AS (SELECT case_number AS a, unnest(sibling_cases) AS b FROM cases),

@@ -159,7 +159,7 @@ def implied_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monotone_violations(spark: SparkSession, d: str) -> DataFrame:
-    return deferral.monotone_patterns(scored(spark, d).where("protocol = 'P1'"), ["item_id", "model"], "repeat_index", "correct")
+    return deferral.monotone_patterns(scored(spark, d).where("protocol = 'P1'"), ["item_id", "model"], "repeat_index", "correct", "response_id")
 
 
 def switch_points(spark: SparkSession, d: str) -> DataFrame:

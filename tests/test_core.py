@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casemill.functions import text as t
-from casemill.operators import deferral, gates, graph, intervals, ledger, metrics, packed, pages, ranking, resolve, voting
+from casemill.operators import dedupe, deferral, gates, graph, intervals, ledger, metrics, packed, pages, ranking, resolve, voting
 from casemill.sources import jsonl
 from casemill.streaming import receipts
 
@@ -140,14 +140,19 @@ def test_votes(spark):
     [([0, 0, 0, 1, 1], 0.80, "midpoint"), ([0, 1, 1, 1, 1], 0.60, "midpoint"), ([0, 0, 0, 0, 1], 0.90, "midpoint"), ([0] * 5, 0.97, "cap"), ([1] * 5, 0.53, "cap")],
 )
 def test_switch_points(choices, point, method):
-    assert deferral.switch_point([0.55, 0.65, 0.75, 0.85, 0.95], choices) == (pytest.approx(point), method)
+    assert _switch([0.55, 0.65, 0.75, 0.85, 0.95], choices) == (pytest.approx(point), method)
+
+
+def _switch(levels, choices):
+    return deferral.switch_point(levels, [1 - y for y in choices], choices)
 
 
 def test_switch_points_that_turn_twice():
-    x, how = deferral.switch_point([0.55, 0.65, 0.75, 0.85, 0.95], [0, 1, 0, 1, 1])
+    x, how = _switch([0.55, 0.65, 0.75, 0.85, 0.95], [0, 1, 0, 1, 1])
     assert how == "logistic" and 0.55 < x < 0.95
-    assert deferral.switch_point([0.55, 0.65, 0.75, 0.85, 0.95], [1, 1, 0, 0, 0]) == (pytest.approx(0.80), "count")
-    assert deferral.switch_point([0.75], [0])[0] == 0.97 and deferral.switch_point([], [])[1] == "empty"
+    assert _switch([0.55, 0.65, 0.75, 0.85, 0.95], [1, 1, 0, 0, 0]) == (pytest.approx(0.80), "count")
+    assert _switch([0.75], [0])[0] == 0.97 and deferral.switch_point([], [], [])[1] == "empty"
+    assert deferral.switch_point([0.5, 0.7], [3, 0], [1, 2]) == (0.5, "midpoint")
 
 
 def test_levels_and_bins(spark):
@@ -198,6 +203,31 @@ def test_intervals(spark):
         assert {r.at for r in intervals.in_any_span(points, spans, ["k"], "at", "s", "e", slot).collect()} == {0, 1, 2, 3, 4, 8}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ordered_against_a_loop(spark, seed):
+    from casemill.operators.ordered import Ordered
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), k, rng.choice([None, 1, 2, 3])) for k in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "k string, at int, v int").repartition(5)
+    made = Ordered(df, ["k"], ["at"]).total("s", F.col("v")).number("n").largest_before("m", F.col("v")).last_seen("l", F.col("v")).neighbour("p", F.col("v")).neighbour("f", F.col("at"), ahead=True).rows()
+    got = {(r.k, r.at): (r.s, r.n, r.m, r.l, r.p.v if r.p else "start", r.f.v if r.f else "end") for r in made.collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((at, v) for k, at, v in rows if k == key)
+        for i, (at, _) in enumerate(own):
+            seen = [v for _, v in own[: i + 1] if v is not None]
+            before = [v for _, v in own[:i] if v is not None]
+            want[key, at] = (sum(seen), i + 1, max(before, default=None), seen[-1] if seen else None, own[i - 1][1] if i else "start", own[i + 1][0] if i + 1 < len(own) else "end")
+    assert got == want
+
+
+def test_dedupe(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x"), (3, None), (4, None), (None, "x"), (5, "")], "id bigint, text string")
+    assert {tuple(r) for r in dedupe.collapse(df, ["text"], "id").collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2), (5, 5, 1)}
+    assert {tuple(r) for r in dedupe.classes(df.distinct(), "id", "text").collect()} == {(1, 1, 2), (2, 1, 2), (5, 5, 1)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
