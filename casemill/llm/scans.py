@@ -109,24 +109,24 @@ def corpus_counts(corpus: DataFrame, text: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         pairs: Counter = Counter()
+        known: dict[str, str] = {}
 
         def out() -> pd.DataFrame:
-            cores = {w: core(w) or ("#" if re.search(r"\d", w) else "") for w in words}
-            total: Counter = Counter()
-            for w, n in words.items():
-                total[cores[w]] += n
-            for (a, b), n in pairs.items():
-                if (x := cores[a]) and (y := cores[b]):
-                    total[f"{x} {y}"] += n
-            total.pop("", None)
-            return pd.DataFrame({"key": list(total), "n": list(total.values())})
+            total = [(w, n) for w, n in words.items() if w] + [(f"{a} {b}", n) for (a, b), n in pairs.items() if a and b]
+            return pd.DataFrame(total, columns=["key", "n"])
 
         for b in batches:
             for t in b.t:
-                for line in t.split("\n"):
-                    tokens = line.split()
-                    words.update(tokens)
-                    pairs.update(zip(tokens, tokens[1:], strict=False))
+                cores = []
+                for w in t.split():
+                    c = known.get(w)
+                    if c is None:
+                        c = known[w] = core(w) or ("#" if re.search(r"\d", w) else "")
+                    cores.append(c)
+                words.update(cores)
+                pairs.update(zip(cores, cores[1:], strict=False))
+            if len(known) > COUNTED:
+                known.clear()
             if len(pairs) > COUNTED:
                 yield out()
                 words, pairs = Counter(), Counter()
@@ -140,13 +140,23 @@ def _break_keys(a: str, b: str) -> list[str]:
     return [a, b, a + b, f"{a}-{b}", f"{a} {b}"]
 
 
+def _halves(a_token: str, b_token: str) -> tuple[str, str] | None:
+    """The two cores of a line's last and the next line's first token, where they may be halves of one word at all."""
+    marked = a_token[-1:] in BREAK_MARKS
+    if not marked and not (b_token[:1].islower() and a_token[-1:].isalpha()) or not re.match(r"[\W_]*[^\W\d_]", b_token):
+        return None
+    a, b = core(a_token.rstrip(BREAK_MARKS)), core(b_token)
+    return (a, b) if a and b and not re.search(r"\d{2}", a + b) else None
+
+
 def broken(a_token: str, b_token: str, hint: bool | None, count, total: float) -> str | None:
     """The word, as it must be written, that a line's last and the next line's first token are the halves of; None where
     they are two words or a compound that keeps its hyphen. count gives the corpus count of a word, pair or best candidate."""
-    mark = a_token[-1:] if a_token[-1:] in BREAK_MARKS else ""
-    a, b = core(a_token.rstrip(BREAK_MARKS)), core(b_token)
-    if not a or not b or not re.match(r"[\W_]*[^\W\d_]", b_token) or re.search(r"\d{2}", a + b):
+    halves = _halves(a_token, b_token)
+    if halves is None:
         return None
+    a, b = halves
+    mark = a_token[-1:] if a_token[-1:] in BREAK_MARKS else ""
     whole, compound = count(a + b), count(f"{a}-{b}")
     if mark in SURE_MARKS and mark:
         return a + b if whole >= compound else None
@@ -154,7 +164,7 @@ def broken(a_token: str, b_token: str, hint: bool | None, count, total: float) -
         if whole or compound:
             return a + b if whole > compound else None
         return a + b if not (count(a) and count(b)) and b_token[:1].islower() else None
-    if not whole or not b_token[:1].islower() or _TERMINAL.search(a_token) or re.search(r"\W$", a_token):
+    if not whole:
         return None
     apart = max(count(a), 0.5) / total * (count(f"{a} {b}") + PAIR_PRIOR * max(count(b), 0.1) / total) / (count(a) + PAIR_PRIOR)
     return a + b if whole / total * BREAK_PRIOR[hint] > apart else None
@@ -173,16 +183,18 @@ class _Page:
         chain = [*([self.before] if self.before else []), *self.lines, *([self.after] if self.after else [])]
         return [(x, y) for x, y in zip(chain, chain[1:], strict=False) if x[1].split() and y[1].split()]
 
-    def keys(self) -> set[str]:
-        out: set[str] = set()
-        for (_, x, _), (_, y, _) in self.breaks():
-            a, b = core(x.split()[-1].rstrip(BREAK_MARKS)), core(y.split()[0])
-            if a and b:
-                out.update(_break_keys(a, b)[:4])
-        for _, text, _ in self.lines:
-            out.update(c for t in text.split() if (c := core(t)))
-        out.update(f for w in tuple(out) if "'" in w or "-" in w for f in re.split(r"-|'s$", w) if f)
-        return out
+    def break_keys(self) -> set[str]:
+        """What the counts must be asked for the line breaks, pairs included."""
+        return {k for (_, x, _), (_, y, _) in self.breaks() if (h := _halves(x.split()[-1], y.split()[0])) for k in _break_keys(*h)}
+
+    def words(self) -> set[str]:
+        """Words in which characters may be misread: all words, and what the halves over the breaks make."""
+        out = {c for _, text, _ in self.lines for t in text.split() if (c := core(t))}
+        return out | {k for k in self.break_keys() if " " not in k}
+
+
+def _parts(word: str) -> list[str]:
+    return [p for p in re.split(r"-|'s$", word) if p]
 
 
 def _known(word: str, n) -> float:
@@ -190,8 +202,7 @@ def _known(word: str, n) -> float:
     own = n(word)
     if own or not re.search(r"-|'s$", word):
         return own
-    parts = [p for p in re.split(r"-|'s$", word) if p]
-    return min((n(p) for p in parts), default=0)
+    return min((n(p) for p in _parts(word)), default=0)
 
 
 class ScanRepair:
@@ -262,7 +273,7 @@ class ScanRepair:
 
         def types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [(row.pid, key) for row in b.itertuples(index=False) for key in _Page(row).keys()]
+                out = [(row.pid, key) for row in b.itertuples(index=False) for key in _Page(row).words()]
                 yield pd.DataFrame(out, columns=["pid", "key"])
 
         asked = cut(self.pages.mapInPandas(arrow_safe(types), "pid bigint, key string"))
@@ -297,21 +308,19 @@ class ScanRepair:
                 for row in b.itertuples(index=False):
                     options = _options(row.doubts)
                     page = _Page(row)
-                    out.update((row.pid, k) for k in page.keys())
-                    out.update((row.pid, o[0]) for own in options.values() for o in own)
-                    for (_, x, _), (_, y, _) in page.breaks():
-                        a, c = core(x.split()[-1].rstrip(BREAK_MARKS)), core(y.split()[0])
-                        if a and c:
-                            out.add((row.pid, f"{a} {c}"))
+                    asked_here = page.break_keys()
                     for _, text, _ in page.lines:
                         cores = [core(t) or "#" for t in text.split()]
                         for i, w in enumerate(cores):
                             if w in options:
-                                for v in (w, *(o[0] for o in options[w])):
-                                    for u in ((cores[i - 1], *(o[0] for o in options.get(cores[i - 1], ()))) if i else ()):
-                                        out.add((row.pid, f"{u} {v}"))
-                                    for u in (cores[i + 1], *(o[0] for o in options.get(cores[i + 1], ()))) if i + 1 < len(cores) else ():
-                                        out.add((row.pid, f"{v} {u}"))
+                                own = [w, *(o[0] for o in options[w])]
+                                left = [cores[i - 1], *(o[0] for o in options.get(cores[i - 1], ()))] if i else []
+                                right = [cores[i + 1], *(o[0] for o in options.get(cores[i + 1], ()))] if i + 1 < len(cores) else []
+                                asked_here.update((*own, *left, *right))
+                                asked_here.update(f"{u} {v}" for v in own for u in left)
+                                asked_here.update(f"{v} {u}" for v in own for u in right)
+                    asked_here.update([p for k in asked_here if " " not in k and ("-" in k or "'" in k) for p in _parts(k)])
+                    out.update((row.pid, k) for k in asked_here)
                 yield pd.DataFrame(sorted(out), columns=["pid", "key"])
 
         found = pages.mapInPandas(arrow_safe(pairs), "pid bigint, key string").join(counts, "key").groupBy("pid").agg(F.collect_list(F.struct("key", "n")).alias("known"))
@@ -391,7 +400,12 @@ def _viterbi(words: list[str], options: dict, n, chance: dict, floor: float, tot
     best: dict[str, tuple[float, list[str]]] = {}
     for k, w in enumerate(words):
         new: dict[str, tuple[float, list[str]]] = {}
-        for v, channel in states(w):
+        choices = states(w)
+        if len(choices) == 1 and len(best) == 1:  # nothing to decide between
+            (score, path), = best.values()
+            best = {w: (score, [*path, w])}
+            continue
+        for v, channel in choices:
             if k == 0:
                 new[v] = (likelihood(None, v) + channel, [v])
             else:
