@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.runtime import arrow_safe, cut
@@ -43,6 +43,8 @@ EDGE_SHARE, REPEAT_SHARE = 0.9, 0.2
 BREAK_PRIOR = {True: 0.5, None: 0.05, False: 0.01}
 #: Strength of the single-word counts in the likelihood of word pairs.
 PAIR_PRIOR = 50.0
+#: Pages in one bucket of the numbering of paragraphs.
+PAGE_BUCKET = 1024
 #: Distinct words and pairs that a worker counts before it passes them on.
 COUNTED = 400_000
 
@@ -351,11 +353,11 @@ class ScanRepair:
                 for row in b.itertuples(index=False):
                     own = [x for x in row.decoded if not x["furniture"] and (x["seen"] or "").strip()]
                     width = max((len(x["seen"]) for x in own), default=0)
-                    texts, ended = [], None
+                    texts, ended, glued = [], None, False
                     for x in own:
                         heading = x["seen"].isupper() and len(x["seen"]) < 0.7 * width
                         if texts and not ended and not heading:
-                            texts[-1] = texts[-1] + x["text"] if glued else f"{texts[-1]} {x['text']}"  # noqa: F821
+                            texts[-1] = texts[-1] + x["text"] if glued else f"{texts[-1]} {x['text']}"
                         else:
                             texts.append(x["text"])
                         glued = x["goes_on"] is not None
@@ -368,11 +370,17 @@ class ScanRepair:
                         out.append((row.file, row.page, k, t, k == 0 and opens, not (last and not ended), last and bool(own) and own[-1]["goes_on"] is not None))
                 yield pd.DataFrame(out, columns=["file", "page", "k", "text", "opens", "closed", "glued"])
 
-        cutted = self.decoded.where("place = ''").mapInPandas(arrow_safe(pieces), "file string, page bigint, k int, text string, opens boolean, closed boolean, glued boolean")
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("file").orderBy("page", "k")
-        numbered = cutted.withColumn("on", F.col("opens") & ~F.coalesce(F.lag("closed").over(order), F.lit(True))).withColumn("paragraph", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(order))
+        found = cut(self.decoded.where("place = '' and file is not null").mapInPandas(arrow_safe(pieces), "file string, page bigint, k int, text string, opens boolean, closed boolean, glued boolean"))
+        # Paragraph numbers over pages: what each page adds, summed over buckets of pages first, so a report may be of any length.
+        pages = found.groupBy("file", "page").agg(F.count("*").alias("pieces"), F.min_by("opens", "k").alias("opens"), F.max_by("closed", "k").alias("closed"))
+        before = pages.select("file", (F.col("page") + 1).alias("page"), F.col("closed").alias("closed_before"))
+        pages = pages.join(before, ["file", "page"], "left").withColumn("on", F.col("opens") & ~F.coalesce("closed_before", F.lit(True)))
+        pages = pages.withColumns({"adds": F.col("pieces") - F.col("on").cast("int"), "bucket": F.floor(F.col("page") / PAGE_BUCKET)})
+        over = Window.partitionBy("file").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        buckets = pages.groupBy("file", "bucket").agg(F.sum("adds").alias("adds")).select("file", "bucket", F.coalesce(F.sum("adds").over(over), F.lit(0)).alias("below"))
+        inside = Window.partitionBy("file", "bucket").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        starts = pages.withColumn("within", F.coalesce(F.sum("adds").over(inside), F.lit(0))).join(buckets, ["file", "bucket"]).select("file", "page", "on", (F.col("below") + F.col("within")).alias("start"))
+        numbered = found.join(starts, ["file", "page"]).withColumn("paragraph", F.col("start") + F.col("k") + F.when(F.col("on"), 0).otherwise(1))
         parts = numbered.groupBy("file", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page", "k", "text", "glued"))).alias("parts"))
         joined = F.aggregate("parts", F.struct(F.lit("").alias("t"), F.lit(True).alias("g")), lambda acc, p: F.struct(F.concat(acc.t, F.when(acc.g, F.lit("")).otherwise(F.lit(" ")), p.text).alias("t"), p.glued.alias("g")))
         return parts.select("file", F.col("paragraph").cast("int").alias("paragraph"), joined.t.alias("text"))
