@@ -54,44 +54,62 @@ def adaptive_bins(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     Of B bins over n rows, bin i ends at the first cumulative count that is at least both round-half-even((i+1)n/B) and
     one past the end before; there may be fewer than B.
     """
+    return _bins(cut(running(histogram(rows, by), by, ["n", "k"])), by, bins)
+
+
+def _bins(curve: DataFrame, by: list[str], bins: int) -> DataFrame:
     if bins < 1:
         raise ValueError("bins must be 1 or more")
-    total = Window.partitionBy(*by)
-    curve = cut(running(histogram(rows, by), by, ["n", "k"]))
-    ends = curve.groupBy(*by).agg(F.sum("n").alias("total")).withColumn("end", F.lit(0).cast("bigint"))
-    found = None
-    for i in range(bins):
-        need = F.least("total", F.greatest(F.bround(F.lit(i + 1) * F.col("total") / F.lit(float(bins)), 0).cast("bigint"), F.col("end") + 1))
-        asked = ends.where("end < total").withColumn("need", need)
-        on = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
-        step = asked.alias("a").join(curve.alias("c"), [*on, F.col("c.c_n") >= F.col("a.need")]).groupBy(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.end").alias("start"), F.col("a.total").alias("total")).agg(F.min("c.c_n").alias("end"))
-        step = cut(step)
-        one = step.withColumn("bin", F.lit(i))
-        found = one if found is None else found.unionByName(one)
-        ends = step.drop("start")
-    del total
+    ends = curve.groupBy(*by).agg(F.sum("n").alias("total")).withColumn("ends", F.array(F.lit(0).cast("bigint")))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
+    for i in range(bins):  # one row per group goes through; the next end is the least count of the curve that suffices
+        last = F.element_at("ends", -1)
+        need = F.greatest(F.bround(F.lit(i + 1) * F.col("total") / F.lit(float(bins)), 0).cast("bigint"), last + 1)
+        asked = ends.withColumn("need", F.when(last < F.col("total"), F.least("total", need)))
+        found = asked.alias("a").join(curve.select(*by, "c_n").alias("c"), [*same, F.col("c.c_n") >= F.col("a.need")], "left")
+        step = found.groupBy(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.total").alias("total"), F.col("a.ends").alias("ends")).agg(F.min("c.c_n").alias("end"))
+        ends = step.withColumn("ends", F.when(F.col("end").isNotNull(), F.array_append("ends", F.col("end"))).otherwise(F.col("ends"))).drop("end")
+    ends = cut(ends)
+    ranges = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((k - 1).alias("bin"), F.get("ends", k - 1).alias("start"), F.get("ends", k).alias("end")))
+    placed = ends.where(F.size("ends") > 1).select(*by, F.explode(ranges).alias("r")).select(*by, "r.*")
     on = [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
-    inside = found.alias("b").join(curve.alias("c"), [*on, F.col("c.c_n") > F.col("b.start"), F.col("c.c_n") <= F.col("b.end")])
+    inside = placed.alias("b").join(curve.alias("c"), [*on, F.col("c.c_n") > F.col("b.start"), F.col("c.c_n") <= F.col("b.end")])
     out = inside.groupBy(*(F.col(f"b.{c}").alias(c) for c in by), F.col("b.bin").alias("bin")).agg(F.sum("c.n").alias("n"), F.min("c.p").alias("min_p"), F.max("c.p").alias("max_p"), F.sum(F.col("c.p") * F.col("c.n")).alias("_sp"), F.sum("c.k").alias("_k"))
     return out.select(*by, "bin", "n", "min_p", "max_p", (F.col("_sp") / F.col("n")).alias("mean_p"), (F.col("_k") / F.col("n")).alias("accuracy"), (F.col("_k") / F.col("n") - F.col("_sp") / F.col("n")).alias("gap"))
 
 
 def ece(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """(by, ece): share-weighted mean of the absolute gaps of the adaptive bins."""
-    return adaptive_bins(rows, by, bins).groupBy(*by).agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("ece"))
+    return _ece(adaptive_bins(rows, by, bins), by)
+
+
+def _ece(made: DataFrame, by: list[str]) -> DataFrame:
+    return made.groupBy(*by).agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("ece"))
 
 
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, auroc): chance that a correct row has a larger p than a wrong one, ties one half; null with one class only."""
-    curve = running(histogram(rows, by), by, ["n"])
+    return _auroc(running(histogram(rows, by), by, ["n"]), by)
+
+
+def _auroc(curve: DataFrame, by: list[str]) -> DataFrame:
     ranked = curve.groupBy(*by).agg(F.sum("k").alias("pos"), F.sum("n").alias("all"), F.sum((F.col("c_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)) * F.col("k")).alias("ranks"))
     pos, neg = F.col("pos").cast("double"), (F.col("all") - F.col("pos")).cast("double")
     return ranked.select(*by, ((F.col("ranks") - pos * (pos + 1) / 2) / F.nullif(pos * neg, F.lit(0.0))).alias("auroc"))
 
 
 def metric_set(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    """(by, n, accuracy, brier, mean_p, ece, auroc)."""
-    return means(rows, by).join(ece(rows, by, bins), by, "left").join(auroc(rows, by), by, "left")
+    """(by, n, accuracy, brier, mean_p, ece, auroc), all from one histogram of distinct p."""
+    curve = cut(running(histogram(rows, by), by, ["n", "k"]))
+    p, n, k = F.col("p"), F.col("n"), F.col("k")
+    total = F.sum(n)
+    simple = curve.groupBy(*by).agg(total.alias("n"), (F.sum(k) / total).alias("accuracy"), (F.sum(k * F.pow(1 - p, 2) + (n - k) * F.pow(p, 2)) / total).alias("brier"), (F.sum(n * p) / total).alias("mean_p"))
+    out = simple.alias("s")
+    for other in (_ece(_bins(curve, by, bins), by), _auroc(curve, by)):
+        renamed = other.select(*(F.col(c).alias(f"_{c}") for c in by), *(c for c in other.columns if c not in by))
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        out = out.join(renamed, on, "left").drop(*(f"_{c}" for c in by))
+    return out
 
 
 def case_weighted(rows: DataFrame, by: list[str], case: str) -> DataFrame:
