@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,17 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "c
     )
 
 
+def _importable(spark: SparkSession) -> None:
+    """Lets Python workers on machines that see this folder import the package; elsewhere it goes out with --py-files."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,6 +77,7 @@ atexit.register(_remove_written)
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Cuts the lineage: writes df once, as Parquet, to the shared folder, and reads it back. A lost executor then
     costs no recomputation of what stands before, and the reader prunes columns."""
+    _importable(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/casemill-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
