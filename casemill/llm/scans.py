@@ -37,7 +37,10 @@ MONTHS = "january february march april may june july august september october no
 MAX_MISREAD = 2
 #: A known word is doubted only where a candidate is so many times as frequent.
 DOUBT_RATIO = 50
-#: Share of a shape's lines that must stand at page edges, and of its reports in which it must come back, for a running line.
+#: Lines at the top and at the bottom of a page among which its furniture stands: it may have slipped between others.
+EDGE_LINES = 3
+#: Share of a shape's lines that must stand at page edges, and of its reports in which it must come back, for a running line;
+#: it must come back in two reports, or stand on three pages of one.
 EDGE_SHARE, REPEAT_SHARE = 0.9, 0.2
 #: Chance that a line break without mark breaks a word, by the hint given with the line.
 BREAK_PRIOR = {True: 0.5, None: 0.05, False: 0.01}
@@ -239,7 +242,7 @@ class ScanRepair:
         def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 texts = [(t or "").strip() for t in b.text]
-                edge = [not p and (k < 2 or k >= n - 2) for p, k, n in zip(b.place, b.k, b.size_, strict=True)]
+                edge = [not p and (k < EDGE_LINES or k >= n - EDGE_LINES) for p, k, n in zip(b.place, b.k, b.size_, strict=True)]
                 yield b.assign(shape=[shape(t) if not p else "" for t, p in zip(texts, b.place, strict=True)], edge=edge, alone=[bool(e and t and (_PAGE_NUMBER.fullmatch(t) or _CASE_TITLE.match(t))) for t, e in zip(texts, edge, strict=True)])
 
         shaped_type = f"file string, page bigint, place string, size_ int, k int, line_id {self.id_type}, text string, hint boolean, shape string, edge boolean, alone boolean"
@@ -248,19 +251,11 @@ class ScanRepair:
         per_file = shapes.groupBy("shape", "file").agg(F.count_if("edge").alias("edges"), F.count("*").alias("n"), F.countDistinct("page").alias("on"))
         size = grouped.groupBy("file").agg(F.countDistinct("page").alias("pages"))
         many = per_file.join(size.where("file is not null"), "file")
-        running = many.groupBy("shape").agg(F.sum("edges").alias("edges"), F.sum("n").alias("n"), F.count_if(F.col("on") > 1).alias("again"), F.count_if(F.col("pages") > 1).alias("could")).where((F.col("edges") >= EDGE_SHARE * F.col("n")) & (F.col("again") > 0) & (F.col("again") >= REPEAT_SHARE * F.col("could"))).select("shape", F.lit(True).alias("running"))
+        running = many.groupBy("shape").agg(F.sum("edges").alias("edges"), F.sum("n").alias("n"), F.count_if(F.col("on") > 1).alias("again"), F.max("on").alias("most"), F.count_if(F.col("pages") > 1).alias("could")).where((F.col("edges") >= EDGE_SHARE * F.col("n")) & ((F.col("again") > 1) | (F.col("most") > 2)) & (F.col("again") >= REPEAT_SHARE * F.col("could"))).select("shape", F.lit(True).alias("running"))
 
         marked = lines.join(running, "shape", "left").withColumn("f", F.col("alone") | F.col("edge") & F.coalesce("running", F.lit(False)))
         back = marked.groupBy("file", "page", "place").agg(F.array_sort(F.collect_list(F.struct("k", "line_id", "text", "hint", "f"))).alias("rows"))
-        n = F.size("rows")
-        at = lambda i: F.coalesce(F.get("rows", i)["f"], F.lit(False))
-
-        def final(x, i):
-            top = (i == 0) & x.f | (i == 1) & x.f & at(F.lit(0))
-            bottom = (i == n - 1) & x.f | (i == n - 2) & x.f & at(n - 1)
-            return F.struct(x.line_id.alias("line_id"), x.text.alias("text"), x.hint.alias("hint"), (top | bottom).alias("furniture"))
-
-        pages = back.select("file", "page", "place", F.transform("rows", final).alias("lines"))
+        pages = back.select("file", "page", "place", F.transform("rows", lambda x: F.struct(x.line_id.alias("line_id"), x.text.alias("text"), x.hint.alias("hint"), x.f.alias("furniture"))).alias("lines"))
         own = F.filter("lines", lambda x: ~x.furniture & (F.trim(x.text) != ""))
         pages = cut(pages.withColumns({"first": F.get(own, F.lit(0)), "last": F.get(own, F.size(own) - 1)}))
         whole = pages.where("place = '' and file is not null")

@@ -111,13 +111,14 @@ def _scan_rows():
             odd = "abc".index(f) * 3 + p
             body = ["The complainant said that the booklet was presen-", "ted as if it settled the matter, although the", "randomised tria1 had been left out. The company", "denied that the reader would have found it"]
             if f == "a" and p == 1:
-                body = ["PANEL RULING", "The decision to re-", "use the booklet had been an isolated error. The cornpla¬", "inant said that the"]
+                body = ["PANEL RULING", "The decision to re-", "use the booklet had been an isolated error. The cornpla¬", "inant said that the"]  # the compound keeps its hyphen
             ends = [" ".join(["matter"] * odd) + " was found.", " ".join(["booklet"] * odd) + " was left."]
             if f == "b" and p == 1:
                 ends[1] = "denied that the rea"
             if f == "b" and p == 2:
                 ends[0] = "der would have found it misleading."
-            lines = [f"Quarterly Casebook May 2017   {p}", ends[0], *body, ends[1], f"page {p}"]
+            own = [" ".join([w] * odd) + " was considered." for w in ("reader", "company", "error", "decision")]
+            lines = [f"Quarterly Casebook May 2017   {p}", ends[0], *own[:2], *body, *own[2:], ends[1], f"page {p}"]
             files += [(f, p, k + 1, line) for k, line in enumerate(lines)]
     return [(n, f, p, k, t, None) for n, (f, p, k, t) in enumerate(files)]
 
@@ -129,12 +130,12 @@ def test_scan_repair(spark):
     made = scans.ScanRepair(lines, corpus, "text")
     got = {(r.line_id, r.defect) for r in made.defects().collect()}
     by = {(f, p, k): n for n, f, p, k, _, _ in rows}
-    assert {n for n, d in got if d == "page_furniture"} == {by[f, p, k] for f in "abc" for p in (1, 2, 3) for k in (1, 8)}
-    assert (by["a", 1, 5], "broken_word") in got and (by["a", 1, 5], "misread") in got  # cornpla / inant
-    assert (by["a", 1, 4], "broken_word") not in got  # re-use keeps its hyphen
-    assert (by["b", 1, 7], "broken_word") in got  # without mark, over the page
-    assert (by["a", 2, 3], "broken_word") in got and (by["a", 2, 5], "misread") in got
-    assert {d for n, d in got if n == by["a", 2, 4]} == set()
+    assert {n for n, d in got if d == "page_furniture"} == {by[f, p, k] for f in "abc" for p in (1, 2, 3) for k in (1, 12)}
+    assert (by["a", 1, 7], "broken_word") in got and (by["a", 1, 7], "misread") in got  # cornpla / inant
+    assert (by["a", 1, 6], "broken_word") not in got  # re-use keeps its hyphen
+    assert (by["b", 1, 11], "broken_word") in got  # without mark, over the page
+    assert (by["a", 2, 5], "broken_word") in got and (by["a", 2, 7], "misread") in got
+    assert {d for n, d in got if n == by["a", 2, 6]} == set()
     text = " ".join(r.text for r in made.paragraphs().where("file = 'a'").orderBy("paragraph").collect())
     assert "The decision to re-use the booklet had been an isolated error. The complainant said" in text
     assert "randomised trial had been" in text and "Quarterly" not in text and "page 1" not in text
