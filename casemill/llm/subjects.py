@@ -196,7 +196,7 @@ def train(examples: DataFrame, outputs: int, seed: int = 0) -> Model:
                         yield pd.DataFrame({"part": [part], "docs": [batch.docs], "g": [b"".join(x.tobytes() for x in batch.gradient(now, warm))]})
 
         got = ready.mapInPandas(arrow_safe(partial), "part int, docs bigint, g binary").collect()  # TRAIN_PARTITIONS gradients
-        shared.unpersist()
+        shared.destroy()
         docs = sum(r.docs for r in got)
         if not docs:
             break
