@@ -46,6 +46,8 @@ EDGE_SHARE, REPEAT_SHARE = 0.9, 0.2
 BREAK_PRIOR = {True: 0.5, None: 0.05, False: 0.01}
 #: Strength of the single-word counts in the likelihood of word pairs.
 PAIR_PRIOR = 50.0
+#: Pairs of a doubted word and a candidate up to which they are broadcast (some 200 bytes each); above, they are joined.
+DOUBTS_BROADCAST = 100_000
 #: Pages in one bucket of the numbering of paragraphs.
 PAGE_BUCKET = 1024
 #: Distinct words and pairs that a worker counts before it passes them on.
@@ -72,20 +74,42 @@ def fold(text: str) -> str:
 _MONTH_SHAPES = {fold(m) for m in MONTHS}
 
 
+#: What a worker remembers of tokens, up to so many of them.
+TOKENS_KEPT = 300_000
+_pieces: dict[str, str] = {}
+_cores: dict[str, str] = {}
+
+
+def _piece(token: str) -> str:
+    """A token's part of the shape of its line."""
+    if re.fullmatch(r"\W*\d+\W*", token):
+        return ""
+    if re.search(r"\d{2}|/\d", token):
+        return re.sub(r"\d+", "#", token.lower())
+    bare = fold(re.sub(r"^\W+|\W+$", "", token))
+    return "%" if bare in _MONTH_SHAPES else bare
+
+
+def _remembered(known: dict[str, str], token: str, make) -> str:
+    found = known.get(token)
+    if found is None:
+        if len(known) >= TOKENS_KEPT:
+            known.clear()
+        found = known[token] = make(token)
+    return found
+
+
 def shape(text: str) -> str:
     """Shape of a line: folded words, with numbers dropped or masked and months masked."""
-    out = []
-    for token in text.split():
-        if re.fullmatch(r"\W*\d+\W*", token):
-            continue
-        bare = fold(re.sub(r"^\W+|\W+$", "", token)) if not re.search(r"\d{2}|/\d", token) else re.sub(r"\d+", "#", token.lower())
-        if bare:
-            out.append("%" if bare in _MONTH_SHAPES else bare)
-    return " ".join(out)
+    return " ".join(p for token in text.split() if (p := _remembered(_pieces, token, _piece)))
 
 
 def core(token: str) -> str:
     """A token as the counts know it: lower case, without the marks around it; empty where it is no word."""
+    return _remembered(_cores, token, _core)
+
+
+def _core(token: str) -> str:
     bare = _CORE.sub("", token.replace("’", "'")).lower()
     return bare if _WORD.fullmatch(bare) else ""
 
@@ -270,15 +294,17 @@ class ScanRepair:
 
         def types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = [(row.pid, key) for row in b.itertuples(index=False) for key in _Page(row).words()]
-                yield pd.DataFrame(out, columns=["pid", "key"])
+                seen: Counter = Counter()
+                for row in b.itertuples(index=False):
+                    seen.update(_Page(row).words())
+                yield pd.DataFrame({"key": list(seen), "pages": list(seen.values())})
 
-        asked = cut(self.pages.mapInPandas(arrow_safe(types), "pid bigint, key string"))
+        asked = cut(self.pages.mapInPandas(arrow_safe(types), "key string, pages bigint").groupBy("key").agg(F.sum("pages").alias("pages")))
         words = counts.where("key not like '% %'")
         # Words that may be mistaken for one another have the same folded form, so candidates are found by an equi-join on
         # it; the misread groups are worked out for those pairs alone.
         folded = F.pandas_udf(lambda w: w.map(fold), "string")
-        distinct = asked.select("key").distinct().join(words, "key", "left").select(F.col("key").alias("seen"), F.coalesce("n", F.lit(0)).alias("seen_n"), folded("key").alias("fold"))
+        distinct = asked.join(words, "key", "left").select(F.col("key").alias("seen"), F.coalesce("n", F.lit(0)).alias("seen_n"), folded("key").alias("fold"))
         book = words.select("key", "n", folded("key").alias("fold"))
         met = distinct.join(book, "fold").where((F.col("key") != F.col("seen")) & (F.col("n") > DOUBT_RATIO * F.col("seen_n")))
 
@@ -290,21 +316,19 @@ class ScanRepair:
         possible = met.select("seen", "key", "n").mapInPandas(arrow_safe(candidates), "seen string, key string, n bigint, steps array<string>")
         suspects = cut(possible.select("seen", "key", "n", "steps"))
         rates = {}
-        for r in suspects.join(asked.withColumnRenamed("key", "seen"), "seen").where("size(steps) = 1").groupBy(F.col("steps")[0].alias("step")).agg(F.count("*").alias("n")).collect():  # at most one row per confusion
+        for r in suspects.join(asked.withColumnRenamed("key", "seen"), "seen").where("size(steps) = 1").groupBy(F.col("steps")[0].alias("step")).agg(F.sum("pages").alias("n")).collect():  # at most one row per confusion
             rates[r.step] = r.n
         every = sum(rates.values()) + len(rates) + 1
         chance = {s: math.log((n + 1) / every) for s, n in rates.items()}
         floor, total = math.log(1 / every), self.total
-        per_word = suspects.groupBy("seen").agg(F.collect_list(F.struct("key", "n", "steps")).alias("options")).withColumnRenamed("seen", "key")
-        doubts = asked.join(per_word, "key").groupBy("pid").agg(F.collect_list(F.struct("key", "options")).alias("doubts"))
-        pages = cut(self.pages.join(doubts, "pid", "left"))
+        pages, shared = self._doubted(suspects)
 
         def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = set()
                 for row in b.itertuples(index=False):
-                    options = _options(row.doubts)
                     page = _Page(row)
+                    options = _options(row, page, shared)
                     asked_here = page.break_keys()
                     for _, text, _ in page.lines:
                         cores = [core(t) or "#" for t in text.split()]
@@ -326,10 +350,27 @@ class ScanRepair:
 
         def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame([{"file": r.file, "page": r.page, "place": r.place, "decoded": _decode_page(r, chance, floor, total)} for r in b.itertuples(index=False)], columns=["file", "page", "place", "decoded"])
+                yield pd.DataFrame([{"file": r.file, "page": r.page, "place": r.place, "decoded": _decode_page(r, shared, chance, floor, total)} for r in b.itertuples(index=False)], columns=["file", "page", "place", "decoded"])
 
         return cut(ready.mapInPandas(arrow_safe(decode), f"file string, page bigint, place string, decoded array<struct<line_id:{kind},text:string,seen:string,furniture:boolean,broken:boolean,misread:boolean,goes_on:string>>"))
 
+    def _doubted(self, suspects: DataFrame):
+        """The pages and what their words may mean: a broadcast table of all doubted words while it is small, else a column
+        that is joined to the pages by their words."""
+        if suspects.count() <= DOUBTS_BROADCAST:
+            book: dict[str, list] = {}
+            for r in suspects.orderBy("seen", "key").collect():  # at most DOUBTS_BROADCAST rows
+                book.setdefault(r.seen, []).append((r.key, r.n, list(r.steps)))
+            return self.pages, suspects.sparkSession.sparkContext.broadcast(book)
+
+        def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(row.pid, w) for row in b.itertuples(index=False) for w in _Page(row).words()], columns=["pid", "key"])
+
+        per_word = suspects.groupBy("seen").agg(F.array_sort(F.collect_list(F.struct("key", "n", "steps"))).alias("options")).withColumnRenamed("seen", "key")
+        doubts = self.pages.mapInPandas(arrow_safe(words), "pid bigint, key string").join(per_word, "key").groupBy("pid").agg(F.collect_list(F.struct("key", "options")).alias("doubts"))
+        return cut(self.pages.join(doubts, "pid", "left")), None
+
     # Results --------------------------------------------------------------------------------------------------------
 
     def defects(self) -> DataFrame:
@@ -381,10 +422,14 @@ class ScanRepair:
         return parts.select("file", F.col("paragraph").cast("int").alias("paragraph"), joined.t.alias("text"))
 
 
-def _options(doubts) -> dict[str, list[tuple[str, int, list[str]]]]:
-    if doubts is None:
+def _options(row, page: _Page, shared) -> dict[str, list[tuple[str, int, list[str]]]]:
+    """What the words of a page may mean: (word, count, misread groups) by word."""
+    if shared is not None:
+        book = shared.value
+        return {w: book[w] for w in page.words() if w in book}
+    if row.doubts is None:
         return {}
-    return {d["key"]: [(o["key"], o["n"], list(o["steps"])) for o in d["options"]] for d in doubts}
+    return {d["key"]: [(o["key"], o["n"], list(o["steps"])) for o in d["options"]] for d in row.doubts}
 
 
 def _viterbi(words: list[str], options: dict, n, chance: dict, floor: float, total: float) -> list[str]:
@@ -428,8 +473,9 @@ def _restore(token: str, seen: str, meant: str) -> str:
     return token[:at] + new + token[at + len(seen) :]
 
 
-def _decode_page(row, chance: dict, floor: float, total: float) -> list[dict]:
-    page, options = _Page(row), _options(row.doubts)
+def _decode_page(row, shared, chance: dict, floor: float, total: float) -> list[dict]:
+    page = _Page(row)
+    options = _options(row, page, shared)
     counts = {x["key"]: x["n"] for x in row.known} if row.known is not None else {}
     n = lambda key: counts.get(key, 0)
 

@@ -123,13 +123,15 @@ def _scan_rows():
     return [(n, f, p, k, t, None) for n, (f, p, k, t) in enumerate(files)]
 
 
-def test_scan_repair(spark):
+def test_scan_repair(spark, monkeypatch):
     rows = _scan_rows()
     lines = spark.createDataFrame([(*r, "clash") for r in rows], "line_id bigint, file string, page_no int, line_no int, text string, ends_with_linebreak_hyphen boolean, place string")
     corpus = spark.createDataFrame([(CLEAN * 50,), (None,), ("",)], "text string")
     made = scans.ScanRepair(lines, corpus, "text")
     got = {(r.line_id, r.defect) for r in made.defects().collect()}
     by = {(f, p, k): n for n, f, p, k, _, _ in rows}
+    monkeypatch.setattr(scans, "DOUBTS_BROADCAST", -1)  # the other way: doubted words are joined to the pages
+    assert {(r.line_id, r.defect) for r in scans.ScanRepair(lines, corpus, "text").defects().collect()} == got
     assert {n for n, d in got if d == "page_furniture"} == {by[f, p, k] for f in "abc" for p in (1, 2, 3) for k in (1, 12)}
     assert (by["a", 1, 7], "broken_word") in got and (by["a", 1, 7], "misread") in got  # cornpla / inant
     assert (by["a", 1, 6], "broken_word") not in got  # re-use keeps its hyphen
