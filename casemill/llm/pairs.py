@@ -49,6 +49,8 @@ _UPPER, _LOWER, _DIGIT = re.compile(r"[A-ZÀ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-
 CONTEXTS = 1 << 16
 #: Bytes per byte, compressed with the prompt, up to which a response is a copy.
 COPY_RATIO = 0.25
+#: Bytes of prompt and response up to which zstd's smallest tables hold every position.
+SHORT_PAIR = 4096
 
 #: Function words by which one language must lead another.
 LANGUAGE_LEAD = 3
@@ -131,15 +133,28 @@ def _plain(text: str) -> bytes:
 
 
 class _Copies:
-    """Bytes per byte of a text, compressed with a prompt as dictionary."""
+    """Bytes per byte of a text, compressed with a prompt as dictionary.
+
+    Window and tables follow the length of both: zstd loads only what its tables have room for of a raw dictionary, and
+    a row of the table keeps the latest of the positions that begin alike.
+    """
 
     def __init__(self) -> None:
-        self.params = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=12, chain_log=12, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.params: dict[int, zstandard.ZstdCompressionParameters] = {}
+
+    def _sized(self, n: int) -> zstandard.ZstdCompressionParameters:
+        """For n bytes of prompt and text; the same for all up to SHORT_PAIR."""
+        bits = n.bit_length() + 1 if n > SHORT_PAIR else 12
+        found = self.params.get(bits)
+        if found is None:
+            table, search = min(bits, 30), 4 if bits == 12 else 7  # 30 is the most that zstd has
+            found = self.params[bits] = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=max(17, table), hash_log=table, chain_log=table, search_log=search, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        return found
 
     def ratio(self, prompt: bytes, text: bytes) -> float:
         if not text or len(prompt) < 16:
             return 1.0
-        own = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=self.params)
+        own = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=self._sized(len(prompt) + len(text)))
         return max(0, len(own.compress(text)) - 8) / len(text)
 
 

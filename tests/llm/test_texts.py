@@ -47,6 +47,20 @@ def test_very_long_response(spark):
     assert {tuple(r) for r in pairs.defects(df, "response_id", "question", "content").collect()} == {(2, "copies_question")}
 
 
+@pytest.mark.parametrize("length", [2_000, 16_000, 64_000, 100_000])
+def test_copies_of_any_part_of_a_prompt(spark, length):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(2, 9))) for _ in range(4000)]
+    prompt = " ".join(r.choices(words, k=length // 5))[:length]
+    parts = [prompt[:300], prompt[length // 2 :][:300], prompt[-300:], prompt]
+    changed = " ".join("other" if k % 20 == 9 else w for k, w in enumerate(prompt[:600].split()))
+    own = " ".join("".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(2, 9))) for _ in range(60))
+    df = spark.createDataFrame([(k, prompt, x) for k, x in enumerate([*parts, changed, own])], "response_id int, question string, content string")
+    ratios = {x.response_id: x.ratio for x in pairs.copy_ratios(df, "response_id", "question", "content").collect()}
+    assert max(ratios[k] for k in range(5)) <= pairs.COPY_RATIO < ratios[5]
+    assert {x.response_id for x in pairs.defects(df, "response_id", "question", "content").where("defect = 'copies_question'").collect()} == {0, 1, 2, 3, 4}
+
+
 def test_look_alikes(spark):
     corpus = spark.createDataFrame([("the Panel's ruling of 3.2, first re-use of Topabariéla " * 5,), ("nο ２ ﬁrst ‑ ʼ",), (None,)], "text string")
     rewrite = lookalikes.Rewriter(lookalikes.member_counts(corpus, "text"))
