@@ -109,6 +109,39 @@ def test_name_clusters(spark):
     assert sum(r.n for r in got) == 9
 
 
+def test_name_clusters_join_every_accepted_pair(spark):
+    r = random.Random(5)
+
+    def typo(s):
+        for _ in range(r.randint(1, 2)):
+            k = r.randrange(1, len(s) - 1)
+            s = r.choice([s[:k] + s[k + 1 :], s[:k] + r.choice("aeiourstl") + s[k:], s[:k] + s[k + 1] + s[k] + s[k + 2 :], s[:k] + r.choice("aeiourstl") + s[k + 1 :]])
+        return s
+
+    forms = {"nuvolrvar", "nuvolvar", "nuvollovar", "nuvllovar", "pirestvigovar", "pwrestvigovar"}
+    for base in ("nuvolvar", "halvyxis", "dremontical", "pelhamorin lorimical drem", "yarrinmoor kestwyck brunskella"):
+        some = [base]
+        for _ in range(60):
+            some.append(typo(r.choice(some)))
+        forms |= set(some)
+    sets = {f: " ".join(sorted(set(names._name_tokens(f)))) for f in forms}
+    code = {f: sorted(names.phonetic(t) for t in s.split()) for f, s in sets.items()}
+    root = {f: f for f in forms}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a in forms:
+        for b in forms:
+            if a < b and code[a] == code[b] and (sets[a] == sets[b] or names.jaro_winkler(sets[a], sets[b]) >= 0.92 and names.edits(sets[a], sets[b], 2) <= 2):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    got = names.cluster_names(spark.createDataFrame([(f,) for f in sorted(forms)], "name string"), "name").collect()
+    assert {x.form: x.entity for x in got} == {f: top(f) for f in forms}
+
+
 def test_jaro_winkler():
     assert names.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
     assert names.jaro_winkler("dixon", "dicksonx") == pytest.approx(0.8133, abs=1e-4)
