@@ -72,6 +72,15 @@ def id_chain_closure(spark: SparkSession, d: str) -> DataFrame:
     return resolve.chain_ends(links, "old", "new")
 
 
+def id_chain_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Where the chain of each customer's orders in turn ends: every order counts, and chains are as long as customers buy."""
+    from pyspark.sql import Window
+
+    orders = table(spark, d, "orders").where("o_custkey is not null").select(F.col("o_orderkey").cast("bigint").alias("id"), "o_custkey")
+    links = orders.select(F.col("id").alias("old"), F.lead("id").over(Window.partitionBy("o_custkey").orderBy("id")).alias("new"))
+    return resolve.chain_ends(links, "old", "new")
+
+
 def case_order(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -263,7 +272,7 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("pane").agg(F.count("*").alias("panes"), F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (round_robin_rank, prefix_union, stratified_sample, hash_split, content_ids, dedupe_siblings, exact_copies, repeated_fetches, sibling_components, id_chain_closure, case_order, received_dates, code_year_witnesses, observed_code_years, date_coherence, appeal_fold, row_verdicts, verdict_flips, canonical_spelling, clause_lookup, reviewed_overrides, sentence_counts, repeated_sentences, redact_ids, upper_ratios, headings, section_offsets, clause_mentions, token_multiset, hyphen_decisions, contamination_containment, page_slugs, vocabulary_coverage, candidate_accounting, asymmetric_siblings, roster_difference, field_values, gate_report, table_sizes)}
+QUERIES = {f.__name__: f for f in (round_robin_rank, prefix_union, stratified_sample, hash_split, content_ids, dedupe_siblings, exact_copies, repeated_fetches, sibling_components, id_chain_closure, id_chain_orders, case_order, received_dates, code_year_witnesses, observed_code_years, date_coherence, appeal_fold, row_verdicts, verdict_flips, canonical_spelling, clause_lookup, reviewed_overrides, sentence_counts, repeated_sentences, redact_ids, upper_ratios, headings, section_offsets, clause_mentions, token_multiset, hyphen_decisions, contamination_containment, page_slugs, vocabulary_coverage, candidate_accounting, asymmetric_siblings, roster_difference, field_values, gate_report, table_sizes)}
 
 _ROBIN = f"""deep AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}|item|' || doc_id), doc_id) AS INTEGER) AS depth FROM documents WHERE source IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY depth, md5('{SEED}|case|' || source), source, doc_id) AS rank FROM deep)"""
@@ -293,6 +302,8 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT case_number AS
 SELECT node, min(m) AS component FROM r GROUP BY node""",
     "id_chain_closure": """WITH l AS (SELECT CAST(o_orderkey AS BIGINT) AS old FROM orders WHERE o_orderkey % 7 <> 0), x AS (SELECT old, old - row_number() OVER (ORDER BY old) AS g FROM l)
 SELECT old, max(old) OVER (PARTITION BY g) + 1 AS "end", max(old) OVER (PARTITION BY g) + 1 - old AS steps FROM x""",
+    "id_chain_orders": """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS old, max(o_orderkey) OVER w AS e, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_custkey IS NOT NULL WINDOW w AS (PARTITION BY o_custkey))
+SELECT old, CAST(e AS BIGINT) AS "end", n - r AS steps FROM o WHERE r < n""",
     "case_order": """WITH k AS (SELECT case_number, TRY_CAST(split_part(case_number, '/', 4) AS INTEGER) AS year, TRY_CAST(split_part(case_number, '/', 3) AS INTEGER) AS month, TRY_CAST(split_part(case_number, '/', 2) AS INTEGER) AS serial FROM cases WHERE case_number IS NOT NULL)
 SELECT case_number, year, month, CAST(row_number() OVER (PARTITION BY year, month ORDER BY serial, case_number) AS INTEGER) AS place FROM k WHERE year IS NOT NULL""",
     "received_dates": f"""WITH {_PAGES}, p AS (SELECT c, min({_ISO.format('recieved_date')}) AS a FROM pg GROUP BY c), j AS (SELECT cases.case_number, a, dates.received.value AS b FROM cases LEFT JOIN p ON cases.case_number = c)

@@ -337,3 +337,12 @@ def test_streams(spark, tmp_path, small):
     for r in sessions.collect():
         per[r.user_id] += r.n
     assert per == {r.user_id: r["count"] for r in few.groupBy("user_id").count().collect()}
+
+
+def test_chains_of_orders_are_whole(spark, small):
+    import __spark_entry__ as entry
+
+    orders = spark.read.parquet(f"{small}/orders.parquet").groupBy("o_custkey").count()
+    most, links = orders.agg(F.max("count") - 1, F.sum(F.col("count") - 1)).first()
+    got = entry.queries()["id_chain_orders"](spark, small).agg(F.max("steps"), F.count("end")).first()
+    assert tuple(got) == (most, links) and most > 6
