@@ -46,6 +46,12 @@ def ledger_import_classify(spark: SparkSession, d: str) -> DataFrame:
     return ledger.classify_import(known, results, "call_id", _failed(), F.col("payload")).groupBy("outcome").agg(F.count("*").alias("calls"), F.sum("results").alias("results"))
 
 
+def ledger_import_classify_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ledger_import_classify, over all receipts of a call and not its first two lines."""
+    known = _plan(spark, d).where("o_orderstatus <> 'F'")
+    return ledger.classify_import(known, _receipts(spark, d), "call_id", _failed(), F.col("payload")).groupBy("outcome").agg(F.count("*").alias("calls"), F.sum("results").alias("results"))
+
+
 def ledger_status_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = _receipts(spark, d)
     done, other = rows.where("l_linestatus = 'O'"), rows.where("l_linestatus <> 'O'")
@@ -117,7 +123,7 @@ def spans_to_next(spark: SparkSession, d: str) -> DataFrame:
     return intervals.spans_from_starts(events, ["user_id"], "at")
 
 
-QUERIES = {f.__name__: f for f in (ledger_coverage, ledger_orphans, ledger_missing_export, ledger_import_classify, ledger_status_merge, catalog_conflicts, upsert_latest, latest_row_wins, first_import_wins, late_imports, asof_heading, range_containment, baseline_clusters, interval_union, interval_gaps, value_runs, spans_to_next)}
+QUERIES = {f.__name__: f for f in (ledger_coverage, ledger_orphans, ledger_missing_export, ledger_import_classify, ledger_import_classify_all, ledger_status_merge, catalog_conflicts, upsert_latest, latest_row_wins, first_import_wins, late_imports, asof_heading, range_containment, baseline_clusters, interval_union, interval_gaps, value_runs, spans_to_next)}
 
 _SEC = "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)"
 _MERGED = f"""s AS (SELECT user_id, {_SEC} AS s, {_SEC} + 43200 AS e FROM events),
@@ -133,6 +139,9 @@ SELECT CASE WHEN receipts = 0 THEN 'pending' WHEN receipts = failures THEN 'erro
     "ledger_missing_export": """SELECT CAST(o_orderkey AS BIGINT) AS call_id, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R')""",
     "ledger_import_classify": """WITH r AS (SELECT l_orderkey AS c, count(*) AS results, count_if(l_returnflag = 'R') AS f, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey % 3 END) AS d FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
 o AS (SELECT r.*, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN d > 1 THEN 'conflict' WHEN d = 0 THEN 'failed' WHEN results - f > 1 THEN 'repeated' ELSE 'completed' END AS outcome FROM r LEFT JOIN orders ON o_orderkey = c AND o_orderstatus <> 'F')
+SELECT outcome, count(*) AS calls, CAST(sum(results) AS BIGINT) AS results FROM o GROUP BY 1""",
+    "ledger_import_classify_all": """WITH r AS (SELECT l_orderkey AS c, count(*) AS results, count_if(l_returnflag = 'R') AS f, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey % 3 END) AS d FROM lineitem GROUP BY 1),
+o AS (SELECT r.*, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN d > 1 THEN 'conflict' WHEN d = 0 THEN 'failed' WHEN results - f > 1 THEN 'repeated' ELSE 'completed' END AS outcome FROM r LEFT JOIN orders ON o_orderkey = c AND o_orderstatus <> 'F')
 SELECT outcome, count(*) AS calls, CAST(sum(results) AS BIGINT) AS results FROM o GROUP BY 1""",
     "ledger_status_merge": """SELECT CAST(l_orderkey AS BIGINT) AS call_id, CAST(l_linenumber AS INTEGER) AS line, l_linestatus, CAST(CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS INTEGER) AS source FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END, l_linenumber) = 1""",

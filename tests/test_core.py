@@ -339,6 +339,13 @@ def test_streams(spark, tmp_path, small):
     assert per == {r.user_id: r["count"] for r in few.groupBy("user_id").count().collect()}
 
 
+def test_import_classifies_every_receipt(spark, small):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["ledger_import_classify_all"](spark, small).agg(F.sum("results")).first()[0]
+    assert got == spark.read.parquet(f"{small}/lineitem.parquet").where("l_orderkey is not null").count()
+
+
 def test_chains_of_orders_are_whole(spark, small):
     import __spark_entry__ as entry
 
