@@ -66,6 +66,10 @@ def p5_panes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent(table(spark, d, "panes").select("pane_id", "text"), ["text"], _rewriter(spark, d))
 
 
+def p5_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent(table(spark, d, "slot_corrections").select("correction_id", "quote"), ["quote"], _rewriter(spark, d))
+
+
 def _names(spark: SparkSession, d: str) -> DataFrame:
     pages, cases = table(spark, d, "pages"), table(spark, d, "cases")
     one = [pages.select(F.lit(f).alias("field"), F.col("page_id").alias("record_id"), F.col(f).alias("name")) for f in ("respondent", "complainant")]
@@ -103,7 +107,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return assign_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "subject", subjects).select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_coverage, p4_found, p4_copy_ratio, p5_found, p5_panes, p6_found, p6_clusters, p7_found, p8_mix_plan, p8_mix_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_coverage, p4_found, p4_copy_ratio, p5_found, p5_panes, p5_quotes, p6_found, p6_clusters, p7_found, p8_mix_plan, p8_mix_shares, p9_found)}
 
 #: None of them can be said in SQL on whole tables; tests/llm holds them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {}

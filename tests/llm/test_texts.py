@@ -81,6 +81,17 @@ def test_quotes(spark):
     assert lookalikes.find_quotes(quotes.limit(0), places, rewrite).count() == 0
 
 
+def test_quotes_and_panes_take_one_form(spark, tmp_path):
+    from casemill.llm import queries
+
+    spark.createDataFrame([(k, "the Panel’s view") for k in range(9)], "pane_id bigint, text string").write.parquet(f"{tmp_path}/panes.parquet")
+    spark.createDataFrame([(1, "the Panel's view"), (2, "the Panel’s view"), (3, None)], "correction_id bigint, quote string").write.parquet(f"{tmp_path}/slot_corrections.parquet")
+    quotes = {r.correction_id: r.quote for r in queries.QUERIES["p5_quotes"](spark, str(tmp_path)).collect()}
+    panes = {r.text for r in queries.p5_panes(spark, str(tmp_path)).collect()}
+    assert set(quotes) == {1, 2, 3} and quotes[3] is None
+    assert {quotes[1], quotes[2]} == panes and len(panes) == 1
+
+
 KNOWN = [(1, "Nordorin Biosciences GmbH"), (2, "Rosdalmoor Consumer plc"), (3, "Rosdalmoor Vaccines plc"), (4, "Pelhamorin Lorimical & Dremontical UK Ltd"), (5, "Halvyxis Healthcare GmbH"), (6, "Yarrinmoor Kestwyck & Brunskella UK Ltd")]
 
 
