@@ -92,6 +92,14 @@ def broadcast_if(small: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(small) if rows <= bound else small
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over as many partitions as the session shuffles into, one per core at least, by the hash of columns. Small rows
+    that take long in Python stay spread, where adaptive execution would put them into one task for their few bytes."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
+
+
 def arrow_safe(step):
     """A step of mapInPandas that leaves out empty frames and hands strings over as plain objects: Arrow gets neither a
     string column without chunks nor one of several."""
