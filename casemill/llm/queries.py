@@ -85,9 +85,14 @@ def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster_names(_names(spark, d), "name")
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").where("split = 'test'")
-    return find_leaks(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "extract_text")
+    found = find_leaks(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "extract_text")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where("run >= 20").select("doc_id", "item_id")
 
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
@@ -107,7 +112,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return assign_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "subject", subjects).select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_coverage, p4_found, p4_copy_ratio, p5_found, p5_panes, p5_quotes, p6_found, p6_clusters, p7_found, p8_mix_plan, p8_mix_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_coverage, p4_found, p4_copy_ratio, p5_found, p5_panes, p5_quotes, p6_found, p6_clusters, p7_found, p7_leaks, p8_mix_plan, p8_mix_shares, p9_found)}
 
 #: None of them can be said in SQL on whole tables; tests/llm holds them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {}

@@ -128,7 +128,7 @@ def _leak_rows(seed: int):
 def test_leaks_equal_brute_force(spark, seed, monkeypatch):
     docs, items = _leak_rows(seed)
     docs += [(90, None), (91, ""), (None, docs[0][1]), docs[1]]
-    made = lambda: leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id string, extract_text string"), "item_id", "extract_text")
+    made = lambda: leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id string, extract_text string"), "item_id", "extract_text").where("run >= 20").select("doc_id", "item_id")
     grams = defaultdict(set)
     for i, t in items:
         w = leaks.words(t or "")
@@ -142,14 +142,54 @@ def test_leaks_equal_brute_force(spark, seed, monkeypatch):
     assert {tuple(r) for r in made().collect()} == true
 
 
-def test_leaks_within_similarity_and_radius(spark):
+def _found(spark, docs, items, **more):
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id string, extract_text string"), "item_id", "extract_text", **more)
+    return {(r.doc_id, r.item_id): (round(r.similarity, 9), r.run) for r in got.collect()}
+
+
+def test_leaks_tell_similarity_and_run(spark):
     rng = random.Random(4)
-    item = [f"x{rng.randint(0, 10**6)}" for _ in range(40)]
-    changed = list(item)
-    changed[0] = "other"
-    docs = [(1, " ".join(item)), (2, " ".join(changed[:20])), (3, " ".join(f"y{k}" for k in range(40)))]
-    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([("a", " ".join(item))], "item_id string, extract_text string"), "item_id", "extract_text", similarity=0.8)
-    assert (1, "a") in {tuple(r) for r in got.collect()} and 3 not in {r.doc_id for r in got.collect()}
+    item = [f"x{rng.randint(0, 10**6)}" for _ in range(170)]
+    other = [f"y{k}" for k in range(40)]
+    changed = [*item[:60], "other", *item[61:160]]
+    docs = [(1, " ".join(other + item[5:165] + other)), (2, " ".join(other + changed)), (3, " ".join(other)), (4, " ".join(item[100:121])), (5, " ".join(item[:19]))]
+    got = _found(spark, docs, [("a", " ".join(item)), ("b", " ".join(item)), ("c", " ".join(other[:25]))])
+    assert got[1, "a"] == got[1, "b"] == (1.0, 160) and got[4, "a"] == (1.0, 20) and not {d for d, _ in got} & {5}
+    assert got[1, "c"] == got[3, "c"] == (1.0, 20) and got[2, "a"][0] == 1.0 and got[2, "a"][1] >= 20
+    size = [len(w) for w in item]
+    a, b = list(range(20)), [*range(10), 99, *range(11, 20)]
+    weigh = lambda w: {tuple(w[k : k + 5]): sum((size + [7] * 100)[x] for x in w[k : k + 5]) for k in range(16)}
+    x, y = weigh(a), weigh(b)
+    both = sum(v for k, v in x.items() if k in y)
+    import numpy as np
+
+    assert leaks.similarities(np.array([a, a]), np.array([a, b]), np.array(size + [7] * 100)).tolist() == pytest.approx([1.0, both / (sum(x.values()) + sum(y.values()) - both)])
+    assert leaks.longest_runs(np.array([a, a]), np.array([a, b])).tolist() == [20, 10]
+
+
+def test_changed_passages_are_found(spark):
+    """Recall of items with two changed words, among all documents that hold a window as similar as asked for."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(f"i{k}", " ".join(rng.choices(words, k=165))) for k in range(40)]
+    docs = []
+    for k in range(200):
+        own = items[k % 40][1].split()
+        for at in rng.sample(range(10, 155), 2):
+            own[at] = "changed"
+        docs.append((k, " ".join(rng.choices(words, k=30) + own + rng.choices(words, k=30))))
+    got = _found(spark, docs, items)
+    true = {(k, f"i{k % 40}") for k in range(200)}
+    assert len(true & set(got)) / len(true) >= 0.9 and set(got) == true & set(got)
+
+
+def test_leaks_of_boilerplate(spark, monkeypatch):
+    rng = random.Random(3)
+    same = " ".join(f"b{k}" for k in range(30))
+    items = [(f"i{k}", same + " " + " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(20))) for k in range(50)]
+    monkeypatch.setattr(leaks, "PAIRS_AT_ONCE", 7)
+    got = _found(spark, [(1, same), (2, "x " + same)], items)
+    assert set(got) == {(d, i) for d in (1, 2) for i, _ in items} and {v for v in got.values()} == {(1.0, 20)}
 
 
 def test_leaks_empty_tables(spark):
@@ -159,10 +199,10 @@ def test_leaks_empty_tables(spark):
 
 def test_candidates_are_all_within_radius():
     rng = random.Random(1)
-    texts = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(60)) for _ in range(6)]
-    probes = leaks.Probes(texts, 20)
     votes = leaks._Votes()
-    prints = leaks.fingerprints(votes.of(leaks.words(" ".join(f"w{rng.randint(0, 40)}" for _ in range(300)))), votes.rows)
+    texts = [votes.of([f"w{rng.randint(0, 40)}" for _ in range(60)]) for _ in range(6)]
+    probes = leaks.Probes(texts, list(range(6)), votes.rows, 20)
+    prints = leaks.fingerprints(leaks.vote_totals(votes.of([f"w{rng.randint(0, 40)}" for _ in range(300)]), votes.rows), 20)
     got = set(zip(*map(list, probes.candidates(prints, 3)), strict=True))
     true = {(a, b) for a, x in enumerate(prints.tolist()) for b, y in enumerate(probes.prints.tolist()) if (x ^ y).bit_count() <= 3}
     assert got == true
