@@ -42,7 +42,7 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(table(spark, d, "responses"), "response_id", "question", "content")
+    return pairs.defects(table(spark, d, "responses"), "response_id", "question", "content", pairs.RULING, pairs.RULING_WORDS)
 
 
 def p4_copy_ratio(spark: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from casemill.llm import lookalikes, mixing, names, pairs, scans, subjects
@@ -12,6 +15,64 @@ from casemill.llm import lookalikes, mixing, names, pairs, scans, subjects
 QUESTION = "EXTRACT\nThe Panel noted that the wall chart bearing code DA-68960 had been prepared on 25 July 2016 and that Fenwick plc accepted responsibility for all 4249 copies.\n\nQUESTION\nDid the Panel rule a breach of Clause 4.1? Give your reasons in two or three sentences, then the ruling."
 
 
+def _defects(df, ruling=pairs.RULING):
+    return pairs.defects(df, "response_id", "question", "content", ruling, ruling and pairs.RULING_WORDS)
+
+
+def test_pairs_without_rulings(spark):
+    asked = "What is the capital of France, and why was it chosen as the seat of the government? Answer in one sentence or two, please, and say what the sources of the answer are."
+    answers = [
+        ("The capital of France is Paris.", None),
+        ("In short, the article says that the harbour was closed for a month. It reopened in May.", None),
+        ("Old pond in the rain,\na frog leaps into the sound,\nand then all is still.", None),
+        ("I'm sorry, but I can't help with that.", "refusal"),
+        ("Столица Франции — Париж.", "other_language"),
+        ("Stolicą Francji jest Paryż, który został wybrany przez królów i od tego czasu nie jest zmieniany, jak podają źródła.", "other_language"),
+        ("法国的首都是巴黎。", "other_language"),
+        ("The capital of France is Paris and the seat of", "truncated"),
+        ("What is the capital of France, and why was it chosen as the seat of the government?", "copies_question"),
+    ]
+    df = spark.createDataFrame([(k, asked, a) for k, (a, _) in enumerate(answers)] + [(100 + k, asked, "The capital of France is Paris, and the seat of the court was there.") for k in range(30)], "response_id bigint, question string, content string")
+    got = {r.response_id: r.defect for r in _defects(df, None).collect()}
+    assert got == {k: d for k, (_, d) in enumerate(answers) if d}
+
+
+def test_a_ruling_of_the_prompt_is_no_answer(spark):
+    asked = QUESTION + "\nEnd with a line like this one.\nAnswer: breach"
+    own = "The company gave a dated approval trail for it.\nAnswer: breach"
+    df = spark.createDataFrame([(1, asked, asked), (2, asked, own), (3, asked, None)], "response_id bigint, question string, content string")
+    assert {tuple(r) for r in _defects(df).collect()} == {(1, "copies_question"), (3, "empty")}
+
+
+def test_contexts_against_a_loop():
+    r = random.Random(2)
+    words = ["The", "panel", "ruled.", "Answer:", "breach", "3.2", "DA-68", "and", "(b)", "it.”"]
+    texts = ["\n".join(" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(r.randint(1, 4))) for _ in range(200)]
+    reader, known = pairs._Reader(pairs.RULING, pairs.RULING_WORDS), pairs._Tokens()
+    places = [reader.rulings(t) for t in texts]
+    counts, keys, after, ended = pairs.contexts(texts, places, known)
+    want, last = Counter(), []
+    for text, own in zip(texts, places, strict=True):
+        at, lines = 0, text.split("\n")
+        for k, line in enumerate(lines):
+            here = [p - at for p in own if at <= p < at + len(line)]
+            before, tokens, pos = "", line.split(" "), 0
+            for j, t in enumerate(tokens):
+                ruled, shape = bool(here) and pos >= here[0], known.names[known.shape[known[t]]]
+                end = j + 1 == len(tokens) or bool(pairs._SENTENCE_END.search(t)) and tokens[j + 1][0].isupper()
+                final = k + 1 == len(lines) and j + 1 == len(tokens)
+                if not final or ruled:
+                    want[f"{ruled:d}|{before}|{shape}", end] += 1
+                if final:
+                    last.append((f"{ruled:d}|{before}|{shape}", ruled, bool(pairs._SENTENCE_END.search(t))))
+                before, pos = shape, pos + len(t) + 1
+            at += len(line) + 1
+    number = lambda name: int(np.uint64(xxhash.xxh64_intdigest(name)).view(np.int64))
+    got = {(k, e): n for k, i, b in counts.itertuples(index=False) for e, n in ((False, i), (True, b)) if n}
+    assert got == {(number(name), e): n for (name, e), n in want.items()}
+    assert list(zip(keys.tolist(), after.tolist(), ended.tolist(), strict=True)) == [(number(n), a, e) for n, a, e in last]
+
+
 def test_pair_defects(spark):
     sound = "The company gave a dated approval trail for DA-68960 and the complainant offers nothing that contradicts it.\nAnswer: breach"
     rows = [
@@ -35,16 +96,16 @@ def test_pair_defects(spark):
         (1, QUESTION, sound),
     ] + [(100 + k, QUESTION, sound) for k in range(20)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "response_id bigint, question string, content string, id string")
-    got = {(r.response_id, r.defect) for r in pairs.defects(df, "response_id", "question", "content").collect()}
+    got = {(r.response_id, r.defect) for r in _defects(df).collect()}
     assert got == {(4, "empty"), (5, "empty"), (6, "empty"), (7, "truncated"), (8, "truncated"), (9, "refusal"), (10, "refusal"), (11, "copies_question"), (12, "copies_question"), (13, "other_language"), (None, "empty")}
-    assert pairs.defects(df.limit(0), "response_id", "question", "content").count() == 0
+    assert _defects(df.limit(0)).count() == 0
     ratios = {r.response_id: r.ratio for r in pairs.copy_ratios(df, "response_id", "question", "content").collect()}
     assert ratios[11] < 0.05 < ratios[1] and ratios[4] == ratios[14] == 1
 
 
 def test_very_long_response(spark):
     df = spark.createDataFrame([(1, QUESTION, "The trail is dated and complete. " * 30_000 + "Answer: breach"), (2, QUESTION * 500, QUESTION * 300)], "response_id bigint, question string, content string")
-    assert {tuple(r) for r in pairs.defects(df, "response_id", "question", "content").collect()} == {(2, "copies_question")}
+    assert {tuple(r) for r in _defects(df).collect()} == {(2, "copies_question")}
 
 
 @pytest.mark.parametrize("length", [2_000, 16_000, 64_000, 100_000])
@@ -58,7 +119,7 @@ def test_copies_of_any_part_of_a_prompt(spark, length):
     df = spark.createDataFrame([(k, prompt, x) for k, x in enumerate([*parts, changed, own])], "response_id int, question string, content string")
     ratios = {x.response_id: x.ratio for x in pairs.copy_ratios(df, "response_id", "question", "content").collect()}
     assert max(ratios[k] for k in range(5)) <= pairs.COPY_RATIO < ratios[5]
-    assert {x.response_id for x in pairs.defects(df, "response_id", "question", "content").where("defect = 'copies_question'").collect()} == {0, 1, 2, 3, 4}
+    assert {x.response_id for x in _defects(df).where("defect = 'copies_question'").collect()} == {0, 1, 2, 3, 4}
 
 
 def test_look_alikes(spark):
