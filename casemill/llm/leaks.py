@@ -10,6 +10,7 @@ query set: it goes through in blocks of bounded size, each broadcast, against al
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Pairs of fingerprints that are compared at once: bounds the memory where many probes share a block.
 PAIRS_AT_ONCE = 2_000_000
+#: Pairs of windows whose words are compared at once.
+AT_ONCE = 20_000
 #: Characters of evaluation text whose probes are broadcast at once: some 200 bytes of index per word.
 BLOCK_CHARS = 4_000_000
 #: Words that are fingerprinted at once: bounds the memory (about 250 bytes a word).
@@ -46,30 +49,36 @@ def words(text: str) -> list[str]:
 
 
 class _Votes:
-    """The 64 votes of each word, one byte each, as eight uint64 numbers; sums of windows never overflow a byte."""
+    """The 64 votes of each word, one byte each, as eight uint64 numbers, and its length; sums of windows of at most 255
+    words never overflow a byte."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = _Numbers()
         self.rows = np.zeros((1024, 8), np.uint64)
+        self.sizes = np.zeros(1024, np.int64)
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        ids = self.ids
-        out = np.empty(len(tokens), np.int64)
-        for k, t in enumerate(tokens):
-            n = ids.get(t)
-            if n is None:
-                n = ids[t] = len(ids)
-                if n >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                bits = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(t.encode("utf-8", "surrogatepass")), np.uint8))
-                self.rows[n] = bits.view(np.uint64)
-            out[k] = n
+        known = len(self.ids)
+        out = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        for t in itertools.islice(reversed(self.ids), len(self.ids) - known):
+            n = self.ids[t]
+            while n >= len(self.rows):
+                self.rows, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.sizes))
+            self.rows[n] = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(t.encode("utf-8", "surrogatepass")), np.uint8)).view(np.uint64)
+            self.sizes[n] = len(t)
         return out
 
-
     def forget(self, known: int) -> None:
         """Forgets all but the first known words."""
-        self.ids = {t: n for t, n in self.ids.items() if n < known}
+        self.ids = _Numbers(itertools.islice(self.ids.items(), known))
+
+
+class _Numbers(dict):
+    """Numbers new words from 0, in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 def vote_totals(ids: np.ndarray, votes: np.ndarray) -> np.ndarray:
@@ -135,9 +144,12 @@ class Probes:
 
 def similarities(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of the sets of shingles of the windows in the rows of a and b; a shingle weighs as many
-    as its words have characters, size being that of each word."""
-    if not len(a):
-        return np.empty(0)
+    as its words have characters, size being that of each word. That of equal windows is 1."""
+    out = np.ones(len(a))
+    other = np.flatnonzero((a != b).any(axis=1))
+    if not len(other):
+        return out
+    a, b = a[other], b[other]
     words = np.concatenate([a, b]).astype(np.int64)
     parts = np.lib.stride_tricks.sliding_window_view(words, SHINGLE, axis=1)
     with np.errstate(over="ignore"):
@@ -149,7 +161,8 @@ def similarities(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     x, y = np.unique(keys[:m]), np.unique(keys[m:])
     total = lambda k: np.bincount(k // kinds, weights=weight[k % kinds], minlength=m)
     both = total(np.intersect1d(x, y, assume_unique=True))
-    return both / (total(x) + total(y) - both)
+    out[other] = both / (total(x) + total(y) - both)
+    return out
 
 
 def longest_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,16 +204,16 @@ def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, i
                 for own in {part, max((s for s in SIZES if part < s <= len(ids)), default=part)}:
                     sizes.setdefault(own, []).append(n)
         probes = [Probes([texts[n] for n in ns], ns, votes.rows, own) for own, ns in sorted(sizes.items())]
-        sent = spark.sparkContext.broadcast((votes.ids, probes, np.array([r.key for r in rows], dtype=object)))
+        sent = spark.sparkContext.broadcast((list(votes.ids), probes, np.array([r.key for r in rows], dtype=object)))
         one = docs.mapInPandas(arrow_safe(lambda batches, sent=sent: _scan(batches, *sent.value, part, radius, similarity)), f"doc {key_type}, key string, similarity double, run int")
         found = one if found is None else found.union(one)
     best = found.groupBy("doc", "key").agg(F.max("similarity").alias("similarity"), F.max("run").alias("run"))
     return best.join(asked.select("key", "item").distinct(), "key").select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "similarity", "run")
 
 
-def _scan(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int], probes: list[Probes], keys: np.ndarray, part: int, radius: int, similarity: float) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame], vocabulary: list[str], probes: list[Probes], keys: np.ndarray, part: int, radius: int, similarity: float) -> Iterator[pd.DataFrame]:
     votes = _Votes()
-    votes.of(sorted(vocabulary, key=vocabulary.get))
+    votes.of(vocabulary)
     known = len(votes.ids)
 
     def flush(tokens: list[np.ndarray], docs: list) -> pd.DataFrame:
@@ -215,21 +228,26 @@ def _scan(batches: Iterator[pd.DataFrame], vocabulary: dict[str, int], probes: l
             at, to, doc = at[inside], to[inside], doc[inside]
             if not len(at):
                 continue
-            size = np.array([len(t) for t in votes.ids])  # ids count from 0 in this order
             views = np.lib.stride_tricks.sliding_window_view(ids, probe.window)
-            for k in range(0, len(at), 20_000):
-                a, p, d = at[k : k + 20_000], to[k : k + 20_000], doc[k : k + 20_000]
-                alike = similarities(views[a], probe.tokens[p], size)
+            same = np.concatenate([(views[at[k : k + AT_ONCE]] == probe.tokens[to[k : k + AT_ONCE]]).all(axis=1) for k in range(0, len(at), AT_ONCE)])
+            n = probe.starts[to + 1] - probe.starts[to]
+            owner = probe.owner[np.repeat(probe.starts[to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            at, to, same = np.repeat(at, n), np.repeat(to, n), np.repeat(same, n)
+            pair = np.repeat(doc, n) * len(keys) + owner
+            # No other window of this size can say more of a document and an item than an equal one.
+            done = np.unique(pair[same])
+            rows.append(pd.DataFrame({"pair": done, "similarity": 1.0, "run": probe.window}))
+            left = np.flatnonzero(~np.isin(pair, done))
+            for k in range(0, len(left), AT_ONCE):
+                some = left[k : k + AT_ONCE]
+                seen, asked = views[at[some]], probe.tokens[to[some]]
+                alike = similarities(seen, asked, votes.sizes)
                 good = alike >= similarity
-                a, p, d, alike = a[good], p[good], d[good], alike[good]
-                runs = longest_runs(views[a], probe.tokens[p])
-                n = probe.starts[p + 1] - probe.starts[p]
-                owner = probe.owner[np.repeat(probe.starts[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                rows.append(pd.DataFrame({"doc": np.repeat(d, n), "key": owner, "similarity": np.repeat(alike, n), "run": np.repeat(runs, n)}))
+                rows.append(pd.DataFrame({"pair": pair[some][good], "similarity": alike[good], "run": longest_runs(seen[good], asked[good])}))
         if not rows:
             return pd.DataFrame()
-        best = pd.concat(rows).groupby(["doc", "key"], as_index=False).max()
-        return pd.DataFrame({"doc": pd.Series([docs[d] for d in best.doc], dtype=object), "key": pd.Series(keys[best.key.to_numpy()], dtype=object), "similarity": best.similarity, "run": best.run.astype(np.int32)})
+        best = pd.concat(rows).groupby("pair", as_index=False).max()
+        return pd.DataFrame({"doc": pd.Series([docs[d] for d in best.pair // len(keys)], dtype=object), "key": pd.Series(keys[best.pair.to_numpy() % len(keys)], dtype=object), "similarity": best.similarity, "run": best.run.astype(np.int32)})
 
     widest = max((p.window for p in probes), default=part)
     for b in batches:
