@@ -41,6 +41,14 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return _reports(spark, d).coverage().withColumnRenamed("id", "pane_id")
 
 
+def p3_spans(spark: SparkSession, d: str) -> DataFrame:
+    return _reports(spark, d).spans().withColumnRenamed("id", "pane_id")
+
+
+def p3_unshared(spark: SparkSession, d: str) -> DataFrame:
+    return _reports(spark, d).unshared().withColumnRenamed("id", "pane_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "responses"), "response_id", "question", "content", pairs.RULING, pairs.RULING_WORDS)
 
@@ -112,7 +120,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return assign_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "doc_labels"), "doc_id", "subject", subjects).select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_coverage, p4_found, p4_copy_ratio, p5_found, p5_panes, p5_quotes, p6_found, p6_clusters, p7_found, p7_leaks, p8_mix_plan, p8_mix_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_coverage, p3_spans, p3_unshared, p4_found, p4_copy_ratio, p5_found, p5_panes, p5_quotes, p6_found, p6_clusters, p7_found, p7_leaks, p8_mix_plan, p8_mix_shares, p9_found)}
 
 #: None of them can be said in SQL on whole tables; tests/llm holds them against brute force and held-out labels.
 ORACLE_SQL: dict[str, str] = {}

@@ -3,10 +3,11 @@
 Every run of min_len characters holds at least one anchor: the smallest of the hashes of its k-grams, k < min_len
 (winnowing, so the choice depends on the run alone). Anchors that only one text has are dropped; around each of the
 others a segment is cut that is wide enough for every run of min_len through the anchor. The segments of an anchor are
-its reference shard: a generalised suffix automaton is built over them (over at most SHARD_SEGMENTS of them; a hotter
-anchor gets several shards) and the segments are streamed through it for matching statistics. So a text meets only
-shards with which it has something in common, where broadcasting all shards to all texts would grow as the square of
-the corpus.
+its reference shard: a generalised suffix automaton is built over them and the segments are streamed through it for
+matching statistics. So a text meets only shards with which it has something in common, where broadcasting all shards
+to all texts would grow as the square of the corpus. An anchor with more than SHARD_SEGMENTS segments (boilerplate) is
+split by the longer anchors in its segments, and what is still hotter by whole runs of min_len, whose owners share them
+by definition: each step makes a number of rows that is linear in the segments.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from casemill.runtime import arrow_safe, cut
 
-#: Reference segments in one suffix automaton: bounds its memory (about 275 characters each).
+#: Reference segments in one suffix automaton: bounds its memory (about 275 characters each) and its work.
 SHARD_SEGMENTS = 400
 #: Windows that one call of the hashing takes at once: bounds its memory on very long texts.
 BLOCK = 1 << 18
@@ -183,8 +184,8 @@ def _sharded(batches: Iterator[pd.DataFrame], min_len: int, answer) -> Iterator[
     key, refs, automaton, out = None, [], None, []
     for b in batches:
         for row in b.itertuples(index=False):
-            if (row.h, row.shard) != key:
-                key, refs, automaton = (row.h, row.shard), [], None
+            if (row.h, row.sub) != key:
+                key, refs, automaton = (row.h, row.sub), [], None
             if row.is_ref:
                 refs.append(row)
                 continue
@@ -238,16 +239,39 @@ class SharedSpans:
             .withColumn("sd", F.md5("seg"))
         )
 
-    def _streamed(self, answer, schema: str, segs: DataFrame) -> DataFrame:
-        """segs: (h, sd, seg, ...), distinct by (h, sd). Streams each through the automata of its anchor's shards."""
+    def _laid(self, segs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """segs: (h, sd, seg, ...), distinct by (h, sd). Gives the rows of shards (sub tells those of one hot anchor apart)
+        and, of what is too hot for shards, the runs (h, sub, sd, at) of min_len that several segments have, or None."""
+        min_len, finer_k = self.min_len, self.min_len - max(1, (self.min_len - self.k) // 4)
+        sizes = cut(segs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+        shards = segs.join(sizes.where(F.col("n") <= SHARD_SEGMENTS).select("h"), "h").withColumn("sub", F.lit(0).cast("bigint"))
+        hot = segs.join(sizes.where(F.col("n") > SHARD_SEGMENTS).select("h"), "h")
+        if sizes.where(F.col("n") > SHARD_SEGMENTS).isEmpty():
+            return shards, None
+
+        def find(k: int):
+            def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    for h, sd, seg in zip(b.h, b.sd, b.seg, strict=True):
+                        subs, places, _ = anchors(seg, min_len, k)
+                        yield pd.DataFrame({"h": h, "sd": sd, "sub": subs, "at": places.astype(np.int32)})
+
+            return arrow_safe(step)
+
+        schema = "h bigint, sd string, sub bigint, at int"
+        finer = cut(hot.select("h", "sd", "seg").mapInPandas(find(finer_k), schema).select("h", "sd", "sub").distinct())
+        counted = cut(finer.groupBy("h", "sub").agg(F.count("*").alias("n")).where("n > 1"))
+        some = finer.join(counted.where(F.col("n") <= SHARD_SEGMENTS).select("h", "sub"), ["h", "sub"])
+        hotter = finer.join(counted.where(F.col("n") > SHARD_SEGMENTS).select("h", "sub"), ["h", "sub"]).select("h", "sd").distinct()
+        runs = cut(hot.join(hotter, ["h", "sd"]).select("h", "sd", "seg").mapInPandas(find(min_len), schema))
+        shared = runs.groupBy("h", "sub").agg(F.min("sd").alias("low"), F.max("sd").alias("high")).where("low < high").select("h", "sub")
+        return shards.unionByName(hot.join(some, ["h", "sd"])), runs.join(shared, ["h", "sub"])
+
+    def _streamed(self, answer, schema: str, rows: DataFrame) -> DataFrame:
+        """Streams each segment through the automaton of its shard."""
         min_len = self.min_len
-        sizes = segs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("shards", F.ceil(F.col("n") / SHARD_SEGMENTS).cast("int")).select("h", "shards")
-        rows = segs.join(sizes, "h")
-        own = F.pmod(F.xxhash64("sd"), F.col("shards")).cast("int")
-        refs = rows.withColumn("shard", own).withColumn("is_ref", F.lit(True))
-        queries = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("is_ref", F.lit(False))
-        both = refs.unionByName(queries).drop("shards")
-        laid = both.repartition("h", "shard").sortWithinPartitions("h", "shard", F.col("is_ref").desc())
+        both = rows.withColumn("is_ref", F.explode(F.array(F.lit(True), F.lit(False))))
+        laid = both.repartition("h", "sub").sortWithinPartitions("h", "sub", F.col("is_ref").desc())
         return laid.mapInPandas(arrow_safe(lambda batches: _sharded(batches, min_len, answer)), schema)
 
     def pairs(self) -> DataFrame:
@@ -264,21 +288,24 @@ class SharedSpans:
 
         owners = self.segments.select("sd", "id").distinct()
         # Segments with the same owners lead to the same pairs: one of them stands for all.
-        sets = owners.groupBy("sd").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sig"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("sig2"))
-        head = sets.groupBy("n", "sig", "sig2").agg(F.min("sd").alias("head"))
-        stands = cut(sets.join(head, ["n", "sig", "sig2"]).select("sd", "head", "n"))
+        stands = cut(_same_sets(owners, "sd", "id", "head"))
         of = cut(owners.join(stands.where("sd = head").select("sd"), "sd").select(F.col("sd").alias("head"), "id"))
         same = stands.where("sd = head and n > 1").select(F.col("head").alias("ha"), F.col("head").alias("hb"))
-        segs = self.segments.groupBy("h", "sd").agg(F.min("seg").alias("seg"))
-        found = self._streamed(answer, "sa string, sb string", segs)
+        shards, runs = self._laid(self.segments.groupBy("h", "sd").agg(F.min("seg").alias("seg")))
+        found = self._streamed(answer, "sa string, sb string", shards)
         linked = found.join(stands.select(F.col("sd").alias("sa"), F.col("head").alias("ha")), "sa").join(stands.select(F.col("sd").alias("sb"), F.col("head").alias("hb")), "sb").select("ha", "hb").distinct()
         links = linked.union(same).distinct()
-        wide = links.join(of.select(F.col("head").alias("ha"), F.col("id").alias("x")), "ha").join(of.select(F.col("head").alias("hb"), F.col("id").alias("y")), "hb").where("x != y")
+        wide = links.join(of.select(F.col("head").alias("ha"), F.col("id").alias("x")), "ha").join(of.select(F.col("head").alias("hb"), F.col("id").alias("y")), "hb").where("x != y").select("x", "y")
+        if runs is not None:
+            # All owners of a run are pairs of the result; runs with the same owners are taken once.
+            group = runs.select(F.xxhash64("h", "sub").alias("g"), "sd").join(owners, "sd").select("g", "id").distinct()
+            kept = group.join(_same_sets(group, "g", "id", "first").where("g = first").select("g"), "g")
+            wide = wide.union(kept.select("g", F.col("id").alias("x")).join(kept.select("g", F.col("id").alias("y")), "g").where("x < y").select("x", "y"))
         return wide.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
-    def coverage(self) -> DataFrame:
-        """(id, n_chars, shared_chars, share): for each text, how many of its characters stand, within a run of at least
-        min_len, also in another text. Texts too short to share anything are listed with 0."""
+    def spans(self) -> DataFrame:
+        """(id, start, end): the maximal stretches of each text that are covered by runs of at least min_len characters that
+        another text has as well; end is past the last character."""
         min_len = self.min_len
 
         def answer(automaton: SuffixAutomaton, refs: list, query) -> list[dict]:
@@ -294,11 +321,36 @@ class SharedSpans:
 
         segs = self.segments.groupBy("h", "sd").agg(F.min("seg").alias("seg"), F.min("id").alias("low"), F.max("id").alias("high"))
         copies = segs.where((F.col("low") < F.col("high")) & (F.length("seg") >= min_len)).select("h", "sd", F.lit(0).alias("first"), F.length("seg").alias("last"))
-        spans = self._streamed(answer, "h bigint, sd string, first int, last int", segs).union(copies)
+        shards, runs = self._laid(segs)
+        spans = self._streamed(answer, "h bigint, sd string, first int, last int", shards).union(copies)
+        if runs is not None:
+            held = runs.join(segs.select("h", "sd", "low", "high"), ["h", "sd"])
+            several = held.groupBy("h", "sub").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h", "sub")
+            spans = spans.union(runs.join(several, ["h", "sub"]).select("h", "sd", F.col("at").alias("first"), (F.col("at") + min_len).alias("last")))
         places = F.explode(F.concat(F.array("start"), F.coalesce("also", F.array().cast("array<int>"))))
         placed = self.segments.select("h", "sd", "id", places.alias("start")).join(spans, ["h", "sd"]).select("id", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b")).alias("s")).distinct()
-        merged = placed.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("spans"))
-        size = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, s: F.struct((acc.n + F.greatest(s.b - F.greatest(s.a, acc.end), F.lit(0))).alias("n"), F.greatest(acc.end, s.b).alias("end")))
+        merged = placed.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("spans"))  # a text has no more than it has characters
+        none = F.array().cast("array<struct<a:int,b:int>>")
+        join = lambda done, s: F.when((F.size(done) > 0) & (s.a <= F.element_at(done, -1).b), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1).a.alias("a"), F.greatest(F.element_at(done, -1).b, s.b).alias("b"))))).otherwise(F.concat(done, F.array(s)))
+        return merged.select("id", F.explode(F.aggregate("spans", none, join)).alias("s")).select("id", F.col("s.a").alias("start"), F.col("s.b").alias("end"))
+
+    def coverage(self) -> DataFrame:
+        """(id, n_chars, shared_chars, share): for each text, how many of its characters stand, within a run of at least
+        min_len, also in another text. Texts too short to share anything are listed with 0."""
         lengths = self.docs.groupBy("id").agg(F.max(F.length("text")).alias("n_chars"))
-        found = merged.select("id", size.n.alias("shared_chars"))
+        found = self.spans().groupBy("id").agg(F.sum(F.col("end") - F.col("start")).cast("int").alias("shared_chars"))
         return lengths.join(found, "id", "left").select("id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.round(F.coalesce("shared_chars", F.lit(0)) / F.col("n_chars"), 6).alias("share"))
+
+    def unshared(self) -> DataFrame:
+        """(id, text): the texts without their shared spans; of a repeated id the longest text."""
+        texts = self.docs.groupBy("id").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("t")).select("id", F.col("t.text").alias("text"))
+        spans = self.spans().groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        cuts = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
+        rest = F.aggregate(cuts, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda acc, s: F.struct(F.concat(acc.out, F.substring("text", acc.at + 1, s.start - acc.at)).alias("out"), s.end.alias("at")), lambda acc: F.concat(acc.out, F.substring("text", acc.at + 1, F.length("text"))))
+        return texts.join(spans, "id", "left").select("id", rest.alias("text"))
+
+
+def _same_sets(pairs: DataFrame, key: str, member: str, first: str) -> DataFrame:
+    """(key, first, n): for each key with its n members the smallest key that has the same members."""
+    sets = pairs.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.xxhash64(member).cast("decimal(38,0)")).alias("sig"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("sig2"))
+    return sets.join(sets.groupBy("n", "sig", "sig2").agg(F.min(key).alias(first)), ["n", "sig", "sig2"]).select(key, first, "n")

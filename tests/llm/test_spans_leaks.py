@@ -9,6 +9,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from casemill.llm import leaks
 from casemill.llm.spans import SharedSpans, SuffixAutomaton, anchors
@@ -54,6 +55,14 @@ def test_spans_equal_brute_force(spark, seed):
     pairs, cover = _brute(rows, 40)
     assert {tuple(r) for r in made.pairs().collect()} == pairs
     assert {r.id: r.shared_chars for r in made.coverage().collect()} == cover
+    spans = made.spans().collect()
+    assert {i: sum(r.end - r.start for r in spans if r.id == i) for i in cover} == cover and all(r.end - r.start >= 40 for r in spans)
+    texts = dict(rows)
+    for r in made.unshared().collect():
+        cuts, at, rest = sorted((x.start, x.end) for x in spans if x.id == r.id), 0, ""
+        for a, b in cuts:
+            rest, at = rest + texts[r.id][at:a], b
+        assert r.text == rest + texts[r.id][at:]
 
 
 def test_spans_edges(spark):
@@ -67,19 +76,39 @@ def test_spans_edges(spark):
     assert {r.id: (r.n_chars, r.shared_chars, r.share) for r in made.coverage().collect()} == {1: (400, 200, 0.5), 2: (200, 200, 1.0)}
 
 
-def test_spans_hot_anchor_is_sharded(spark, monkeypatch):
+@pytest.mark.parametrize("size", [7, 25])
+def test_spans_of_a_hot_anchor(spark, monkeypatch, size):
     from casemill.llm import spans
 
-    monkeypatch.setattr(spans, "SHARD_SEGMENTS", 7)
+    monkeypatch.setattr(spans, "SHARD_SEGMENTS", size)
     rng = random.Random(9)
-    core = "".join(rng.choice("abcdef ") for _ in range(39))
-    rows = [(k, "".join(rng.choice("abcdef ") for _ in range(30)) + core + rng.choice("ab") + "".join(rng.choice("abcdef ") for _ in range(30))) for k in range(60)]
+    core = "".join(rng.choice("abcdef ") for _ in range(36))
+    rows = [(k, "".join(rng.choice("abcdef ") for _ in range(30)) + rng.choice("ab") + core + rng.choice("ab") + rng.choice("ab") + rng.choice("abc") + "".join(rng.choice("abcdef ") for _ in range(30))) for k in range(160)]
     made = SharedSpans(spark.createDataFrame(rows, "pane_id bigint, text string"), "pane_id", "text", 40)
     pairs, cover = _brute(rows, 40)
-    assert pairs and {tuple(r) for r in made.pairs().collect()} == pairs
+    assert len(pairs) > 200 and {tuple(r) for r in made.pairs().collect()} == pairs
     assert {r.id: r.shared_chars for r in made.coverage().collect()} == cover
 
 
+def test_boilerplate_makes_linear_work(spark):
+    """One anchor in 20,000 texts that have nothing long enough in common."""
+    rng = random.Random(10)
+    core = "".join(rng.choice("abcdef ") for _ in range(38))
+    rows = [(k, "".join(rng.choices("abcdefghijklmnop ", k=50)) + core + "".join(rng.choices("abcdefghijklmnop ", k=50))) for k in range(20_000)]
+    made = SharedSpans(spark.createDataFrame(rows, "pane_id bigint, text string"), "pane_id", "text", 40)
+    segs = made.segments.groupBy("h", "sd").agg(F.min("seg").alias("seg"))
+    shards, runs = made._laid(segs)
+    streamed = shards.count() + (runs.count() if runs is not None else 0)
+    assert streamed <= 10 * segs.count()
+    assert shards.groupBy("h", "sub").count().agg(F.max("count")).first()[0] <= 400
+    where = defaultdict(set)
+    for i, t in rows:
+        for k in range(len(t) - 39):
+            where[hash(t[k : k + 40])].add(i)
+    true = {p for v in where.values() for p in itertools.combinations(sorted(v), 2)}
+    assert {tuple(r) for r in made.pairs().collect()} == true
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=30), min_size=1, max_size=5), st.text("ab", max_size=30))
 def test_automaton(refs, query):
