@@ -379,3 +379,22 @@ def test_nothing_outside_imports_the_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "casemill.llm" not in path.read_text()
+
+
+def test_words_of_other_scripts_keep_their_letters():
+    rewrite = lookalikes.Rewriter({"o": 9, "e": 9, "a": 9, "c": 9, "p": 9, "'": 3})
+    assert rewrite("the Панель and Ελλάδα stay") == "the Панель and Ελλάδα stay"
+    assert rewrite("Пан​ель") == "Панель" and rewrite("сора") == "copa" and rewrite("раnel") == "panel"
+    assert rewrite(rewrite("Панель сора")) == rewrite("Панель сора") == "Панель copa"
+
+
+def test_many_quotes_and_texts_of_one_file(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "QUOTES_AT_ONCE", 7)
+    monkeypatch.setattr(lookalikes, "TEXTS_AT_ONCE", 5)
+    r = random.Random(4)
+    words = ["panel", "rulіng", "code", "no breach", "casе", "ﬁrst"]
+    quotes = [(k, r.choice("fg"), " ".join(r.choices(words, k=2))) for k in range(60)]
+    places = [(2**60 + k, r.choice("fff"), " ".join(r.choices(words, k=6))) for k in range(40)]
+    rewrite = lookalikes.Rewriter({"i": 5, "e": 5, "fi": 5})
+    got = lookalikes.find_quotes(spark.createDataFrame(quotes, "quote_id bigint, file string, quote string"), spark.createDataFrame(places, "place_id bigint, file string, text string"), rewrite).collect()
+    assert {tuple(x) for x in got} == {(q, p) for q, f, a in quotes for p, g, b in places if f == g and rewrite(a) in rewrite(b)} and len(got) == len(set(map(tuple, got))) > 50
