@@ -58,23 +58,21 @@ def adaptive_bins(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
 
 def _bins(curve: DataFrame, by: list[str], bins: int) -> DataFrame:
-    if bins < 1:
-        raise ValueError("bins must be 1 or more")
-    ends = curve.groupBy(*by).agg(F.sum("n").alias("total")).withColumn("ends", F.array(F.lit(0).cast("bigint")))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
-    for i in range(bins):  # one row per group goes through; the next end is the least count of the curve that suffices
-        last = F.element_at("ends", -1)
-        need = F.greatest(F.bround(F.lit(i + 1) * F.col("total") / F.lit(float(bins)), 0).cast("bigint"), last + 1)
-        asked = ends.withColumn("need", F.when(last < F.col("total"), F.least("total", need)))
-        found = asked.alias("a").join(curve.select(*by, "c_n").alias("c"), [*same, F.col("c.c_n") >= F.col("a.need")], "left")
-        step = found.groupBy(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.total").alias("total"), F.col("a.ends").alias("ends")).agg(F.min("c.c_n").alias("end"))
-        ends = step.withColumn("ends", F.when(F.col("end").isNotNull(), F.array_append("ends", F.col("end"))).otherwise(F.col("ends"))).drop("end")
-    ends = cut(ends)
-    ranges = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda k: F.struct((k - 1).alias("bin"), F.get("ends", k - 1).alias("start"), F.get("ends", k).alias("end")))
-    placed = ends.where(F.size("ends") > 1).select(*by, F.explode(ranges).alias("r")).select(*by, "r.*")
-    on = [F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
-    inside = placed.alias("b").join(curve.alias("c"), [*on, F.col("c.c_n") > F.col("b.start"), F.col("c.c_n") <= F.col("b.end")])
-    out = inside.groupBy(*(F.col(f"b.{c}").alias(c) for c in by), F.col("b.bin").alias("bin")).agg(F.sum("c.n").alias("n"), F.min("c.p").alias("min_p"), F.max("c.p").alias("max_p"), F.sum(F.col("c.p") * F.col("c.n")).alias("_sp"), F.sum("c.k").alias("_k"))
+    if bins < 1 or not by:
+        raise ValueError("bins must be 1 or more, and by must name a column")
+    # Each distinct p ends at most one bin. It is asked to by every goal that its counts reach first; goals that wait, since
+    # an earlier one took their p, go to the next ones: a queue, so the waiting are a running sum less its running minimum.
+    totals = curve.groupBy(*by).agg(F.sum("n").alias("_total")).select(*(F.col(c).alias(f"_{c}") for c in by), "_total")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    goal = lambda i: F.bround(F.lit(i + 1) * F.col("_total") / F.lit(float(bins)), 0)
+    reached = sum(((goal(i) > F.col("c_n") - F.col("n")) & (goal(i) <= F.col("c_n"))).cast("int") for i in range(bins))
+    # A goal of 0 rows waits for the first p.
+    early = sum((goal(i) <= 0).cast("int") for i in range(bins))
+    asked = curve.join(totals, on).withColumn("_m", reached + F.when(F.col("c_n") == F.col("n"), early).otherwise(0)).select(*curve.columns, "_m")
+    queue = Ordered(asked, by, ["p"]).total("_s", F.col("_m") - 1).largest_before("_low", -F.col("_s"))
+    waiting = F.col("_s") - F.col("_m") + 1 + F.greatest(F.lit(0), F.coalesce("_low", F.lit(0)))
+    ends = queue.total("bin", (waiting + F.col("_m") > 0).cast("int"), inclusive=False).rows()
+    out = ends.groupBy(*by, F.col("bin").cast("int").alias("bin")).agg(F.sum("n").alias("n"), F.min("p").alias("min_p"), F.max("p").alias("max_p"), F.sum(F.col("p") * F.col("n")).alias("_sp"), F.sum("k").alias("_k"))
     return out.select(*by, "bin", "n", "min_p", "max_p", (F.col("_sp") / F.col("n")).alias("mean_p"), (F.col("_k") / F.col("n")).alias("accuracy"), (F.col("_k") / F.col("n") - F.col("_sp") / F.col("n")).alias("gap"))
 
 
@@ -100,7 +98,12 @@ def _auroc(curve: DataFrame, by: list[str]) -> DataFrame:
 
 def metric_set(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
     """(by, n, accuracy, brier, mean_p, ece, auroc), all from one histogram of distinct p."""
-    curve = cut(running(histogram(rows, by), by, ["n", "k"]))
+    return metrics_of(histogram(rows, by), by, bins)
+
+
+def metrics_of(hist: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """metric_set from a histogram (by, p, n, k)."""
+    curve = cut(running(hist, by, ["n", "k"]))
     p, n, k = F.col("p"), F.col("n"), F.col("k")
     total = F.sum(n)
     simple = curve.groupBy(*by).agg(total.alias("n"), (F.sum(k) / total).alias("accuracy"), (F.sum(k * F.pow(1 - p, 2) + (n - k) * F.pow(p, 2)) / total).alias("brier"), (F.sum(n * p) / total).alias("mean_p"))
@@ -168,20 +171,39 @@ def percentile_interval(values: DataFrame, by: list[str], value: str) -> DataFra
     return ranked.groupBy(*by).agg(F.count("*").alias("draws"), pick(lo).alias("lo"), pick(hi).alias("hi"))
 
 
-def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
-    """(by, draw, accuracy, brier): metrics of draws of as many clusters as there are, with replacement.
+#: Chances of at most 0, 1, 2 ... draws of one cluster, Poisson distributed with mean 1, times 2 to the 32.
+POISSON = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817)
+
+
+def resampled(rows: DataFrame, by: list[str], cluster: str, sums: list[str], draws: int, seed: int, within: list[str] | None = None) -> DataFrame:
+    """(by, draw, within, sums): the sums over rows, each cluster drawn as often as a hash of seed, cluster and draw says.
 
-    Slot s of draw d takes the cluster at index md5(seed|d|s) mod the number of clusters, clusters sorted; only sums per
-    cluster are resampled. Work is draws times clusters, and no more rows than these are shuffled.
+    Numbers of draws are Poisson distributed with mean 1, independently for each cluster: the bootstrap for data whose
+    clusters no machine can number. A row is multiplied where it is read and added up before the shuffle, which carries no
+    more than a row for each (by, draw, within) and task; nothing is broadcast and nothing joined. rows should be summed
+    per cluster before. Rows with a null cluster are left out; a draw that takes no cluster has no row. Four draws share a
+    hash: draw d takes the hex digits 8 (d mod 4) to 8 (d mod 4) + 8 of md5(seed|cluster|d div 4).
     """
-    per = usable(rows).groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("bigint")).alias("k"), F.sum(F.pow(F.col("p") - F.col("correct"), 2)).alias("se")).where(F.col(cluster).isNotNull())
-    numbered = cut(Ordered(per, by, [cluster]).number("_i").rows().withColumn("_i", (F.col("_i") - 1).cast("int")))
-    size = numbered.groupBy(*by).agg(F.count("*").alias("_m"))
-    slots = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_m").cast("int") - 1)))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", "_s")), 1, 8), 16, 10).cast("bigint") % F.col("_m")
-    picked = slots.select(*by, "draw", pick.cast("int").alias("_i"))
-    drawn = picked.join(numbered, [*by, "_i"])
-    return drawn.groupBy(*by, "draw").agg((F.sum("k") / F.sum("n")).alias("accuracy"), (F.sum("se") / F.sum("n")).alias("brier"))
+    keys = [*by, "draw", *(within or [])]
+    spread = rows.where(F.col(cluster).isNotNull()).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
+    digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("_four")))
+    one = spread.withColumn("_h", digits).withColumn("_i", F.explode(F.array(*(F.lit(i) for i in range(4))))).withColumn("draw", (F.col("_four") * 4 + F.col("_i")).cast("int")).where(F.col("draw") < draws)
+    u = F.conv(F.expr("substring(_h, 8 * _i + 1, 8)"), 16, 10).cast("bigint")
+    weight = F.size(F.filter(F.array(*(F.lit(x) for x in POISSON)), lambda x: x <= F.col("_u")))
+    return one.withColumn("_u", u).withColumn("_w", weight).where("_w > 0").groupBy(*keys).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums))
+
+
+def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, draws: int, seed: int, bins: int = 10) -> DataFrame:
+    """(by, draw, n, accuracy, brier, mean_p, ece, auroc): the metrics of each draw of clusters, as resampled() draws
+    them, from its weighted histogram of distinct p."""
+    per = histogram(rows, [*by, cluster])
+    return metrics_of(resampled(per, by, cluster, ["n", "k"], draws, seed, ["p"]), [*by, "draw"], bins)
+
+
+def intervals(values: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """(by, metric, draws, lo, hi): percentile_interval() of several columns of drawn values."""
+    long = values.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("_m")).select(*by, "_m.*")
+    return percentile_interval(long, [*by, "metric"], "value")
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:

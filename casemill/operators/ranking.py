@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.operators.metrics import resampled
+
 
 def seeded_key(seed: int, namespace: str, *values: Column | str) -> Column:
     """Order key that shuffles values the same way in every engine: md5 of seed, namespace and the values."""
@@ -109,6 +111,16 @@ def paired_deltas(pairs: DataFrame, left: str, right: str, by: list[str]) -> Dat
     return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(F.col(f"{left}.answer") != F.col(f"{right}.answer")).alias("answer_changes"), F.avg(F.col(f"{left}.correct") - F.col(f"{right}.correct")).alias("accuracy_delta"), F.avg(loss(left) - loss(right)).alias("brier_delta"), F.avg(F.col(f"{left}.p") - F.col(f"{right}.p")).alias("mean_p_delta"))
 
 
+def paired_delta_draws(pairs: DataFrame, left: str, right: str, by: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
+    """(by, draw, accuracy_delta, brier_delta, mean_p_delta): paired_deltas() of each draw of clusters. A pair has one
+    cluster, so it never crosses two."""
+    side = lambda c: F.col(f"{left}.{c}") - F.col(f"{right}.{c}")
+    loss = lambda s: F.pow(F.col(f"{s}.p") - F.col(f"{s}.correct"), 2)
+    per = pairs.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.sum(side("correct")).alias("accuracy_delta"), F.sum(loss(left) - loss(right)).alias("brier_delta"), F.sum(side("p")).alias("mean_p_delta"))
+    names = ["accuracy_delta", "brier_delta", "mean_p_delta"]
+    return resampled(per, by, cluster, ["n", *names], draws, seed).select(*by, "draw", *((F.col(c) / F.col("n")).alias(c) for c in names))
+
+
 def drops(planned: DataFrame, complete: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """(by, planned, complete, dropped): how many planned rows have a complete one."""
     both = planned.join(complete.withColumn("_ok", F.lit(1)), keys, "left")

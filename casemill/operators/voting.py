@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.operators.metrics import resampled
+
 
 def modal(rows: DataFrame, by: list[str], answer: str) -> DataFrame:
     """(by, answer, draws, p, tied): the most frequent answer, of equals the alphabetically first; p its share."""
@@ -44,6 +46,33 @@ def dispersion(rows: DataFrame, by: list[str], answer: str, p: str) -> DataFrame
     return spread.join(entropy, by).select(*by, "draws", (F.col("entropy") + 0.0).alias("entropy"), "sd", "low", "high")
 
 
+def dispersion_means(items: DataFrame, by: list[str]) -> DataFrame:
+    """(by, items, draws, disagreement, modal_share, entropy, sd): means over items, each once, of what item_dispersion()
+    tells of them."""
+    return _means(items.groupBy(*by).agg(F.count("*").alias("items"), *(F.sum(c).alias(c) for c in _SPREAD)), by)
+
+
+_SPREAD = ["draws", "disagreement", "modal_share", "entropy", "sd"]
+
+
+def _means(sums: DataFrame, by: list[str]) -> DataFrame:
+    return sums.select(*by, "items", "draws", *((F.col(c) / F.col("items")).alias(c) for c in _SPREAD[1:]))
+
+
+def item_dispersion(rows: DataFrame, by: list[str], answer: str, p: str) -> DataFrame:
+    """(by, draws, disagreement, modal_share, entropy, sd): of each item's draws, whether their answers differ (0 or 1), the
+    share of the most frequent one, their entropy in bits and the spread of the probabilities."""
+    counts = rows.groupBy(*by, F.col(answer).alias("_a")).agg(F.count("*").alias("n"))
+    shares = counts.groupBy(*by).agg((F.count("*") > 1).cast("int").alias("disagreement"), (F.max("n") / F.sum("n")).alias("modal_share"))
+    return dispersion(rows, by, answer, p).join(shares, by).select(*by, *_SPREAD)
+
+
+def dispersion_draws(items: DataFrame, by: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
+    """dispersion_means() of each draw of clusters."""
+    per = items.groupBy(*by, cluster).agg(F.count("*").alias("items"), *(F.sum(c).alias(c) for c in _SPREAD))
+    return _means(resampled(per, by, cluster, ["items", *_SPREAD], draws, seed), [*by, "draw"])
+
+
 def incomplete(rows: DataFrame, by: list[str], repeat: str, expected: int) -> DataFrame:
     """(by, n, reason): groups whose repeats are not exactly 1 to expected: duplicate, unexpected or missing."""
     seen = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(repeat).alias("_d"), F.min(repeat).alias("_low"), F.max(repeat).alias("_high"))

@@ -12,6 +12,9 @@ from casemill.runtime import table
 ANSWER = r'(?i)answer"?\s*:\s*"?(no_breach|breach|no_appeal|appeal)'
 JSON_P = r'"probability": *([01]\.[0-9]+)'
 PLAIN_P = r"(?:no_breach|breach|no_appeal|appeal)(?:, | \(|\. p = )([01]\.[0-9]+)"
+COSTS = [5, 15, 25, 35, 45]
+#: Draws of a bootstrap and their seed.
+DRAWS, SEED = 1000, 20260802
 TAGS = ["appeal", "inter_company", "multi_case"]
 
 #: SQL of the scored rows, as a list of common table expressions that ends with scored.
@@ -89,8 +92,14 @@ def error_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    drawn = metrics.cluster_bootstrap(scored(spark, d).where("split = 'test'"), ["task"], "case_number", 200, 20260802)
-    return rounded(metrics.percentile_interval(drawn, ["task"], "accuracy"))
+    drawn = metrics.cluster_bootstrap(scored(spark, d).where("split = 'test'"), ["task"], "case_number", DRAWS, SEED)
+    return rounded(metrics.intervals(drawn, ["task"], ["accuracy", "brier", "ece", "auroc"]))
+
+
+def tag_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    tagged = scored(spark, d).withColumn("tag", F.explode(F.array_distinct(F.array_intersect("tags", F.array(*map(F.lit, TAGS))))))
+    drawn = metrics.cluster_bootstrap(tagged, ["tag"], "case_number", DRAWS, SEED)
+    return rounded(metrics.intervals(drawn, ["tag"], ["accuracy", "brier", "ece", "auroc"]))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -105,6 +114,11 @@ def paired_delta(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ranking.paired_deltas(_pairs(spark, d), "p1", "p2", ["task"]))
 
 
+def paired_delta_ci(spark: SparkSession, d: str) -> DataFrame:
+    drawn = ranking.paired_delta_draws(_pairs(spark, d), "p1", "p2", ["task"], "case_number", DRAWS, SEED)
+    return rounded(metrics.intervals(drawn, ["task"], ["accuracy_delta", "brier_delta", "mean_p_delta"]))
+
+
 def paired_drops(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "responses").where("call_id is not null and item_id is not null and repeat_index is not null and model is not null")
     keys = ["item_id", "repeat_index", "model"]
@@ -126,6 +140,20 @@ def draw_dispersion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voting.dispersion(parsed(spark, d).where("answer is not null and p is not null"), ["item_id", "model"], "answer", "p"))
 
 
+def _items_drawn(spark: SparkSession, d: str) -> DataFrame:
+    items = voting.item_dispersion(parsed(spark, d).where("answer is not null and p is not null"), ["item_id", "model"], "answer", "p")
+    return items.join(table(spark, d, "eval_items").select("item_id", "case_number"), "item_id")
+
+
+def dispersion_means(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(voting.dispersion_means(_items_drawn(spark, d), ["model"]))
+
+
+def dispersion_ci(spark: SparkSession, d: str) -> DataFrame:
+    drawn = voting.dispersion_draws(_items_drawn(spark, d), ["model"], "case_number", DRAWS, SEED)
+    return rounded(metrics.intervals(drawn, ["model"], ["disagreement", "modal_share", "entropy", "sd"]))
+
+
 def k_prefix_votes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voting.prefix_votes(parsed(spark, d).where("answer is not null"), ["item_id", "model", "protocol"], "repeat_index", "answer", [1, 3, 5, 7]))
 
@@ -143,7 +171,7 @@ def headline_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deferral_levels(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(deferral.levels(scored(spark, d).where("task in ('T1', 'T2')"), [5, 15, 25, 35, 45], 100, ["task"]))
+    return rounded(deferral.levels(scored(spark, d).where("task in ('T1', 'T2')"), COSTS, 100, ["task"]))
 
 
 def matched_budget_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -151,31 +179,51 @@ def matched_budget_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def optimal_budget(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(deferral.optimal_budget(scored(spark, d), ["task"], 100.0, [5, 15, 25, 35, 45]))
+    return rounded(deferral.optimal_budget(scored(spark, d), ["task"], 100.0, COSTS, "response_id"))
+
+
+def budget_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(deferral.budget_comparison(scored(spark, d), ["model"], 100, COSTS, "response_id"))
+
+
+def board_from_levels(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(deferral.board_metrics(scored(spark, d), ["model"], ["item_id"], COSTS, 100, "answer", "label"))
+
+
+def deferral_ci(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(deferral.level_intervals(scored(spark, d), COSTS, 100, ["task"], "case_number", DRAWS, SEED))
 
 
 def implied_bins(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(deferral.implied_bins(scored(spark, d).where("task in ('T1', 'T2')"), ["item_id", "model"], [5, 15, 25, 35, 45], 100))
+    return rounded(deferral.implied_bins(scored(spark, d).where("task in ('T1', 'T2')"), ["item_id", "model"], COSTS, 100))
 
 
 def monotone_violations(spark: SparkSession, d: str) -> DataFrame:
-    return deferral.monotone_patterns(scored(spark, d).where("protocol = 'P1'"), ["item_id", "model"], "repeat_index", "correct", "response_id")
+    """The tables have no cost levels; repeat_index stands for them here and in switch_points."""
+    return deferral.monotone_patterns(scored(spark, d), ["item_id", "model", "protocol"], "repeat_index", "correct", "response_id")
 
 
 def switch_points(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(deferral.switch_points(scored(spark, d).where("protocol = 'P2'"), ["item_id", "model"], "repeat_index", "correct"), 6)
+    rows = scored(spark, d).withColumn("level", F.col("repeat_index") / F.lit(10.0))
+    return rounded(deferral.switch_points(rows, ["item_id", "model", "protocol"], "level", "correct"), 6)
+
 
+def switch_points_once(spark: SparkSession, d: str) -> DataFrame:
+    """The items of switch_points that turn once at most, which SQL can say too."""
+    return switch_points(spark, d).where("monotone")
 
-QUERIES = {f.__name__: f for f in (metric_set_by_task, metric_set_by_model, adaptive_bins, auroc_by_task, ece_by_task, case_weighted, tag_strata, overall_and_task, risk_coverage_curve, aurc_by_task, error_transitions, cluster_bootstrap_ci, paired_delta, paired_drops, modal_vote, linear_pool, draw_dispersion, k_prefix_votes, incomplete_groups, common_prefix_board, headline_runs, deferral_levels, matched_budget_loss, optimal_budget, implied_bins, monotone_violations, switch_points)}
 
+QUERIES = {f.__name__: f for f in (metric_set_by_task, metric_set_by_model, adaptive_bins, auroc_by_task, ece_by_task, case_weighted, tag_strata, overall_and_task, risk_coverage_curve, aurc_by_task, error_transitions, cluster_bootstrap_ci, tag_bootstrap_ci, paired_delta, paired_delta_ci, paired_drops, modal_vote, linear_pool, draw_dispersion, dispersion_means, dispersion_ci, k_prefix_votes, incomplete_groups, common_prefix_board, headline_runs, deferral_levels, matched_budget_loss, optimal_budget, budget_comparison, board_from_levels, deferral_ci, implied_bins, monotone_violations, switch_points, switch_points_once)}
 
-def _bins(by: str) -> str:
+
+def _bins(by: str, hist: str = "") -> str:
     keys = [k.strip() for k in by.split(",")]
     same = " AND ".join(f"x.{k} IS NOT DISTINCT FROM y.{k}" for k in keys)
     xs = ", ".join(f"x.{k}" for k in keys)
+    hist = hist or f"SELECT {by}, p, count(*) AS n, sum(correct) AS k FROM ok GROUP BY {by}, p"
     return f"""
 ok AS (SELECT * FROM scored WHERE p IS NOT NULL AND correct IS NOT NULL),
-hist AS (SELECT {by}, p, count(*) AS n, sum(correct) AS k FROM ok GROUP BY {by}, p),
+hist AS ({hist}),
 curve AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {by} ORDER BY p) AS BIGINT) AS c FROM hist),
 ends AS (
   SELECT {by}, 0 AS i, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS last, CAST(sum(n) AS BIGINT) AS total FROM hist GROUP BY {by}
@@ -201,6 +249,36 @@ SELECT {by}, n, round(accuracy, 9) AS accuracy, round(brier, 9) AS brier, round(
 FROM m LEFT JOIN ece USING ({using}) LEFT JOIN roc USING ({using})"""
 
 
+_POISSON = " + ".join(f"CAST(u >= {x} AS BIGINT)" for x in metrics.POISSON)
+
+
+def _weights(source: str, cluster: str) -> str:
+    """How often each draw takes each cluster of a source."""
+    return f"""drawn AS (SELECT c, draw, {_POISSON} AS w FROM (
+  SELECT c, d AS draw, ('0x' || substr(md5('{SEED}|' || c || '|' || (d // 4)), 1 + 8 * (d % 4), 8))::BIGINT AS u
+  FROM (SELECT DISTINCT {cluster} AS c FROM {source} WHERE {cluster} IS NOT NULL), (SELECT unnest(range({DRAWS})) AS d))),
+taken AS (SELECT * FROM drawn WHERE w > 0)"""
+
+
+def _percentiles(by: str, values: str, names: list[str]) -> str:
+    """Percentile intervals of the columns names of a table of drawn values."""
+    long = " UNION ALL ".join(f"SELECT {by}, '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM {values}" for m in names)
+    return f"""long AS (SELECT * FROM ({long}) WHERE v IS NOT NULL),
+placed AS (SELECT {by}, metric, v, row_number() OVER (PARTITION BY {by}, metric ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY {by}, metric) AS n FROM long)
+SELECT {by}, metric, count(*) AS draws, round(max(CASE WHEN i = floor(0.025 * (n - 1)) THEN v END), 9) AS lo, round(max(CASE WHEN i = round_even(0.975 * (n - 1), 0) THEN v END), 9) AS hi FROM placed GROUP BY {by}, metric"""
+
+
+def _metric_ci(by: str, rows: str) -> str:
+    """Bootstrap of the metric set over cases."""
+    hist = f"SELECT {by}, draw, p, sum(n * w) AS n, sum(k * w) AS k FROM per JOIN taken ON case_number = c GROUP BY {by}, draw, p"
+    return f"""WITH RECURSIVE {SCORED}, usable AS (SELECT * FROM scored WHERE p IS NOT NULL AND correct IS NOT NULL), rowset AS ({rows}),
+per AS (SELECT {by}, case_number, p, count(*) AS n, sum(correct) AS k FROM rowset WHERE case_number IS NOT NULL GROUP BY ALL),
+{_weights("per", "case_number")}, {_bins(f"{by}, draw", hist)},
+m AS (SELECT {by}, draw, sum(k) / sum(n) AS accuracy, sum(k * (1 - p) * (1 - p) + (n - k) * p * p) / sum(n) AS brier FROM hist GROUP BY {by}, draw),
+whole AS (SELECT * FROM m LEFT JOIN ece USING ({by}, draw) LEFT JOIN roc USING ({by}, draw)),
+{_percentiles(by, "whole", ["accuracy", "brier", "ece", "auroc"])}"""
+
+
 _OK = f"WITH {SCORED}, ok AS (SELECT * FROM scored WHERE p IS NOT NULL AND correct IS NOT NULL)"
 _DESC = """hist AS (SELECT task, p, count(*) AS n, count(*) - sum(correct) AS w FROM ok GROUP BY task, p),
 curve AS (SELECT *, CAST(sum(n) OVER (PARTITION BY task ORDER BY p DESC) AS BIGINT) AS accepted, CAST(sum(w) OVER (PARTITION BY task ORDER BY p DESC) AS BIGINT) AS errors, CAST(sum(n) OVER (PARTITION BY task) AS BIGINT) AS total FROM hist)"""
@@ -208,6 +286,10 @@ _PAIRS = """
 side AS (SELECT item_id, repeat_index, model, case_number, task, protocol, min_by({'a': answer, 'c': correct, 'p': p}, response_id) AS v FROM ok GROUP BY ALL),
 pairs AS (SELECT x.item_id, x.repeat_index, x.model, x.case_number, x.task, x.v AS l, y.v AS r FROM side x JOIN side y USING (item_id, repeat_index, model, case_number, task) WHERE x.protocol = 'P1' AND y.protocol = 'P2')"""
 _PARSED = f"WITH {SCORED}"
+_SPREAD_SQL = """a AS (SELECT item_id, model, answer, count(*) AS n FROM parsed WHERE answer IS NOT NULL AND p IS NOT NULL GROUP BY ALL),
+e AS (SELECT item_id, model, CAST(count(*) > 1 AS BIGINT) AS disagreement, max(n) / sum(n) AS modal_share, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM a GROUP BY ALL),
+v AS (SELECT item_id, model, count(*) AS draws, stddev_pop(p) AS sd FROM parsed WHERE answer IS NOT NULL AND p IS NOT NULL GROUP BY ALL),
+spread AS (SELECT v.*, e.* EXCLUDE (item_id, model), i.case_number FROM v JOIN e USING (item_id, model) JOIN eval_items i USING (item_id))"""
 
 ORACLE_SQL = {
     "metric_set_by_task": _metric_set("task"),
@@ -228,14 +310,42 @@ UNION ALL SELECT DISTINCT task, CAST(NULL AS DOUBLE), CAST(0 AS BIGINT), CAST(0
     "aurc_by_task": f"{_OK}, {_DESC} SELECT task, round(sum(n * errors / accepted) / sum(n), 9) AS aurc FROM curve GROUP BY task",
     "error_transitions": f"""{_OK}, h AS (SELECT task, label, answer, p, count(*) AS n FROM ok WHERE correct = 0 GROUP BY ALL)
 SELECT task, label, answer, p AS threshold, CAST(sum(n) OVER (PARTITION BY task, label, answer ORDER BY p DESC) AS BIGINT) AS errors FROM h""",
-    "cluster_bootstrap_ci": f"""{_OK},
-per AS (SELECT task, case_number, count(*) AS n, sum(correct) AS k FROM ok WHERE split = 'test' AND case_number IS NOT NULL GROUP BY task, case_number),
-num AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY case_number) - 1 AS i, count(*) OVER (PARTITION BY task) AS m FROM per),
-slots AS (SELECT task, m, d.draw, unnest(range(m)) AS s FROM (SELECT DISTINCT task, m FROM num), (SELECT unnest(range(200)) AS draw) d),
-picked AS (SELECT task, draw, ('0x' || substr(md5('20260802|' || draw || '|' || s), 1, 8))::BIGINT % m AS i FROM slots),
-drawn AS (SELECT p.task, p.draw, sum(n.k) / sum(n.n) AS accuracy FROM picked p JOIN num n ON p.task = n.task AND p.i = n.i GROUP BY p.task, p.draw),
-r AS (SELECT task, accuracy, row_number() OVER (PARTITION BY task ORDER BY accuracy) - 1 AS i, count(*) OVER (PARTITION BY task) AS n FROM drawn)
-SELECT task, count(*) AS draws, round(max(CASE WHEN i = floor(0.025 * (n - 1)) THEN accuracy END), 9) AS lo, round(max(CASE WHEN i = round_even(0.975 * (n - 1), 0) THEN accuracy END), 9) AS hi FROM r GROUP BY task""",
+    "cluster_bootstrap_ci": _metric_ci("task", "SELECT * FROM usable WHERE split = 'test'"),
+    "tag_bootstrap_ci": _metric_ci("tag", f"SELECT *, unnest(list_distinct(list_intersect(tags, {TAGS}))) AS tag FROM usable"),
+    "paired_delta_ci": f"""{_OK}, {_PAIRS},
+per AS (SELECT task, case_number, count(*) AS n, sum(l.c - r.c) AS a, sum((l.p - l.c) * (l.p - l.c) - (r.p - r.c) * (r.p - r.c)) AS b, sum(l.p - r.p) AS m FROM pairs GROUP BY task, case_number),
+{_weights("per", "case_number")},
+sums AS (SELECT task, draw, sum(a * w) / sum(n * w) AS accuracy_delta, sum(b * w) / sum(n * w) AS brier_delta, sum(m * w) / sum(n * w) AS mean_p_delta FROM per JOIN taken ON case_number = c GROUP BY task, draw),
+{_percentiles("task", "sums", ["accuracy_delta", "brier_delta", "mean_p_delta"])}""",
+    "dispersion_means": f"""{_PARSED}, {_SPREAD_SQL}
+SELECT model, count(*) AS items, CAST(sum(draws) AS BIGINT) AS draws, round(avg(disagreement), 9) AS disagreement, round(avg(modal_share), 9) AS modal_share, round(avg(entropy), 9) AS entropy, round(avg(sd), 9) AS sd FROM spread GROUP BY model""",
+    "dispersion_ci": f"""{_PARSED}, {_SPREAD_SQL},
+per AS (SELECT model, case_number, count(*) AS n, sum(disagreement) AS d, sum(modal_share) AS m, sum(entropy) AS e, sum(sd) AS s FROM spread GROUP BY model, case_number),
+{_weights("per", "case_number")},
+sums AS (SELECT model, draw, sum(d * w) / sum(n * w) AS disagreement, sum(m * w) / sum(n * w) AS modal_share, sum(e * w) / sum(n * w) AS entropy, sum(s * w) / sum(n * w) AS sd FROM per JOIN taken ON case_number = c GROUP BY model, draw),
+{_percentiles("model", "sums", ["disagreement", "modal_share", "entropy", "sd"])}""",
+    "deferral_ci": f"""{_OK}, g AS (SELECT CAST(unnest({COSTS}) AS INTEGER) AS cost),
+x AS (SELECT task, cost, case_number, CAST((1 - p) * 100 > cost AS BIGINT) AS d, correct FROM ok, g),
+per AS (SELECT task, cost, case_number, count(*) AS n, sum(d) AS d, sum(CASE WHEN d = 1 THEN cost ELSE (1 - correct) * 100 END) AS l FROM x GROUP BY ALL),
+{_weights("per", "case_number")},
+sums AS (SELECT task, cost, draw, sum(d * w) / sum(n * w) AS deferral_rate, sum(l * w) / sum(n * w) AS mean_loss FROM per JOIN taken ON case_number = c GROUP BY task, cost, draw),
+{_percentiles("task, cost", "sums", ["deferral_rate", "mean_loss"])}""",
+    "budget_comparison": f"""{_OK}, r AS (SELECT model, row_number() OVER o AS n, sum(1 - correct) OVER (PARTITION BY model ORDER BY p, response_id ROWS UNBOUNDED PRECEDING) AS caught, sum(1 - correct) OVER (PARTITION BY model) AS wrong, count(*) OVER (PARTITION BY model) AS total FROM ok WINDOW o AS (PARTITION BY model ORDER BY p, response_id)),
+b AS (SELECT * FROM r UNION ALL SELECT DISTINCT model, 0, 0, wrong, total FROM r), g AS (SELECT CAST(unnest({COSTS}) AS INTEGER) AS cost),
+own AS (SELECT model, cost, count_if((1 - p) * 100 > cost) AS deferred, avg(CASE WHEN (1 - p) * 100 > cost THEN cost ELSE (1 - correct) * 100 END) AS loss FROM ok, g GROUP BY model, cost),
+l AS (SELECT b.model, o.cost, b.n, total, deferred, o.loss AS own, (b.n * o.cost + 100.0::DOUBLE * (wrong - caught)) / total AS loss FROM b JOIN own o ON b.model = o.model)
+SELECT model, cost, CAST(any_value(total) AS BIGINT) AS n, CAST(any_value(deferred) AS BIGINT) AS deferred, round(any_value(own), 9) AS own_loss, round(max(CASE WHEN n = deferred THEN loss END), 9) AS matched_loss, round(max(CASE WHEN n = 0 THEN loss END), 9) AS always_loss, round(min(loss), 9) AS best_loss FROM l GROUP BY model, cost""",
+    "board_from_levels": f"""{_OK}, v AS (SELECT model, item_id, answer, count(*) AS v, sum(1 - p) AS doubt, any_value(label) AS label FROM ok GROUP BY model, item_id, answer),
+e AS (SELECT model, arg_max(answer, v) = any_value(label) AS good, sum(doubt) / sum(v) * 100 AS d FROM v GROUP BY model, item_id HAVING 2 * max(v) > sum(v)),
+s AS (SELECT model, CAST(good AS INTEGER) AS correct, list_extract({deferral.midpoints(COSTS, 100)}, CAST(1 + {" + ".join(f"CAST({c} < round(d, 9) AS INTEGER)" for c in COSTS)} AS BIGINT))::DOUBLE AS p FROM e),
+h AS (SELECT model, p, count(*) AS n, sum(correct) AS k FROM s GROUP BY model, p),
+c AS (SELECT *, sum(n) OVER (PARTITION BY model ORDER BY p) AS up, sum(n) OVER (PARTITION BY model ORDER BY p DESC) AS down, sum(n - k) OVER (PARTITION BY model ORDER BY p DESC) AS wrong FROM h)
+SELECT model, CAST(sum(n) AS BIGINT) AS n, round(sum(k) / sum(n), 9) AS accuracy, round(sum(k * (1 - p) * (1 - p) + (n - k) * p * p) / sum(n), 9) AS brier, round(sum(abs(k - n * p)) / sum(n), 9) AS ece,
+ round((sum((up - n + (n + 1) / 2.0) * k) - sum(k) * (sum(k) + 1) / 2.0) / nullif(CAST(sum(k) AS DOUBLE) * (sum(n) - sum(k)), 0), 9) AS auroc, round(sum(n * wrong / down) / sum(n), 9) AS aurc FROM c GROUP BY model""",
+    "switch_points_once": f"""{_OK}, c AS (SELECT item_id, model, protocol, repeat_index / 10.0::DOUBLE AS x, correct FROM ok WHERE repeat_index IS NOT NULL),
+g AS (SELECT item_id, model, protocol, list(x ORDER BY x, correct) AS xs, CAST(count_if(correct = 0) AS BIGINT) AS z, count(*) AS n, max(CASE WHEN correct = 0 THEN x END) AS last_zero, min(CASE WHEN correct = 1 THEN x END) AS first_one FROM c GROUP BY ALL)
+SELECT item_id, model, protocol, round(CASE WHEN z = 0 THEN greatest(0.001, xs[1] - 0.02) WHEN z = n THEN least(0.999, xs[n] + 0.02) ELSE (xs[z] + xs[z + 1]) / 2 END, 6) AS point, CASE WHEN z = 0 THEN 'cap_low' WHEN z = n THEN 'cap_high' ELSE 'midpoint' END AS method, true AS monotone
+FROM g WHERE coalesce(last_zero <= first_one, true)""",
     "paired_delta": f"""{_OK}, {_PAIRS}
 SELECT task, count(*) AS pairs, CAST(count_if(l.a <> r.a) AS BIGINT) AS answer_changes, round(avg(l.c - r.c), 9) AS accuracy_delta, round(avg((l.p - l.c) * (l.p - l.c) - (r.p - r.c) * (r.p - r.c)), 9) AS brier_delta, round(avg(l.p - r.p), 9) AS mean_p_delta FROM pairs GROUP BY task""",
     "paired_drops": f"""{_OK}, {_PAIRS}, src AS (SELECT * FROM responses WHERE call_id IS NOT NULL AND item_id IS NOT NULL AND repeat_index IS NOT NULL AND model IS NOT NULL),
@@ -266,13 +376,13 @@ SELECT model, protocol, n, latest FROM g QUALIFY row_number() OVER (PARTITION BY
 SELECT task, CAST(cost AS INTEGER) AS cost, count(*) AS n, round(avg(CAST(deferred AS INTEGER)), 9) AS deferral_rate, round(avg(CASE WHEN NOT deferred THEN correct END), 9) AS accuracy_answered, round(avg(CASE WHEN deferred THEN correct END), 9) AS accuracy_deferred, round(avg(CASE WHEN deferred THEN cost ELSE (1 - correct) * 100 END), 9) AS mean_loss FROM x GROUP BY task, cost""",
     "matched_budget_loss": f"""{_OK}, r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY p, response_id) AS n, sum(1 - correct) OVER (PARTITION BY task ORDER BY p, response_id ROWS UNBOUNDED PRECEDING) AS caught, sum(1 - correct) OVER (PARTITION BY task) AS wrong FROM ok WHERE split = 'test')
 SELECT task, n, round(n * 25.0::DOUBLE + 100.0::DOUBLE * (wrong - caught), 9) AS loss FROM r""",
-    "optimal_budget": f"""{_OK}, hist AS (SELECT task, p, count(*) AS n, count(*) - sum(correct) AS w FROM ok GROUP BY task, p), c AS (SELECT task, sum(n) OVER (PARTITION BY task ORDER BY p) AS cn, sum(w) OVER (PARTITION BY task ORDER BY p) AS cw, sum(w) OVER (PARTITION BY task) AS wrong FROM hist),
-a AS (SELECT * FROM c UNION ALL SELECT DISTINCT task, 0, 0, wrong FROM c), g AS (SELECT unnest([5, 15, 25, 35, 45]) AS cost)
-SELECT task, CAST(cost AS INTEGER) AS cost, round(min(cn * cost + 100.0::DOUBLE * (wrong - cw)), 9) AS best_loss FROM a, g GROUP BY task, cost""",
+    "optimal_budget": f"""{_OK}, r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY p, response_id) AS n, sum(1 - correct) OVER (PARTITION BY task ORDER BY p, response_id ROWS UNBOUNDED PRECEDING) AS caught, sum(1 - correct) OVER (PARTITION BY task) AS wrong FROM ok),
+b AS (SELECT * FROM r UNION ALL SELECT DISTINCT task, 0, 0, wrong FROM r), g AS (SELECT unnest({COSTS}) AS cost)
+SELECT task, CAST(cost AS INTEGER) AS cost, round(min(n * cost + 100.0::DOUBLE * (wrong - caught)), 9) AS best_loss FROM b, g GROUP BY task, cost""",
     "implied_bins": f"""{_OK}, u AS (SELECT item_id, model, avg(1 - p) * 100 AS doubt FROM ok WHERE task IN ('T1', 'T2') GROUP BY ALL),
 b AS (SELECT (SELECT count(*) FROM (SELECT unnest([5, 15, 25, 35, 45]) AS c) WHERE c < round(doubt, 9)) AS bin FROM u),
 s AS (SELECT unnest(range(6)) AS bin)
 SELECT CAST(s.bin AS INTEGER) AS bin, count(b.bin) AS n, CASE WHEN s.bin = 0 THEN 0.95::DOUBLE ELSE 1 - list_extract([5, 15, 25, 35, 45, 100], CAST(s.bin AS INTEGER) + 1) / 100 END AS low, CASE WHEN s.bin = 0 THEN 1.0::DOUBLE ELSE 1 - list_extract([5, 15, 25, 35, 45], CAST(s.bin AS INTEGER)) / 100 END AS high FROM s LEFT JOIN b ON s.bin = b.bin GROUP BY s.bin""",
-    "monotone_violations": f"""{_OK}, f AS (SELECT item_id, model, correct, lag(correct) OVER (PARTITION BY item_id, model ORDER BY repeat_index, response_id) AS before FROM ok WHERE protocol = 'P1')
-SELECT item_id, model, count(*) AS levels, CAST(coalesce(count_if(before > correct), 0) AS BIGINT) AS falls, coalesce(count_if(before > correct), 0) = 0 AS monotone FROM f GROUP BY item_id, model""",
+    "monotone_violations": f"""{_OK}, f AS (SELECT item_id, model, protocol, correct, lag(correct) OVER (PARTITION BY item_id, model, protocol ORDER BY repeat_index, response_id) AS before FROM ok)
+SELECT item_id, model, protocol, count(*) AS levels, CAST(coalesce(count_if(before > correct), 0) AS BIGINT) AS falls, coalesce(count_if(before > correct), 0) = 0 AS monotone FROM f GROUP BY item_id, model, protocol""",
 }
