@@ -42,7 +42,7 @@ FORMS = (range(0xC0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range
 CODE_POINTS = 0x110000
 #: Distinct words whose forms a worker keeps.
 WORDS_KEPT = 200_000
-_COMBINING = re.compile("[\\u0300-\\u036f]")
+_ACCENTED = re.compile(".[\\u0300-\\u036f]+", re.S)
 
 
 class UnionFind:
@@ -161,16 +161,21 @@ def member_counts(texts: DataFrame, column: str) -> dict[str, int]:
     """How often the texts of a column have each character, and each longer member of a look-alike class. All rows are
     counted; only one row per character that occurs comes to the driver, at most CODE_POINTS and a few hundred."""
     long_members = sorted({m for c in classes(set()) for m in c if len(m) > 1})
-    plain = [m for m in long_members if not _COMBINING.search(m)]
+    accented = {m for m in long_members if _ACCENTED.fullmatch(m)}
+    plain = [m for m in long_members if m not in accented]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             whole = "\0".join(b.t)
             seen.update(whole)
-            for m in long_members if _COMBINING.search(whole) else plain:
-                if n := whole.count(m):
+            for m in plain:
+                if all(c in seen for c in m) and (n := whole.count(m)):
                     seen[m] += n
+            for letter, n in Counter(_ACCENTED.findall(whole)).items():
+                for k in range(2, len(letter) + 1):
+                    if letter[:k] in accented:
+                        seen[letter[:k]] += n
         seen.pop("\0", None)
         yield pd.DataFrame({"m": [m for m, n in seen.items() if n], "n": [n for n in seen.values() if n]})
 

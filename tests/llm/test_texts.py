@@ -398,3 +398,11 @@ def test_many_quotes_and_texts_of_one_file(spark, monkeypatch):
     rewrite = lookalikes.Rewriter({"i": 5, "e": 5, "fi": 5})
     got = lookalikes.find_quotes(spark.createDataFrame(quotes, "quote_id bigint, file string, quote string"), spark.createDataFrame(places, "place_id bigint, file string, text string"), rewrite).collect()
     assert {tuple(x) for x in got} == {(q, p) for q, f, a in quotes for p, g, b in places if f == g and rewrite(a) in rewrite(b)} and len(got) == len(set(map(tuple, got))) > 50
+
+
+def test_member_counts(spark):
+    texts = ["fi ﬁ ﬃ é ế", "ʼn ŉ ffi", None, "é", "fifi"]
+    got = lookalikes.member_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    whole = [t for t in texts if t]
+    for m in {c for t in whole for c in t} | {m for c in lookalikes.classes(set()) for m in c if len(m) > 1}:
+        assert got.get(m, 0) == sum(t.count(m) for t in whole), ascii(m)
