@@ -112,8 +112,8 @@ def implied_bins(rows: DataFrame, item: list[str], costs: list[int], loss: int)
 
 def monotone_patterns(rows: DataFrame, item: list[str], level: str, choice: str, tie: str) -> DataFrame:
     """(item, levels, falls, monotone): how often a 0/1 choice falls from one level to the next, equal levels in the order
-    of tie."""
-    step = Ordered(usable(rows).select(*item, level, tie, choice), item, [level, tie]).neighbour("_before", F.col(choice)).rows()
+    of tie. Null levels are left out."""
+    step = Ordered(usable(rows).where(F.col(level).isNotNull()).select(*item, level, tie, choice), item, [level, tie]).neighbour("_before", F.col(choice)).rows()
     return step.groupBy(*item).agg(F.count("*").alias("levels"), F.count_if(F.col("_before.v") > F.col(choice)).alias("falls")).withColumn("monotone", F.col("falls") == 0)
 
 

@@ -36,6 +36,24 @@ def coverage(plan: DataFrame, receipts: DataFrame, call: str, failed: Column) ->
     return both.select(call, "receipts", "failures", state.alias("state"))
 
 
+def cumulative(plan: DataFrame, responses: DataFrame, ledger: DataFrame, call: str, payload: str) -> DataFrame:
+    """(call, payload, source): every planned call once, with its response, else what the ledger completed, else nothing:
+    response, ledger or missing. Of several rows the smallest payload counts; no planned call is dropped."""
+    one = lambda df, name: df.where(F.col(call).isNotNull()).groupBy(call).agg(F.min(payload).alias(name), F.lit(True).alias(f"has{name}"))
+    both = plan.where(F.col(call).isNotNull()).select(call).distinct().join(one(responses, "_r"), call, "left").join(one(ledger, "_l"), call, "left")
+    source = F.when(F.col("has_r"), "response").when(F.col("has_l"), "ledger").otherwise("missing")
+    return both.select(call, F.when(F.col("has_r"), F.col("_r")).otherwise(F.col("_l")).alias(payload), source.alias("source"))
+
+
+def alias_mismatches(target: DataFrame, source: DataFrame, on: list[str], fields: list[str]) -> DataFrame:
+    """(on, mismatch): rows of target that claim a row of source, and what bears it out not: no source, or the fields (by
+    name, joined by commas) that differ. Rows whose every field is the same are left out."""
+    held = source.select(*on, F.struct(*fields).alias("_s"), F.lit(True).alias("_has"))
+    both = target.select(*on, F.struct(*fields).alias("_t")).join(held, on, "left")
+    differs = F.array_join(F.array_compact(F.array(*(F.when(~F.col(f"_t.{f}").eqNullSafe(F.col(f"_s.{f}")), F.lit(f)) for f in fields))), ",")
+    return both.select(*on, F.when(F.col("_has").isNull(), "no source").otherwise(differs).alias("mismatch")).where("mismatch != ''")
+
+
 def orphans(plan: DataFrame, receipts: DataFrame, call: str) -> DataFrame:
     """Receipts of calls that the plan does not have."""
     return receipts.join(plan.select(call), call, "left_anti")

@@ -38,6 +38,17 @@ def declared_and_found(declared: Column, found: Column) -> Column:
     return F.when((a == 0) & (b == 0), "none").when(a == 0, "undeclared").when(b == 0, "unfound").when(same, "equal").when(F.arrays_overlap(declared, found), "overlap").otherwise("disjoint")
 
 
+def pane_state(declared: Column, head: Column, title: Column, body: Column) -> Column:
+    """Whether a text belongs to its record: ok, title typo, arises from another or mismatch.
+
+    declared and head are the identifiers of the record and of the head of its text, in order. ok if the head has none or
+    one of the record's; a typo if a serial is the same and only month or year differ; the text arises from another record
+    where title or body say so; else it belongs to that other record."""
+    serial = lambda ids: F.transform(ids, lambda i: F.get(F.split(i, "/"), F.lit(1)))
+    told = F.coalesce(title.rlike("(?i)Paragraph 17|During (?:its|the) consideration of"), F.lit(False)) | F.coalesce(body.rlike(r"(?i)^\s*During (?:its|the) consideration of"), F.lit(False))
+    return F.when((F.size(head) <= 0) | F.arrays_overlap(declared, head), "ok").when(F.arrays_overlap(serial(declared), serial(head)), "title typo").when(told, "arises from another").otherwise("mismatch")
+
+
 def unbalanced(text: Column) -> Column:
     """Whether a text opens a double quote that it does not close."""
     odd = (F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 1

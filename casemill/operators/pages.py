@@ -11,12 +11,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import text as t
+from casemill.operators.matching import unbalanced
 from casemill.runtime import arrow_safe
 
 #: What headings say, in the order in which they are tried.
+#: Characters past which no text is surely a heading.
+LONGEST_HEADING = 90
 HEADINGS = (("CASE ", "case", True), ("APPEAL BOARD", "appeal_ruling", False), ("RULING", "ruling", False), ("APPEAL", "appeal", False), ("COMPLAINT", "complaint", False), ("RESPONSE", "response", False))
 
 
+def heading_confidence(*, date_trailer: Column, unbalanced_quote: Column, chars: Column, words: Column, terminal: Column, upper_ratio: Column, numbered: Column, tag: Column | None = None, in_cell: Column | None = None, emphasised: Column | None = None) -> Column:
+    """high, medium or low, how sure it is that a text is a heading, from evidence of it. Without markup there is no tag, no
+    table cell and no emphasis."""
+    no = F.lit(False)
+    tag, in_cell, emphasised = F.lit("") if tag is None else F.coalesce(tag, F.lit("")), no if in_cell is None else in_cell, no if emphasised is None else emphasised
+    marked = tag.isin("h1", "h2", "h3", "h4", "h5", "h6")
+    return (
+        F.when(date_trailer | unbalanced_quote | (chars > LONGEST_HEADING), "low")
+        .when(marked, F.when(terminal & (words > 8), "low").otherwise("high"))
+        .when((upper_ratio >= 0.8) & ~in_cell, "high")
+        .when(terminal | in_cell, "low")
+        .when((words <= 6) | (words <= 12) & (emphasised | numbered), "medium")
+        .otherwise("low")
+    )
+
+
 def headings(lines: DataFrame, text: str, longest: int = 120) -> DataFrame:
     """lines that may be headings (not blank, at most longest characters) with the share of capitals, the first word of
     the vocabulary that they hold, and how sure it is that they are headings. The text itself is left out."""
@@ -25,7 +44,16 @@ def headings(lines: DataFrame, text: str, longest: int = 120) -> DataFrame:
     token = F.lit("other")
     for phrase, name, at_start in reversed(HEADINGS):
         token = F.when(up.startswith(phrase) if at_start else up.contains(phrase), name).otherwise(token)
-    sure = F.when(ratio >= 0.9, "high").when((ratio >= 0.5) | ((F.length(text) <= 40) & ~F.col(text).rlike("[.;,]$")), "medium").otherwise("low")
+    trimmed = F.trim(F.col(text))
+    sure = heading_confidence(
+        date_trailer=trimmed.rlike(r"^(?i)(?:complaint|case) (?:received|completed)\b"),
+        unbalanced_quote=unbalanced(F.col(text)),
+        chars=F.length(trimmed),
+        words=F.size(F.split(trimmed, " +")),
+        terminal=trimmed.rlike("[.;,]$"),
+        upper_ratio=ratio,
+        numbered=trimmed.rlike("^[0-9]+[.)]? "),
+    )
     kept = lines.where((F.trim(F.col(text)) != "") & (F.length(text) <= longest))
     return kept.select(*(c for c in lines.columns if c != text), ratio.alias("ratio"), token.alias("token"), sure.alias("confidence"))
 
@@ -118,3 +146,96 @@ def parse_pages(df: DataFrame, key: str, source: str) -> DataFrame:
 
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"))
     return rows.mapInPandas(arrow_safe(parse), f"key {kind}, {PAGE_SCHEMA}").withColumnRenamed("key", key)
+
+
+class _Parts(HTMLParser):
+    """Text of a page with spans of emphasis, lists and links as offsets into it, its label and value items, and its panes."""
+
+    EMPHASIS = frozenset("b strong i em u".split())
+    VOID = frozenset("br img hr input meta link".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.text, self.size = [], 0
+        self.spans: list[tuple[str, int, int, str]] = []
+        self.items: list[list] = []
+        self.panes: list[tuple[str, int, int]] = []
+        self._open: list[tuple[str, str, int, str]] = []  # tag, kind, start, detail
+        self._skip = 0
+
+    def _add(self, text: str) -> None:
+        self.text.append(text)
+        self.size += len(text)
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        found = {k: v or "" for k, v in attrs}
+        names = set(found.get("class", "").lower().split())
+        if tag in ("script", "style"):
+            self._skip += 1
+        if tag in _Reader.BLOCKS and self.size and not "".join(self.text[-1:]).endswith("\n"):
+            self._add("\n")
+        if tag == "img":
+            self.spans.append(("image", self.size, self.size, found.get("src", "")))
+        if tag in self.VOID:
+            return
+        pane = found.get("role") == "tabpanel" or bool({"tab-pane", "tabpanel"} & names)
+        label = tag == "dt" or bool({"label", "field-label", "field__label"} & names)
+        value = tag == "dd" or bool({"value", "field-value", "field__item"} & names)
+        kind = "pane" if pane else "label" if label else "value" if value else "emphasis" if tag in self.EMPHASIS else "list" if tag in ("ul", "ol") else "link" if tag == "a" else ""
+        self._open.append((tag, kind, self.size, found.get("id", "") if pane else found.get("href", "")))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style"):
+            self._skip = max(0, self._skip - 1)
+        if tag in self.VOID or not any(t == tag for t, *_ in self._open):
+            return
+        while self._open:  # what was not closed ends here too
+            own, kind, start, detail = self._open.pop()
+            inner = "".join(self.text)[start:] if kind in ("label", "value") else ""
+            if kind in ("emphasis", "list", "link") and self.size > start:
+                self.spans.append((kind, start, self.size, detail))
+            elif kind == "pane":
+                self.panes.append((detail, start, self.size))
+            elif kind == "label":
+                self.items.append([" ".join(inner.split()).rstrip(":"), None])
+            elif kind == "value" and self.items:
+                said = " ".join(inner.split())
+                self.items[-1][1] = said if self.items[-1][1] is None else f"{self.items[-1][1]}; {said}"
+            if own == tag:
+                break
+
+    def handle_data(self, data: str) -> None:
+        if not self._skip:
+            self._add(data)
+
+
+_PARTS = "text string, spans array<struct<kind:string,start:int,end:int,detail:string>>, items array<struct<label:string,value:string>>, panes array<struct<id:string,text:string>>"
+
+
+def page_parts(df: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, text, spans, items, panes) of pages of markup.
+
+    text is what a reader sees, blocks on lines of their own; spans are emphasis, lists, links and images as offsets into
+    it, end past the last character; items are labels with the values that follow them, however deeply these are nested;
+    panes are the tabs by their id, with their text. A null page has null parts; markup that is not closed ends with what
+    holds it.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, page in zip(b.key, b.raw, strict=True):
+                if page is None:
+                    out.append((k, None, None, None, None))
+                    continue
+                p = _Parts()
+                p.feed(page)
+                p.close()
+                while p._open:
+                    p.handle_endtag(p._open[-1][0])
+                text = "".join(p.text)
+                out.append((k, text, [dict(zip(("kind", "start", "end", "detail"), s, strict=True)) for s in sorted(p.spans, key=lambda s: s[1:3])], [{"label": l, "value": v} for l, v in p.items], [{"id": i, "text": " ".join(text[a:e].split())} for i, a, e in p.panes]))
+            yield pd.DataFrame(out, columns=["key", "text", "spans", "items", "panes"])
+
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{raw}`").cast("string").alias("raw"))
+    return rows.mapInPandas(arrow_safe(parse), f"key {rows.schema['key'].dataType.simpleString()}, {_PARTS}").withColumnRenamed("key", key)

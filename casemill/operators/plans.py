@@ -44,5 +44,17 @@ def changes(rows: DataFrame, by: list[str], order: list[Column], key: str, field
 
 
 def canonical_digest(fields: dict[str, Column]) -> Column:
-    """sha256 of the compact JSON of the fields in the order of their names; null fields are left out."""
-    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256)
+    """sha256 of the compact JSON of the fields in the order of their names; null fields stand as null."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def pair_key(*parts: Column) -> Column:
+    """One key of several parts, arrays among them in their order; null parts are told from missing ones."""
+    return F.sha2(F.to_json(F.struct(*(p.alias(f"p{n}") for n, p in enumerate(parts))), {"ignoreNullFields": "false"}), 256)
+
+
+def cost_bound(rows: DataFrame, by: list[str], text: str, in_rate: float, out_rate: float, overhead: int, longest: int) -> DataFrame:
+    """(by, calls, bytes, bound): the most that calls can cost: every byte of their text and an overhead a call at one
+    rate, the longest answer a call at another. A null text has no bytes."""
+    sums = rows.groupBy(*by).agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
+    return sums.withColumn("bound", (F.col("bytes") + overhead * F.col("calls")) * F.lit(in_rate) + longest * F.col("calls") * F.lit(out_rate))

@@ -27,11 +27,14 @@ def content_id(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 16)
 
 
-def round_robin(items: DataFrame, case: str, item: str, seed: int) -> DataFrame:
+def round_robin(items: DataFrame, case: str, item: str, seed: int, first: Column | None = None) -> DataFrame:
     """items with depth and rank: every case gives one item before any gives a second. Order in a case and between cases
-    follows seeded keys, ties the ids. A case's items are numbered inside the case; rank adds the sizes of the levels of
-    depth before, and numbers inside a level by ranges of the case's key."""
+    follows seeded keys, ties the ids; in a case what holds first, such as items with a partner, comes
+    before. A case's items are numbered inside the case; rank adds the sizes of the levels of depth before, and numbers
+    inside a level by ranges of the case's key."""
     keyed = items.withColumn("_k", seeded_key(seed, "item", F.col(item).cast("string")))
+    if first is not None:
+        keyed = keyed.withColumn("_k", F.concat(F.when(first, "0").otherwise("1"), "_k"))
     deep = _hashed_numbers(keyed, case, [F.col("_k"), F.col(item)], "depth")
     deep = deep.withColumn("_k", seeded_key(seed, "case", F.coalesce(F.col(case).cast("string"), F.lit(""))))
     return _level_ranks(deep, "depth", [F.col("_k"), F.col(case), F.col(item)], "rank").drop("_k")

@@ -41,19 +41,55 @@ def single_polarity(yes: Column, no: Column) -> Column:
 
 
 def verdict_rows(statements: DataFrame, key: list[str], polarity: str, body: str) -> DataFrame:
-    """(key, panel, board, final, dual, flipped, basis) from statements (key, polarity, body): the polarity each body was
-    heard to rule; the board decides if it was heard; both polarities from one body is dual and no polarity; flipped if
-    both bodies are known and differ."""
+    """(key, panel, board, final, dual, flipped, basis) from statements (key, polarity, body). body is panel or board for
+    what prose says that they ruled, list for the lists of the record. final comes from the lists: a key that both lists
+    have is dual and has none; prose moves panel and board only. Both polarities from one body are dual and no polarity;
+    flipped if both bodies are known and differ. basis: unlisted without a list, list where prose is silent, unanimous
+    where the body that decided (the board if it was heard) says the same, else conflict."""
     said = lambda b, p: F.bool_or((F.col(body) == b) & (F.col(polarity) == p))
-    heard = statements.groupBy(*key).agg(*(F.coalesce(said(b, p), F.lit(False)).alias(f"_{b}_{p}") for b in ("panel", "board") for p in ("breach", "no_breach")))
-    panel, board = (single_polarity(F.col(f"_{b}_breach"), F.col(f"_{b}_no_breach")) for b in ("panel", "board"))
-    dual = (F.col("_panel_breach") & F.col("_panel_no_breach")) | (F.col("_board_breach") & F.col("_board_no_breach"))
-    board_spoke = F.col("_board_breach") | F.col("_board_no_breach")
-    final = F.when(board_spoke, board).otherwise(panel)
-    basis = F.when(final.isNull(), "conflict").when(board_spoke, "board").otherwise("panel")
+    heard = statements.groupBy(*key).agg(*(F.coalesce(said(b, p), F.lit(False)).alias(f"_{b}_{p}") for b in ("panel", "board", "list") for p in ("breach", "no_breach")))
+    panel, board, final = (single_polarity(F.col(f"_{b}_breach"), F.col(f"_{b}_no_breach")) for b in ("panel", "board", "list"))
+    spoke = lambda b: F.col(f"_{b}_breach") | F.col(f"_{b}_no_breach")
+    dual = F.lit(False)
+    for b in ("panel", "board", "list"):
+        dual = dual | (F.col(f"_{b}_breach") & F.col(f"_{b}_no_breach"))
+    heard_last = F.when(spoke("board"), board).otherwise(panel)
+    basis = F.when(~spoke("list"), "unlisted").when(~spoke("board") & ~spoke("panel"), "list").when(heard_last == final, "unanimous").otherwise("conflict")
     return heard.select(*key, panel.alias("panel"), board.alias("board"), final.alias("final"), dual.alias("dual"), (panel.isNotNull() & board.isNotNull() & (panel != board)).alias("flipped"), basis.alias("basis"))
 
 
+def ladder(levels: dict[str, list[Column]]) -> Column:
+    """struct(value, basis, refused) from levels of witnesses in falling trust: the first level at which somebody speaks
+    decides; witnesses that differ there refuse the value (null, basis <level> conflict), whatever lower levels say."""
+    value, basis = F.lit(None).cast("string"), F.lit("none")
+    for name, witnesses in reversed(levels.items()):
+        said = F.array_distinct(F.array_compact(F.array(*(w.cast("string") for w in witnesses))))
+        value = F.when(F.size(said) == 0, value).when(F.size(said) == 1, F.get(said, F.lit(0)))
+        basis = F.when(F.size(said) == 0, basis).when(F.size(said) == 1, name).otherwise(f"{name} conflict")
+    return F.struct(value.alias("value"), basis.alias("basis"), basis.endswith("conflict").alias("refused"))
+
+
+def ordered_dates(first: Column, second: Column, year: Column) -> Column:
+    """struct(first, second, basis) of two ISO dates, the first of which may not come after the second, nor lie outside the
+    year of its record or the one before: both are refused (null) if they are out of order, the first alone if its year
+    contradicts. basis is stated, out of order, year conflict or none."""
+    wrong = F.coalesce(first > second, F.lit(False))
+    told = F.substring(first, 1, 4).cast("int")
+    odd = F.coalesce((told > year) | (told < year - 1), F.lit(False))
+    basis = F.when(first.isNull() & second.isNull(), "none").when(wrong, "out of order").when(odd, "year conflict").otherwise("stated")
+    return F.struct(F.when(~wrong & ~odd, first).alias("first"), F.when(~wrong, second).alias("second"), basis.alias("basis"))
+
+
+def rename_tokens(df: DataFrame, key: str, tokens: str, corrections: DataFrame, old: str, new: str) -> DataFrame:
+    """df with the tokens of its array renamed, or deleted where the new name is null, by the corrections of its key; each
+    token once, in the order of first standing. Adds changed. Of several new names for one token the smallest counts."""
+    one = corrections.where(F.col(key).isNotNull() & F.col(old).isNotNull()).groupBy(key, old).agg(F.min(new).alias("_new"))
+    maps = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(old), F.struct(F.col("_new").alias("v"))))).alias("_m"))
+    joined = df.join(maps, key, "left")
+    renamed = F.array_distinct(F.array_compact(F.transform(tokens, lambda t: F.when(F.coalesce(F.map_contains_key("_m", t), F.lit(False)), F.element_at("_m", t).v).otherwise(t))))
+    return joined.withColumn("_r", renamed).withColumn("changed", F.coalesce(F.col("_r") != F.array_distinct(tokens), F.lit(False))).withColumn(tokens, F.col("_r")).drop("_m", "_r")
+
+
 def canonical_spelling(rows: DataFrame, key: Column, name: str) -> DataFrame:
     """(key, name, n, spellings): per key the most frequent spelling, of equals the shorter, then the first by order."""
     counts = rows.where(F.col(name).isNotNull()).select(key.alias("key"), F.col(name)).where("key != ''").groupBy("key", name).agg(F.count("*").alias("n"))

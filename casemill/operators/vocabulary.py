@@ -19,6 +19,16 @@ def multiset_difference(left: DataFrame, right: DataFrame, key: str, text: str)
     return rest.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("only_left"), F.coalesce(-F.sum(F.when(F.col("n") < 0, F.col("n"))), F.lit(0)).alias("only_right"))
 
 
+def slash_votes(df: DataFrame, text: str) -> DataFrame:
+    """(left, right, closed, spaced, decision): for every two words with a slash between, how often no blank follows it and
+    how often one does, and which it is more often; equally often decides nothing (tie)."""
+    pattern = "([A-Za-z]+) ?/( ?)([A-Za-z]+)"
+    found = df.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("m"))
+    part = lambda g: F.lower(F.regexp_extract("m", pattern, g))
+    counts = found.groupBy(part(1).alias("left"), part(3).alias("right")).agg(F.count_if(F.regexp_extract("m", pattern, 2) == "").alias("closed"), F.count_if(F.regexp_extract("m", pattern, 2) == " ").alias("spaced"))
+    return counts.withColumn("decision", F.when(F.col("closed") > F.col("spaced"), "closed").when(F.col("spaced") > F.col("closed"), "spaced").otherwise("tie"))
+
+
 def hyphen_votes(df: DataFrame, text: str) -> DataFrame:
     """(pair, closed, hyphened, decision): for every hyphened pair of words in the texts, how often it stands with the hyphen
     and how often closed up, and which form more often (hyphen on a tie)."""

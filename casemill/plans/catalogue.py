@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from casemill.operators.packed import split_values
-from casemill.plans import corpus, ledgers, matches, scoring, shapes
+from casemill.plans import audits, corpus, ledgers, matches, scoring, shapes
 from casemill.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split_values(table(spark, d, "pages"), "page_id", fields)
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, **scoring.QUERIES, **ledgers.QUERIES, **corpus.QUERIES, **shapes.QUERIES, **matches.QUERIES}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, **scoring.QUERIES, **ledgers.QUERIES, **corpus.QUERIES, **shapes.QUERIES, **matches.QUERIES, **audits.QUERIES}
 FLAGSHIP = "metric_set_by_task"
-ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL, **ledgers.ORACLE_SQL, **corpus.ORACLE_SQL, **shapes.ORACLE_SQL, **matches.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**scoring.ORACLE_SQL, **ledgers.ORACLE_SQL, **corpus.ORACLE_SQL, **shapes.ORACLE_SQL, **matches.ORACLE_SQL, **audits.ORACLE_SQL}

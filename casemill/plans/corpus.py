@@ -134,8 +134,8 @@ def appeal_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "cases").select("case_number", F.explode("verdicts").alias("v")).select("case_number", F.col("v.clause").alias("clause"), "v.panel", "v.appeal_board")
-    said = v.select("case_number", "clause", F.lit("panel").alias("body"), F.col("panel").alias("polarity")).union(v.select("case_number", "clause", F.lit("board"), F.col("appeal_board"))).where("polarity is not null")
+    v = table(spark, d, "cases").select("case_number", F.explode("verdicts").alias("v")).select("case_number", F.col("v.clause").alias("clause"), "v.panel", "v.appeal_board", "v.final")
+    said = v.select("case_number", "clause", F.lit("panel").alias("body"), F.col("panel").alias("polarity")).union(v.select("case_number", "clause", F.lit("board"), F.col("appeal_board"))).union(v.select("case_number", "clause", F.lit("list"), "final")).where("polarity is not null")
     return resolve.verdict_rows(said, ["case_number", "clause"], "polarity", "body")
 
 
@@ -314,11 +314,11 @@ SELECT case_number, coalesce(a, b) AS value, {_RESOLVE.format('case')} AS basis,
     "date_coherence": """WITH d AS (SELECT case_number, dates.received.value AS received, dates.completed.value AS completed FROM cases)
 SELECT case_number, received, completed, CAST((substr(completed, 1, 4)::INT - substr(received, 1, 4)::INT) * 365 + (substr(completed, 6, 2)::INT - substr(received, 6, 2)::INT) * 30 + substr(completed, 9, 2)::INT - substr(received, 9, 2)::INT AS BIGINT) AS gap FROM d WHERE received > completed""",
     "appeal_fold": """SELECT CASE WHEN contains(lower(appeal), 'no appeal') THEN 'none' WHEN contains(lower(appeal), 'respondent') AND contains(lower(appeal), 'complainant') THEN 'both' WHEN contains(lower(appeal), 'respondent') THEN 'respondent' WHEN contains(lower(appeal), 'complainant') THEN 'complainant' END AS "by", count(*) AS pages FROM pages GROUP BY 1""",
-    "row_verdicts": f"""WITH {_VERDICTS}, s AS (SELECT case_number, v.clause AS clause, 'panel' AS body, v.panel AS polarity FROM v UNION ALL SELECT case_number, v.clause, 'board', v.appeal_board FROM v),
-h AS (SELECT case_number, clause, bool_or(body = 'panel' AND polarity = 'breach') AS pb, bool_or(body = 'panel' AND polarity = 'no_breach') AS pn, bool_or(body = 'board' AND polarity = 'breach') AS bb, bool_or(body = 'board' AND polarity = 'no_breach') AS bn FROM s WHERE polarity IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, CASE WHEN pb AND NOT pn THEN 'breach' WHEN pn AND NOT pb THEN 'no_breach' END AS panel, CASE WHEN bb AND NOT bn THEN 'breach' WHEN bn AND NOT bb THEN 'no_breach' END AS board FROM h),
-f AS (SELECT *, CASE WHEN bb OR bn THEN board ELSE panel END AS final FROM r)
-SELECT case_number, clause, panel, board, final, (pb AND pn) OR (bb AND bn) AS dual, coalesce(panel <> board, false) AS flipped, CASE WHEN final IS NULL THEN 'conflict' WHEN bb OR bn THEN 'board' ELSE 'panel' END AS basis FROM f""",
+    "row_verdicts": f"""WITH {_VERDICTS}, s AS (SELECT case_number, v.clause AS clause, 'panel' AS body, v.panel AS polarity FROM v UNION ALL SELECT case_number, v.clause, 'board', v.appeal_board FROM v UNION ALL SELECT case_number, v.clause, 'list', v.final FROM v),
+h AS (SELECT case_number, clause, bool_or(body = 'panel' AND polarity = 'breach') AS pb, bool_or(body = 'panel' AND polarity = 'no_breach') AS pn, bool_or(body = 'board' AND polarity = 'breach') AS bb, bool_or(body = 'board' AND polarity = 'no_breach') AS bn, bool_or(body = 'list' AND polarity = 'breach') AS lb, bool_or(body = 'list' AND polarity = 'no_breach') AS ln FROM s WHERE polarity IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN pb AND NOT pn THEN 'breach' WHEN pn AND NOT pb THEN 'no_breach' END AS panel, CASE WHEN bb AND NOT bn THEN 'breach' WHEN bn AND NOT bb THEN 'no_breach' END AS board, CASE WHEN lb AND NOT ln THEN 'breach' WHEN ln AND NOT lb THEN 'no_breach' END AS final FROM h),
+f AS (SELECT *, CASE WHEN bb OR bn THEN board ELSE panel END AS heard FROM r)
+SELECT case_number, clause, panel, board, final, (pb AND pn) OR (bb AND bn) OR (lb AND ln) AS dual, coalesce(panel <> board, false) AS flipped, CASE WHEN NOT (lb OR ln) THEN 'unlisted' WHEN NOT (bb OR bn OR pb OR pn) THEN 'list' WHEN heard = final THEN 'unanimous' ELSE 'conflict' END AS basis FROM f""",
     "verdict_flips": f"WITH {_VERDICTS} SELECT v.basis AS basis, count(*) AS violations FROM v WHERE v.flipped_on_appeal <> coalesce(v.panel <> v.appeal_board, false) GROUP BY 1",
     "canonical_spelling": f"""WITH k AS (SELECT {_FOLD} AS key, respondent FROM pages WHERE respondent IS NOT NULL), c AS (SELECT key, respondent, count(*) AS n FROM k WHERE key <> '' GROUP BY 1, 2)
 SELECT key, respondent, n, count(*) OVER (PARTITION BY key) AS spellings, CAST(sum(n) OVER (PARTITION BY key) AS BIGINT) AS rows FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, length(respondent), respondent) = 1""",
@@ -335,7 +335,8 @@ SELECT substr(sha256({_COLLAPSE}), 1, 12) AS key, count(*) AS n, count(DISTINCT
     "headings": """WITH l AS (SELECT pane_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM panes WHERE text IS NOT NULL),
 r AS (SELECT *, coalesce(length(regexp_replace(text, '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 0), 0) AS ratio, upper(trim(text)) AS u FROM l WHERE trim(text) <> '' AND length(text) <= 120)
 SELECT pane_id, CAST(line AS INTEGER) AS line, round(ratio, 9) AS ratio, CASE WHEN u LIKE 'CASE %' THEN 'case' WHEN u LIKE '%APPEAL BOARD%' THEN 'appeal_ruling' WHEN u LIKE '%RULING%' THEN 'ruling' WHEN u LIKE '%APPEAL%' THEN 'appeal' WHEN u LIKE '%COMPLAINT%' THEN 'complaint' WHEN u LIKE '%RESPONSE%' THEN 'response' ELSE 'other' END AS token,
-CASE WHEN ratio >= 0.9 THEN 'high' WHEN ratio >= 0.5 OR (length(text) <= 40 AND NOT regexp_matches(text, '[.;,]$')) THEN 'medium' ELSE 'low' END AS confidence FROM r""",
+CASE WHEN regexp_matches(trim(text), '^(?i)(?:complaint|case) (?:received|completed)\b') OR (length(text) - length(replace(text, '"', ''))) % 2 = 1 OR length(replace(text, '“', '')) <> length(replace(text, '”', '')) OR length(trim(text)) > 90 THEN 'low' WHEN ratio >= 0.8 THEN 'high' WHEN regexp_matches(trim(text), '[.;,]$') THEN 'low'
+ WHEN len(string_split_regex(trim(text), ' +')) <= 6 OR len(string_split_regex(trim(text), ' +')) <= 12 AND regexp_matches(trim(text), '^[0-9]+[.)]? ') THEN 'medium' ELSE 'low' END AS confidence FROM r""",
     "section_offsets": """WITH l AS (SELECT pane_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM panes WHERE text IS NOT NULL),
 o AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY pane_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l)
 SELECT pane_id, CAST(line AS INTEGER) AS line, start, start + length(text) AS "end" FROM o WHERE regexp_matches(text, '^[A-Z][A-Z /]+$')""",

@@ -383,6 +383,6 @@ SELECT task, CAST(cost AS INTEGER) AS cost, round(min(n * cost + 100.0::DOUBLE *
 b AS (SELECT (SELECT count(*) FROM (SELECT unnest([5, 15, 25, 35, 45]) AS c) WHERE c < round(doubt, 9)) AS bin FROM u),
 s AS (SELECT unnest(range(6)) AS bin)
 SELECT CAST(s.bin AS INTEGER) AS bin, count(b.bin) AS n, CASE WHEN s.bin = 0 THEN 0.95::DOUBLE ELSE 1 - list_extract([5, 15, 25, 35, 45, 100], CAST(s.bin AS INTEGER) + 1) / 100 END AS low, CASE WHEN s.bin = 0 THEN 1.0::DOUBLE ELSE 1 - list_extract([5, 15, 25, 35, 45], CAST(s.bin AS INTEGER)) / 100 END AS high FROM s LEFT JOIN b ON s.bin = b.bin GROUP BY s.bin""",
-    "monotone_violations": f"""{_OK}, f AS (SELECT item_id, model, protocol, correct, lag(correct) OVER (PARTITION BY item_id, model, protocol ORDER BY repeat_index, response_id) AS before FROM ok)
+    "monotone_violations": f"""{_OK}, f AS (SELECT item_id, model, protocol, correct, lag(correct) OVER (PARTITION BY item_id, model, protocol ORDER BY repeat_index, response_id) AS before FROM ok WHERE repeat_index IS NOT NULL)
 SELECT item_id, model, protocol, count(*) AS levels, CAST(coalesce(count_if(before > correct), 0) AS BIGINT) AS falls, coalesce(count_if(before > correct), 0) = 0 AS monotone FROM f GROUP BY item_id, model, protocol""",
 }

@@ -154,7 +154,7 @@ SELECT word, count(*) AS n FROM u WHERE regexp_matches(word, '^[a-z]+$') GROUP B
 SELECT year, CASE WHEN year IS NULL OR year NOT IN (SELECT year FROM b) THEN 'unknown edition' WHEN clause IN (SELECT clause FROM b WHERE b.year = x.year) THEN 'yes' ELSE 'no' END AS listed, count(*) AS clauses FROM x GROUP BY 1, 2""",
     "exclusion_reasons": """WITH r AS (SELECT list_sort(list_filter([CASE WHEN source IS NULL THEN 'no source' END, CASE WHEN text IS NULL THEN 'no text' END, CASE WHEN text = '' THEN 'empty text' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN n_chars <> length(text) THEN 'stale size' END], lambda x: x IS NOT NULL)) AS r FROM documents)
 SELECT array_to_string(r, '; ') AS reasons, count(*) AS docs FROM r WHERE len(r) > 0 GROUP BY 1""",
-    "item_digests": """SELECT item_id, sha256(concat('{', array_to_string(list_filter([CASE WHEN case_number IS NOT NULL THEN concat('"case_number":"', case_number, '"') END, CASE WHEN label IS NOT NULL THEN concat('"label":"', label, '"') END, CASE WHEN split IS NOT NULL THEN concat('"split":"', split, '"') END, CASE WHEN task IS NOT NULL THEN concat('"task":"', task, '"') END], lambda x: x IS NOT NULL), ','), '}')) AS digest FROM eval_items""",
+    "item_digests": """SELECT item_id, sha256(concat('{', '"case_number":', CASE WHEN case_number IS NULL THEN 'null' ELSE concat('"', case_number, '"') END, ',', '"label":', CASE WHEN label IS NULL THEN 'null' ELSE concat('"', label, '"') END, ',', '"split":', CASE WHEN split IS NULL THEN 'null' ELSE concat('"', split, '"') END, ',', '"task":', CASE WHEN task IS NULL THEN 'null' ELSE concat('"', task, '"') END, '}')) AS digest FROM eval_items""",
     "tumbling_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
     "event_pivot": "SELECT user_id, " + ", ".join(f"count_if(event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
     "revenue_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE))), 2) AS revenue FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

@@ -410,3 +410,139 @@ def test_chains_of_orders_are_whole(spark, small):
     most, links = orders.agg(F.max("count") - 1, F.sum(F.col("count") - 1)).first()
     got = entry.queries()["id_chain_orders"](spark, small).agg(F.max("steps"), F.count("end")).first()
     assert tuple(got) == (most, links) and most > 6
+
+
+# Audits, layout, alignment, identifiers -------------------------------------------------------------------------------
+
+
+def test_reslices(spark):
+    from casemill.operators import audits
+
+    refs = spark.createDataFrame([(1, "s", 0, 3, "abc"), (2, "s", 3, 5, "xx"), (3, "s", 4, 9, "efghi"), (4, "t", 0, 1, "a"), (5, "n", 0, 1, "a"), (6, None, 0, 1, "a"), (7, "s", -1, 2, "ab"), (8, "s", 5, 5, "")], "id int, source string, a int, e int, quote string")
+    sources = spark.createDataFrame([("s", "abcdef"), ("n", None)], "source string, text string")
+    got = {r.id: r.problem for r in audits.resliced(refs, sources, "source", "a", "e", "text", "quote").collect()}
+    assert got == {2: "differs", 3: "out of bounds", 4: "no source", 5: "no source", 7: "out of bounds"}
+    assert audits.resliced(refs.limit(0), sources, "source", "a", "e", "text", "quote").count() == 0
+
+
+def test_verdict_checks_find_every_violation(spark):
+    from casemill.operators import audits
+
+    schema = "c string, y int, final string, panel string, board string, dual boolean, flipped boolean"
+    rows = [("1", 1, "breach", "breach", None, False, False), ("1", 1, "other", "breach", None, False, False), ("2", 1, "no_breach", "breach", "no_breach", False, False), ("3", 1, None, "breach", None, True, False), ("4", 1, "breach", None, "no_breach", None, None)]
+    check = lambda r: {x.check: (x.rows, x.violations) for x in audits.verdict_checks(spark.createDataFrame(r, schema), ["c", "y"], "final", "panel", "board", "dual", "flipped", ["breach", "no_breach"]).collect()}
+    assert check(rows) == {"final in domain": (5, 1), "flipped": (5, 1), "dual without panel": (5, 1), "board decides": (5, 1), "key stands once": (5, 1)}
+    assert set(check([]).values()) == {(0, 0)}
+
+
+def test_gates_that_hold_on_the_tables_find_planted_violations(spark, small):
+    """What verdict_flips, date_coherence, asymmetric_siblings, roster_difference and date_gate find no case of."""
+    v = spark.createDataFrame([("a", True, "breach", "breach"), ("b", False, "breach", "no_breach"), ("c", True, "breach", "no_breach")], "k string, flipped boolean, panel string, board string")
+    wrong = F.col("flipped") == (F.col("panel") != F.col("board"))
+    assert {r.k for r in gates.check(v, wrong).collect()} == {"a", "b"}
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), (None, "a")], "a string, b string")
+    assert [tuple(r) for r in gates.asymmetric(edges, "a", "b").collect()] == [("a", "c")]
+    left, right = spark.createDataFrame([("x",), ("y",), ("y",)], "k string"), spark.createDataFrame([("y",), ("z",)], "k string")
+    assert {tuple(r) for r in gates.set_difference(left, right, ["k"]).collect()} == {("x", "left_only"), ("z", "right_only")}
+    dates = spark.createDataFrame([(1, "2020-05-01", "2020-04-01", 2020), (2, "2017-05-01", "2020-04-01", 2020), (3, "2019-12-30", None, 2020), (4, None, None, 2020), (5, "2021-01-01", "2021-02-01", 2020)], "k int, a string, b string, y int")
+    got = {r.k: (r.d.first, r.d.second, r.d.basis) for r in dates.select("k", resolve.ordered_dates(F.col("a"), F.col("b"), F.col("y")).alias("d")).collect()}
+    assert got == {1: (None, None, "out of order"), 2: (None, "2020-04-01", "year conflict"), 3: ("2019-12-30", None, "stated"), 4: (None, None, "none"), 5: (None, "2021-02-01", "year conflict")}
+
+
+def test_ladder_and_verdicts_from_lists(spark):
+    rows = spark.createDataFrame([("a", "1", "2", "3"), ("b", None, "2", "2"), ("c", None, "2", "3"), ("d", None, None, None)], "k string, x string, y string, z string")
+    made = resolve.ladder({"first": [F.col("x")], "second": [F.col("y"), F.col("z")]})
+    assert {r.k: tuple(r.r) for r in rows.select("k", made.alias("r")).collect()} == {"a": ("1", "first", False), "b": ("2", "second", False), "c": (None, "second conflict", True), "d": (None, "none", False)}
+    said = [("p", "panel", "breach"), ("p", "list", "breach"), ("q", "panel", "breach"), ("q", "board", "no_breach"), ("q", "list", "no_breach"), ("r", "panel", "breach"), ("r", "list", "no_breach"), ("s", "panel", "breach"), ("t", "list", "breach"), ("t", "list", "no_breach"), ("u", "list", "breach")]
+    got = {r.k: (r.panel, r.board, r.final, r.dual, r.flipped, r.basis) for r in resolve.verdict_rows(spark.createDataFrame(said, "k string, body string, polarity string"), ["k"], "polarity", "body").collect()}
+    assert got["p"] == ("breach", None, "breach", False, False, "unanimous") and got["q"] == ("breach", "no_breach", "no_breach", False, True, "unanimous")
+    assert got["r"][2:] == ("no_breach", False, False, "conflict") and got["s"][2:] == (None, False, False, "unlisted") and got["t"][2:4] == (None, True) and got["u"][5] == "list"
+
+
+def test_renamed_tokens(spark):
+    df = spark.createDataFrame([("a", ["1", "2", "2", "3"]), ("b", ["1"]), ("c", None)], "k string, t array<string>")
+    fixes = spark.createDataFrame([("a", "2", "9"), ("a", "3", None), ("a", "7", "8"), (None, "1", "x")], "k string, old string, new string")
+    assert {r.k: (r.t, r.changed) for r in resolve.rename_tokens(df, "k", "t", fixes, "old", "new").collect()} == {"a": (["1", "9"], True), "b": (["1"], False), "c": (None, False)}
+
+
+def test_rectangles_and_cells(spark):
+    from casemill.operators import audits
+
+    rows = [("ok", k, "c", "v") for k in (1, 2, 3)] + [("dup", k, "c", "v") for k in (1, 2, 2, 3)] + [("few", 1, "c", "v")] + [("odd", k, "c", "v") for k in (1, 2, 4)] + [("mix", k, f"c{k}", f"v{k}") for k in (1, 2, 3)] + [("nil", None, "c", "v")]
+    df = spark.createDataFrame(rows, "item string, r int, content string, v string")
+    assert {x["item"]: x.problem for x in audits.rectangle(df, ["item"], "r", 3, F.col("content")).collect()} == {"dup": "duplicate", "few": "missing", "odd": "unexpected", "mix": "differs", "nil": "unexpected"}
+    for k in (0, 2, -1):
+        with pytest.raises(ValueError, match="odd"):
+            audits.rectangle(df, ["item"], "r", k, F.col("content"))
+    got = {x["item"]: (x.c1, x.c2, x.c3, x.duplicates) for x in audits.cells(df, ["item"], "r", [1, 2, 3], "v").collect()}
+    assert got["mix"] == ("v1", "v2", "v3", 0) and got["dup"][3] == 1 and got["few"] == ("v", None, None, 0)
+
+
+def test_layout(spark):
+    from casemill.operators import layout
+
+    ink = [("p", r, a, b) for r in range(8) for a, b in ((10, 190), (220, 400))] + [("p", 9, 10, 400), ("q", 1, 0, 500), ("p", 10, None, 5)]
+    boxes = spark.createDataFrame(ink, "page string, r int, a int, b int")
+    got = {r.page: r for r in layout.gutters(boxes, "page", "r", "a", "b", 100, 300, 12, 0.8, 0.5, 3).collect()}
+    assert (got["p"].rows, got["p"].position, got["p"].state) == (9, 190, "columns") and got["p"].share == pytest.approx(8 / 9)
+    assert (got["q"].share, got["q"].position, got["q"].state) == (0.0, None, "single")
+    lines = spark.createDataFrame([("p", 90, "full"), ("p", 80, "right"), ("p", 79, "left"), ("p", 70, "left"), ("p", 60, "full"), ("p", 50, "right"), ("p", 40, "left")], "page string, y int, side string")
+    order = [r.y for r in layout.reading_order(lines, "page", "y", "side").orderBy("place").collect()]
+    assert order == [90, 79, 70, 80, 60, 40, 50]
+    cuts = spark.createDataFrame([("p", 75), ("p", 50)], "page string, cut int")
+    bands = layout.order_by_bands(lines.where("side != 'full'"), cuts.withColumnRenamed("cut", "y"), "page", "y", "side", "y").orderBy("place").collect()
+    assert [(r.y, r.band) for r in bands] == [(79, 0), (80, 0), (70, 1), (50, 1), (40, 2)]
+    heads, gaps = spark.createDataFrame([("p", 30), ("p", 70)], "page string, h int"), spark.createDataFrame([("p", 31, 40), ("p", 45, 60), ("p", 75, 80), ("p", 84, 88), ("p", 95, 99)], "page string, a int, b int")
+    got = {r.h: (r.cut, r.state) for r in layout.band_cuts(heads, gaps, lines.where("side = 'left'").unionByName(spark.createDataFrame([("p", 90, "left")], lines.schema)), "page", "h", "a", "b", "y", 3.0).collect()}
+    assert got == {30: (52.5, "cut"), 70: (None, "undecided")}
+
+
+def test_alignment(spark):
+    from casemill.operators import alignment
+
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 50)}" for _ in range(200)]
+    rows = [(1, " ".join(words), " ".join([*words[20:60], "new", *words[100:103]])), (2, None, "a b"), (3, "a", None), (4, "abcdef", "defabcx")]
+    got = {r.k: r for r in alignment.align(spark.createDataFrame(rows, "k int, f string, w string"), "k", "f", "w").collect()}
+    assert (got[1].words, got[1].matched) == (44, 40) and got[1].share == pytest.approx(40 / 44) and got[1].differences
+    assert got[2].matched == 0 and got[3].share is None and (got[4].pieces, got[4].lost) == (2, 1)
+    for _ in range(50):
+        whole, part = "".join(rng.choices("ab", k=30)), "".join(rng.choices("abc", k=12))
+        sizes, lost = alignment.cover(whole, part)
+        at, want, nowhere = 0, [], 0
+        while at < len(part):
+            best = max((n for n in range(len(part) - at + 1) if part[at : at + n] in whole), default=0)
+            want += [best] if best else []
+            nowhere += not best
+            at += max(best, 1)
+        assert (sizes, lost) == (want, nowhere)
+
+
+def test_identifiers(spark):
+    from casemill.functions import ids
+
+    df = spark.createDataFrame([("see auth - 216 / 06/2024 here", ["AUTH/0216/6/24", "AUTH/0007/1/20", "bad"], ["x", "sib_3"], "7", "BATCH_STATE_Ended")], "t string, own array<string>, tags array<string>, r string, s string")
+    r = df.select(ids.normalised(F.col("t")).alias("n"), ids.serials(F.col("own")).alias("s"), ids.file_name(F.col("own")).alias("f"), ids.cluster(F.col("tags"), F.lit("c"), "sib_").alias("c"), ids.cluster(F.array(F.lit("sib_1"), F.lit("sib_2")), F.lit("c"), "sib_").alias("two"), ids.cluster(F.array(F.lit("x")), F.lit("c"), "sib_").alias("none"), ids.usable_rank(F.lit("true"), F.lit("0"), F.col("r")).alias("r"), ids.state(F.col("s"), ["ended"]).alias("st"), ids.state(F.lit("odd"), ["ended"]).alias("odd"), ids.no_blanks(F.lit(" a b\n")).alias("b"), F.regexp_like(F.lit("a  (b)\nc"), ids.loose_literal(F.lit("a (b) c"))).alias("l"), ids.residual(F.lit("the 216/06 and AUTH-77 but 99"), F.array(F.lit(216), F.lit(77), F.lit(99))).alias("left")).first()
+    assert (r.n, r.s, r.f) == ("AUTH/0216/6/24", [7, 216], "AUTH-0216-6-24__AUTH-0007-1-20__bad.html")
+    assert (r.c, r.two, r.none, r.r, r.st, r.odd, r.b, r.l, r.left) == ("sib_3", None, "case:c", 7, "ended", None, "ab", True, [77, 216])
+
+
+def test_page_parts(spark):
+    page = "<h1>Case</h1><div class='field-label'>Company:</div><div class='field-value'><div>Acme <b>Ltd</b></div></div><dl><dt>Date</dt><dd>2020</dd><dd>2021</dd></dl><div role='tabpanel' id='rep'><p>One <a href='/x'>link</a></p><ul><li>item</li></ul></div><script>no</script><div class='tab-pane' id='sum'>Two"
+    r = pages.page_parts(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, raw string"), "id", "raw").orderBy("id").collect()
+    assert [(i.label, i.value) for i in r[0]["items"]] == [("Company", "Acme Ltd"), ("Date", "2020; 2021")]
+    assert [(p.id, p.text) for p in r[0].panes] == [("rep", "One link item"), ("sum", "Two")]
+    assert {(s.kind, r[0].text[s.start : s.end].strip(), s.detail) for s in r[0].spans} == {("emphasis", "Ltd", ""), ("link", "link", "/x"), ("list", "item", "")}
+    assert r[1].text is None and r[2].text == "" and "no" not in r[0].text.split()
+
+
+def test_heading_confidence_and_pane_states(spark):
+    from casemill.operators import matching
+
+    sure = lambda **e: pages.heading_confidence(**{**dict(date_trailer=F.lit(False), unbalanced_quote=F.lit(False), chars=F.lit(30), words=F.lit(4), terminal=F.lit(False), upper_ratio=F.lit(0.1), numbered=F.lit(False)), **e})
+    cases = [({}, "medium"), ({"date_trailer": F.lit(True)}, "low"), ({"chars": F.lit(91), "upper_ratio": F.lit(1.0)}, "low"), ({"tag": F.lit("h2")}, "high"), ({"tag": F.lit("h2"), "terminal": F.lit(True), "words": F.lit(9)}, "low"), ({"upper_ratio": F.lit(0.8)}, "high"), ({"upper_ratio": F.lit(0.9), "in_cell": F.lit(True)}, "low"), ({"terminal": F.lit(True)}, "low"), ({"words": F.lit(10)}, "low"), ({"words": F.lit(10), "numbered": F.lit(True)}, "medium"), ({"words": F.lit(13), "emphasised": F.lit(True)}, "low")]
+    assert list(spark.range(1).select(*(sure(**e).alias(f"c{k}") for k, (e, _) in enumerate(cases))).first()) == [w for _, w in cases]
+    ids_ = lambda *x: F.array(*(F.lit(i) for i in x)) if x else F.array().cast("array<string>")
+    state = lambda own, head, title="", body="": matching.pane_state(own, head, F.lit(title), F.lit(body))
+    got = spark.range(1).select(state(ids_("A/1/2/20"), ids_()).alias("a"), state(ids_("A/1/2/20"), ids_("A/1/2/20")).alias("b"), state(ids_("A/1/2/20"), ids_("A/1/3/20")).alias("c"), state(ids_("A/1/2/20"), ids_("A/9/3/20")).alias("d"), state(ids_("A/1/2/20"), ids_("A/9/3/20"), "Paragraph 17").alias("e"), state(ids_("A/1/2/20"), ids_("A/9/3/20"), "", " During its consideration of").alias("f")).first()
+    assert list(got) == ["ok", "ok", "title typo", "mismatch", "arises from another", "arises from another"]
