@@ -169,10 +169,32 @@ class _Batch:
         d_table = np.stack([np.bincount(self.flat, wide[:, j], BUCKETS) for j in range(WIDTH)], axis=1)
         return [x.astype(np.float32) for x in (d_table, words.T @ d_adds, g.sum(axis=0))]
 
+    def message(self, model: Model, warm: bool) -> bytes:
+        """The gradient, of the table only the rows that the documents move, after their number and their places."""
+        table, *rest = self.gradient(model, warm)
+        moved = np.flatnonzero(table.any(axis=1)).astype(np.int32)
+        return b"".join((np.int32(len(moved)).tobytes(), moved.tobytes(), table[moved].tobytes(), *(x.tobytes() for x in rest)))
+
+
+def added(messages: list[bytes], model: Model) -> list[np.ndarray]:
+    """The sum of the gradients of some messages, in the shapes of the parts of a model."""
+    sums = [np.zeros(p.shape, np.float32) for p in model.parts()]
+    for m in messages:
+        n = int(np.frombuffer(m, np.int32, 1)[0])
+        moved = np.frombuffer(m, np.int32, n, 4)
+        rest = np.frombuffer(m, np.float32, -1, 4 + 4 * n)
+        sums[0][moved] += rest[: n * sums[0].shape[1]].reshape(n, -1)
+        at = n * sums[0].shape[1]
+        for x in sums[1:]:
+            x += rest[at : at + x.size].reshape(x.shape)
+            at += x.size
+    return sums
+
 
 def train(examples: DataFrame, outputs: int, seed: int = 0) -> Model:
     """Fits a model. examples: part int, text string, labels array<int>; at most TRAIN_DOCUMENTS rows, by part. In each
-    round every partition returns one gradient, whose size is fixed, and the sum moves the model (Adam)."""
+    round every partition returns one gradient, of fixed size at most and of the table only what its documents move, and
+    the sum moves the model (Adam)."""
     model = Model(outputs, seed)
     sc = examples.sparkSession.sparkContext
 
@@ -193,18 +215,16 @@ def train(examples: DataFrame, outputs: int, seed: int = 0) -> Model:
                 for part, packed in zip(b.part, b.batch, strict=True):
                     batch = pickle.loads(packed)
                     if batch.docs:
-                        yield pd.DataFrame({"part": [part], "docs": [batch.docs], "g": [b"".join(x.tobytes() for x in batch.gradient(now, warm))]})
+                        yield pd.DataFrame({"part": [part], "docs": [batch.docs], "g": [batch.message(now, warm)]})
 
         got = ready.mapInPandas(arrow_safe(partial), "part int, docs bigint, g binary").collect()  # TRAIN_PARTITIONS gradients
         shared.destroy()
         docs = sum(r.docs for r in got)
         if not docs:
             break
-        total = np.sum([np.frombuffer(r.g, np.float32) for r in sorted(got, key=lambda r: r.part)], axis=0) / docs
-        at = 0
-        for p, m, v in zip(model.parts(), means, squares, strict=True):
-            g = total[at : at + p.size].reshape(p.shape)
-            at += p.size
+        total = added([r.g for r in sorted(got, key=lambda r: r.part)], model)
+        for p, m, v, g in zip(model.parts(), means, squares, total, strict=True):
+            g = g / docs
             m *= 0.9
             m += 0.1 * g
             v *= 0.99
