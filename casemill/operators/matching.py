@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def longest_prefix(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, most_words: int) -> DataFrame:
-    """(key, name): the longest name of at most most_words words that a text begins with, words whole. Every text gives its
-    few prefixes, which are joined on equality; names are not scanned. Texts without a match have no row."""
+def longest_prefix(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(key, name): the longest name that a text begins with, words whole. Every text gives its prefixes of as many words as a
+    name has at most, which are joined on equality; names are not scanned. Texts without a match have no row."""
+    most_words = names.agg(F.max(F.size(F.split(F.col(name), " ")))).first()[0] or 1
     words = F.split(F.trim(F.col(text)), " ")
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(most_words))), lambda n: F.array_join(F.slice(words, 1, n), " "))
     spread = rows.where(F.col(text).isNotNull()).select(F.col(key), F.explode(prefixes).alias("_p"))

@@ -66,12 +66,6 @@ def sibling_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(declared.join(known, "b", "left_semi").select("a", "b").union(by_file).union(loops), "a", "b")
 
 
-def id_chain_closure(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"))
-    links = orders.where("id % 7 <> 0").select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))
-    return resolve.chain_ends(links, "old", "new")
-
-
 def id_chain_orders(spark: SparkSession, d: str) -> DataFrame:
     """Where the chain of each customer's orders in turn ends: every order counts, and chains are as long as customers buy."""
     from pyspark.sql import Window
@@ -150,8 +144,9 @@ def canonical_spelling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clause_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """All verdict rows, against a book of the parent clauses that they name themselves."""
     v = table(spark, d, "cases").select("case_number", F.explode("verdicts").alias("v")).select("case_number", F.col("v.code_year").alias("year"), F.col("v.clause").alias("clause")).where("year is not null and clause is not null")
-    book = v.where("year >= 2012").groupBy("year", F.regexp_replace("clause", r"\.[^.]*$", "").alias("clause")).agg(F.max("clause").alias("text"))
+    book = v.groupBy("year", F.regexp_replace("clause", r"\.[^.]*$", "").alias("clause")).agg(F.max("clause").alias("text"))
     return resolve.lookup_with_parent(v, book, ["year"], "clause", "text")
 
 
@@ -272,7 +267,7 @@ def table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("pane").agg(F.count("*").alias("panes"), F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (round_robin_rank, prefix_union, stratified_sample, hash_split, content_ids, dedupe_siblings, exact_copies, repeated_fetches, sibling_components, id_chain_closure, id_chain_orders, case_order, received_dates, code_year_witnesses, observed_code_years, date_coherence, appeal_fold, row_verdicts, verdict_flips, canonical_spelling, clause_lookup, reviewed_overrides, sentence_counts, repeated_sentences, redact_ids, upper_ratios, headings, section_offsets, clause_mentions, token_multiset, hyphen_decisions, contamination_containment, page_slugs, vocabulary_coverage, candidate_accounting, asymmetric_siblings, roster_difference, field_values, gate_report, table_sizes)}
+QUERIES = {f.__name__: f for f in (round_robin_rank, prefix_union, stratified_sample, hash_split, content_ids, dedupe_siblings, exact_copies, repeated_fetches, sibling_components, id_chain_orders, case_order, received_dates, code_year_witnesses, observed_code_years, date_coherence, appeal_fold, row_verdicts, verdict_flips, canonical_spelling, clause_lookup, reviewed_overrides, sentence_counts, repeated_sentences, redact_ids, upper_ratios, headings, section_offsets, clause_mentions, token_multiset, hyphen_decisions, contamination_containment, page_slugs, vocabulary_coverage, candidate_accounting, asymmetric_siblings, roster_difference, field_values, gate_report, table_sizes)}
 
 _ROBIN = f"""deep AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}|item|' || doc_id), doc_id) AS INTEGER) AS depth FROM documents WHERE source IS NOT NULL),
 ranked AS (SELECT *, row_number() OVER (ORDER BY depth, md5('{SEED}|case|' || source), source, doc_id) AS rank FROM deep)"""
@@ -300,8 +295,6 @@ SELECT doc_id, source FROM r ORDER BY p, size DESC, k, doc_id LIMIT 100""",
 e AS (SELECT a, b FROM s WHERE b IN (SELECT case_number FROM cases) UNION SELECT x.case_number, y.case_number FROM f x JOIN f y USING (f)),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT case_number AS node, case_number AS m FROM cases WHERE case_number IS NOT NULL UNION SELECT r.node, u.b FROM r JOIN u ON r.m = u.a)
 SELECT node, min(m) AS component FROM r GROUP BY node""",
-    "id_chain_closure": """WITH l AS (SELECT CAST(o_orderkey AS BIGINT) AS old FROM orders WHERE o_orderkey % 7 <> 0), x AS (SELECT old, old - row_number() OVER (ORDER BY old) AS g FROM l)
-SELECT old, max(old) OVER (PARTITION BY g) + 1 AS "end", max(old) OVER (PARTITION BY g) + 1 - old AS steps FROM x""",
     "id_chain_orders": """WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS old, max(o_orderkey) OVER w AS e, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders WHERE o_custkey IS NOT NULL WINDOW w AS (PARTITION BY o_custkey))
 SELECT old, CAST(e AS BIGINT) AS "end", n - r AS steps FROM o WHERE r < n""",
     "case_order": """WITH k AS (SELECT case_number, TRY_CAST(split_part(case_number, '/', 4) AS INTEGER) AS year, TRY_CAST(split_part(case_number, '/', 3) AS INTEGER) AS month, TRY_CAST(split_part(case_number, '/', 2) AS INTEGER) AS serial FROM cases WHERE case_number IS NOT NULL)
@@ -323,7 +316,7 @@ SELECT case_number, clause, panel, board, final, (pb AND pn) OR (bb AND bn) OR (
     "canonical_spelling": f"""WITH k AS (SELECT {_FOLD} AS key, respondent FROM pages WHERE respondent IS NOT NULL), c AS (SELECT key, respondent, count(*) AS n FROM k WHERE key <> '' GROUP BY 1, 2)
 SELECT key, respondent, n, count(*) OVER (PARTITION BY key) AS spellings, CAST(sum(n) OVER (PARTITION BY key) AS BIGINT) AS rows FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, length(respondent), respondent) = 1""",
     "clause_lookup": f"""WITH {_VERDICTS}, x AS (SELECT case_number, v.code_year AS year, v.clause AS clause FROM v WHERE v.code_year IS NOT NULL AND v.clause IS NOT NULL),
-book AS (SELECT year, regexp_replace(clause, '\\.[^.]*$', '') AS clause, max(clause) AS text FROM x WHERE year >= 2012 GROUP BY 1, 2)
+book AS (SELECT year, regexp_replace(clause, '\\.[^.]*$', '') AS clause, max(clause) AS text FROM x GROUP BY 1, 2)
 SELECT x.case_number, x.year, x.clause, coalesce(a.text, b.text) AS text, CASE WHEN a.text IS NOT NULL THEN 'own' WHEN b.text IS NOT NULL THEN 'parent' ELSE 'missing' END AS rung
 FROM x LEFT JOIN book a ON x.year = a.year AND x.clause = a.clause LEFT JOIN book b ON x.year = b.year AND contains(x.clause, '.') AND regexp_replace(x.clause, '\\.[^.]*$', '') = b.clause""",
     "reviewed_overrides": """WITH r AS (SELECT case_number, min(to_clause) AS value FROM slot_corrections WHERE case_number IS NOT NULL GROUP BY 1), j AS (SELECT c.case_number, c.appeal."by" AS "by", r.value, CASE WHEN length(r.value) > 3 THEN 'none' ELSE 'respondent' END AS pin FROM cases c LEFT JOIN r ON c.case_number = r.case_number)

@@ -32,6 +32,7 @@ def ledger_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """All receipts, against the plan of orders that are not in process: that is what makes orphans."""
     half = _plan(spark, d).where("o_orderstatus <> 'P'")
     return ledger.orphans(half, _receipts(spark, d), "call_id").groupBy("l_linestatus").agg(F.count("*").alias("receipts"), F.count_distinct("call_id").alias("calls"))
 
@@ -40,14 +41,7 @@ def ledger_missing_export(spark: SparkSession, d: str) -> DataFrame:
     return ledger.missing(_plan(spark, d), _receipts(spark, d), "call_id", _failed()).select("call_id", "o_orderstatus")
 
 
-def ledger_import_classify(spark: SparkSession, d: str) -> DataFrame:
-    results = _receipts(spark, d).where("line <= 2")
-    known = _plan(spark, d).where("o_orderstatus <> 'F'")
-    return ledger.classify_import(known, results, "call_id", _failed(), F.col("payload")).groupBy("outcome").agg(F.count("*").alias("calls"), F.sum("results").alias("results"))
-
-
 def ledger_import_classify_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ledger_import_classify, over all receipts of a call and not its first two lines."""
     known = _plan(spark, d).where("o_orderstatus <> 'F'")
     return ledger.classify_import(known, _receipts(spark, d), "call_id", _failed(), F.col("payload")).groupBy("outcome").agg(F.count("*").alias("calls"), F.sum("results").alias("results"))
 
@@ -123,7 +117,7 @@ def spans_to_next(spark: SparkSession, d: str) -> DataFrame:
     return intervals.spans_from_starts(events, ["user_id"], "at")
 
 
-QUERIES = {f.__name__: f for f in (ledger_coverage, ledger_orphans, ledger_missing_export, ledger_import_classify, ledger_import_classify_all, ledger_status_merge, catalog_conflicts, upsert_latest, latest_row_wins, first_import_wins, late_imports, asof_heading, range_containment, baseline_clusters, interval_union, interval_gaps, value_runs, spans_to_next)}
+QUERIES = {f.__name__: f for f in (ledger_coverage, ledger_orphans, ledger_missing_export, ledger_import_classify_all, ledger_status_merge, catalog_conflicts, upsert_latest, latest_row_wins, first_import_wins, late_imports, asof_heading, range_containment, baseline_clusters, interval_union, interval_gaps, value_runs, spans_to_next)}
 
 _SEC = "CAST(floor(epoch_us(ts) / 1000000) AS BIGINT)"
 _MERGED = f"""s AS (SELECT user_id, {_SEC} AS s, {_SEC} + 43200 AS e FROM events),
@@ -137,9 +131,6 @@ b AS (SELECT o_orderkey, coalesce(receipts, 0) AS receipts, coalesce(failures, 0
 SELECT CASE WHEN receipts = 0 THEN 'pending' WHEN receipts = failures THEN 'error' WHEN receipts - failures > 1 THEN 'duplicate' ELSE 'done' END AS state, count(*) AS calls, CAST(sum(receipts) AS BIGINT) AS receipts, CAST(sum(failures) AS BIGINT) AS failures FROM b GROUP BY 1""",
     "ledger_orphans": """SELECT l_linestatus, count(*) AS receipts, count(DISTINCT l_orderkey) AS calls FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P') GROUP BY 1""",
     "ledger_missing_export": """SELECT CAST(o_orderkey AS BIGINT) AS call_id, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R')""",
-    "ledger_import_classify": """WITH r AS (SELECT l_orderkey AS c, count(*) AS results, count_if(l_returnflag = 'R') AS f, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey % 3 END) AS d FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
-o AS (SELECT r.*, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN d > 1 THEN 'conflict' WHEN d = 0 THEN 'failed' WHEN results - f > 1 THEN 'repeated' ELSE 'completed' END AS outcome FROM r LEFT JOIN orders ON o_orderkey = c AND o_orderstatus <> 'F')
-SELECT outcome, count(*) AS calls, CAST(sum(results) AS BIGINT) AS results FROM o GROUP BY 1""",
     "ledger_import_classify_all": """WITH r AS (SELECT l_orderkey AS c, count(*) AS results, count_if(l_returnflag = 'R') AS f, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey % 3 END) AS d FROM lineitem GROUP BY 1),
 o AS (SELECT r.*, CASE WHEN o_orderkey IS NULL THEN 'unknown' WHEN d > 1 THEN 'conflict' WHEN d = 0 THEN 'failed' WHEN results - f > 1 THEN 'repeated' ELSE 'completed' END AS outcome FROM r LEFT JOIN orders ON o_orderkey = c AND o_orderstatus <> 'F')
 SELECT outcome, count(*) AS calls, CAST(sum(results) AS BIGINT) AS results FROM o GROUP BY 1""",

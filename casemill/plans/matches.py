@@ -14,7 +14,7 @@ ROLES = ["general practitioner", "hospital pharmacist", "ward sister", "journal
 
 def title_products(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "cases").select(F.explode("entities.products").alias("product"))
-    return matching.longest_prefix(table(spark, d, "documents"), "doc_id", "text", names, "product", 3)
+    return matching.longest_prefix(table(spark, d, "documents"), "doc_id", "text", names, "product")
 
 
 def first_roles(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ _PLACES = ", ".join(f"{{'at': instr(text, '{r}'), 'n': {n}, 'p': '{r}'}}" for n,
 
 ORACLE_SQL = {
     "title_products": """WITH n AS (SELECT DISTINCT unnest(entities.products) AS product FROM cases)
-SELECT doc_id, max_by(product, length(product)) AS product FROM documents JOIN n ON trim(text) = product OR starts_with(trim(text), product || ' ') WHERE len(string_split(product, ' ')) <= 3 GROUP BY doc_id""",
+SELECT doc_id, max_by(product, length(product)) AS product FROM documents JOIN n ON trim(text) = product OR starts_with(trim(text), product || ' ') GROUP BY doc_id""",
     "first_roles": f"SELECT list_min(list_filter([{_PLACES}], lambda x: x.at > 0)).p AS role, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "fetch_agreement": """SELECT file, count(*) AS versions, CASE WHEN count(DISTINCT respondent) = 1 THEN 'exact' WHEN count(DISTINCT trim(regexp_replace(respondent, '[ \\t\\r\\n]+', ' ', 'g'))) = 1 THEN 'blanks' WHEN count(DISTINCT regexp_replace(lower(respondent), '[^a-z0-9]+', '', 'g')) = 1 THEN 'marks' ELSE 'differs' END AS tier FROM pages WHERE file IS NOT NULL AND respondent IS NOT NULL GROUP BY file""",
     "source_integrity": f"""WITH n AS (SELECT page_id, coalesce(list_distinct(regexp_extract_all(case_number, '{_CASE}', 1)), []) AS a, coalesce(list_distinct(regexp_extract_all(title, '{_CASE}', 1)), []) AS b FROM pages)

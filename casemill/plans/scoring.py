@@ -132,6 +132,7 @@ def modal_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def linear_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Over the tasks whose answers are breach and no_breach, which one pool can orient."""
     rows = parsed(spark, d).where("answer is not null and p is not null and task in ('T1', 'T2')")
     return rounded(voting.linear_pool(rows, ["item_id", "model", "protocol"], "answer", "p", "breach", "no_breach"))
 
@@ -171,7 +172,7 @@ def headline_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deferral_levels(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(deferral.levels(scored(spark, d).where("task in ('T1', 'T2')"), COSTS, 100, ["task"]))
+    return rounded(deferral.levels(scored(spark, d), COSTS, 100, ["task"]))
 
 
 def matched_budget_loss(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +196,7 @@ def deferral_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def implied_bins(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(deferral.implied_bins(scored(spark, d).where("task in ('T1', 'T2')"), ["item_id", "model"], COSTS, 100))
+    return rounded(deferral.implied_bins(scored(spark, d), ["item_id", "model"], COSTS, 100))
 
 
 def monotone_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -372,14 +373,14 @@ m AS (SELECT ok.task, ok.model, any_value(c.k) AS k, count(*) AS n, avg(correct)
 SELECT task, row_number() OVER (PARTITION BY task ORDER BY round(brier, 9) NULLS LAST, model) AS place, model, k, n, round(accuracy, 9) AS accuracy, round(brier, 9) AS brier FROM m""",
     "headline_runs": f"""{_PARSED}, g AS (SELECT model, protocol, count(*) AS n, max(response_id) AS latest FROM parsed GROUP BY ALL)
 SELECT model, protocol, n, latest FROM g QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC, latest DESC, protocol) = 1""",
-    "deferral_levels": f"""{_OK}, g AS (SELECT unnest([5, 15, 25, 35, 45]) AS cost), x AS (SELECT task, cost, correct, (1 - p) * 100 > cost AS deferred FROM ok, g WHERE task IN ('T1', 'T2'))
+    "deferral_levels": f"""{_OK}, g AS (SELECT unnest([5, 15, 25, 35, 45]) AS cost), x AS (SELECT task, cost, correct, (1 - p) * 100 > cost AS deferred FROM ok, g)
 SELECT task, CAST(cost AS INTEGER) AS cost, count(*) AS n, round(avg(CAST(deferred AS INTEGER)), 9) AS deferral_rate, round(avg(CASE WHEN NOT deferred THEN correct END), 9) AS accuracy_answered, round(avg(CASE WHEN deferred THEN correct END), 9) AS accuracy_deferred, round(avg(CASE WHEN deferred THEN cost ELSE (1 - correct) * 100 END), 9) AS mean_loss FROM x GROUP BY task, cost""",
     "matched_budget_loss": f"""{_OK}, r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY p, response_id) AS n, sum(1 - correct) OVER (PARTITION BY task ORDER BY p, response_id ROWS UNBOUNDED PRECEDING) AS caught, sum(1 - correct) OVER (PARTITION BY task) AS wrong FROM ok WHERE split = 'test')
 SELECT task, n, round(n * 25.0::DOUBLE + 100.0::DOUBLE * (wrong - caught), 9) AS loss FROM r""",
     "optimal_budget": f"""{_OK}, r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY p, response_id) AS n, sum(1 - correct) OVER (PARTITION BY task ORDER BY p, response_id ROWS UNBOUNDED PRECEDING) AS caught, sum(1 - correct) OVER (PARTITION BY task) AS wrong FROM ok),
 b AS (SELECT * FROM r UNION ALL SELECT DISTINCT task, 0, 0, wrong FROM r), g AS (SELECT unnest({COSTS}) AS cost)
 SELECT task, CAST(cost AS INTEGER) AS cost, round(min(n * cost + 100.0::DOUBLE * (wrong - caught)), 9) AS best_loss FROM b, g GROUP BY task, cost""",
-    "implied_bins": f"""{_OK}, u AS (SELECT item_id, model, avg(1 - p) * 100 AS doubt FROM ok WHERE task IN ('T1', 'T2') GROUP BY ALL),
+    "implied_bins": f"""{_OK}, u AS (SELECT item_id, model, avg(1 - p) * 100 AS doubt FROM ok GROUP BY ALL),
 b AS (SELECT (SELECT count(*) FROM (SELECT unnest([5, 15, 25, 35, 45]) AS c) WHERE c < round(doubt, 9)) AS bin FROM u),
 s AS (SELECT unnest(range(6)) AS bin)
 SELECT CAST(s.bin AS INTEGER) AS bin, count(b.bin) AS n, CASE WHEN s.bin = 0 THEN 0.95::DOUBLE ELSE 1 - list_extract([5, 15, 25, 35, 45, 100], CAST(s.bin AS INTEGER) + 1) / 100 END AS low, CASE WHEN s.bin = 0 THEN 1.0::DOUBLE ELSE 1 - list_extract([5, 15, 25, 35, 45], CAST(s.bin AS INTEGER)) / 100 END AS high FROM s LEFT JOIN b ON s.bin = b.bin GROUP BY s.bin""",

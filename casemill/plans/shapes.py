@@ -80,8 +80,10 @@ def line_inner_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clause_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """All clauses of verdict rows, against the clauses that the items of the evaluation name under their Code year."""
     v = table(spark, d, "cases").select(F.explode("verdicts").alias("v")).select(F.col("v.code_year").alias("year"), F.col("v.clause").alias("clause"))
-    book = v.where("year is not null and clause is not null and year < 2019").distinct()
+    items = table(spark, d, "eval_items").select(F.col("clause_ref.code_year").alias("year"), F.col("clause_ref.clause").alias("clause"))
+    book = items.where("year is not null and clause is not null").distinct()
     years = book.select("year").distinct().withColumn("_y", F.lit(True))
     asked = v.distinct().join(years, "year", "left").join(book.withColumn("_b", F.lit(True)), ["year", "clause"], "left")
     exists = F.when(F.col("_y").isNull(), "unknown edition").when(F.col("_b"), "yes").otherwise("no")
@@ -150,7 +152,7 @@ SELECT file, page_id, CAST(f AS INTEGER) AS "fetch", array_to_string(c, ',') AS
 SELECT heading, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM h GROUP BY heading""",
     "line_inner_vocabulary": """WITH w AS (SELECT string_split_regex(trim(text), ' +') AS w FROM pdf_lines WHERE text IS NOT NULL), u AS (SELECT unnest(w[2:len(w) - 1]) AS word FROM w WHERE len(w) > 2)
 SELECT word, count(*) AS n FROM u WHERE regexp_matches(word, '^[a-z]+$') GROUP BY word""",
-    "clause_inventory": """WITH v AS (SELECT unnest(verdicts) AS v FROM cases), x AS (SELECT DISTINCT v.code_year AS year, v.clause AS clause FROM v), b AS (SELECT * FROM x WHERE year IS NOT NULL AND clause IS NOT NULL AND year < 2019)
+    "clause_inventory": """WITH v AS (SELECT unnest(verdicts) AS v FROM cases), x AS (SELECT DISTINCT v.code_year AS year, v.clause AS clause FROM v), b AS (SELECT DISTINCT clause_ref.code_year AS year, clause_ref.clause AS clause FROM eval_items WHERE clause_ref.code_year IS NOT NULL AND clause_ref.clause IS NOT NULL)
 SELECT year, CASE WHEN year IS NULL OR year NOT IN (SELECT year FROM b) THEN 'unknown edition' WHEN clause IN (SELECT clause FROM b WHERE b.year = x.year) THEN 'yes' ELSE 'no' END AS listed, count(*) AS clauses FROM x GROUP BY 1, 2""",
     "exclusion_reasons": """WITH r AS (SELECT list_sort(list_filter([CASE WHEN source IS NULL THEN 'no source' END, CASE WHEN text IS NULL THEN 'no text' END, CASE WHEN text = '' THEN 'empty text' END, CASE WHEN lang IS NULL THEN 'no language' END, CASE WHEN n_chars <> length(text) THEN 'stale size' END], lambda x: x IS NOT NULL)) AS r FROM documents)
 SELECT array_to_string(r, '; ') AS reasons, count(*) AS docs FROM r WHERE len(r) > 0 GROUP BY 1""",

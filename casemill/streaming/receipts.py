@@ -33,16 +33,16 @@ def sessions(stream: DataFrame, event_time: str, gap: str, by: list[str], latene
 
 
 def replay(stream: DataFrame, mode: str = "append", output: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, into Parquet (append) or memory (complete, for small results), and
-    returns the result as a table. Checkpoints live in the shared folder, so a restarted driver goes on where it was."""
+    """Runs a stream over all that is there now, into Parquet, and returns the result as a table. In mode complete
+    every batch writes the whole result anew, so that of the last one stays; nothing is kept in the driver. Checkpoints live in the shared folder, so a restarted driver goes on where it was."""
     spark = stream.sparkSession
     name = f"casemill_{uuid.uuid4().hex}"
     base = f"{shared_dir(spark)}/{name}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}-checkpoint").trigger(availableNow=True)
+    path = output or f"{base}-out"
     if mode == "append":
-        path = output or f"{base}-out"
-        writer.format("parquet").option("path", path).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(path)
-    query = writer.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return spark.table(name)
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
