@@ -324,6 +324,8 @@ SELECT case_number, CASE WHEN value IS NOT NULL AND pin = "by" THEN value ELSE "
     "sentence_counts": f"SELECT doc_id, CAST(len({_SENT}) AS INTEGER) AS sentences FROM documents WHERE text IS NOT NULL",
     "repeated_sentences": f"""WITH s AS (SELECT doc_id, unnest({_SENT}) AS text FROM documents WHERE text IS NOT NULL)
 SELECT substr(sha256({_COLLAPSE}), 1, 12) AS key, count(*) AS n, count(DISTINCT doc_id) AS docs FROM s GROUP BY 1 HAVING count(DISTINCT doc_id) > 1""",
+    "redact_ids": f"""WITH n AS (SELECT pane_id, text, list_distinct(regexp_extract_all(text, '{_CASE}', 1)) AS own FROM panes WHERE text IS NOT NULL)
+SELECT pane_id, CAST(len(own) AS INTEGER) AS ids, md5(list_reduce(list_prepend(text, list_reverse_sort(own)), lambda a, i: regexp_replace(a, regexp_escape(i) || '([^0-9]|$)', '[case]\\1', 'g'))) AS digest FROM n""",
     "upper_ratios": "SELECT line_id, round(coalesce(length(regexp_replace(text, '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 0), 0), 9) AS ratio FROM pdf_lines WHERE text IS NOT NULL",
     "headings": """WITH l AS (SELECT pane_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM panes WHERE text IS NOT NULL),
 r AS (SELECT *, coalesce(length(regexp_replace(text, '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(text, '[^A-Za-z]', '', 'g')), 0), 0) AS ratio, upper(trim(text)) AS u FROM l WHERE trim(text) <> '' AND length(text) <= 120)
