@@ -32,12 +32,13 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, source: str, toke
     without id, text or source are left out."""
     rows = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{source}`").cast("string").alias("source"), F.col(f"`{text}`").cast("string").alias("text")).where("doc is not null and source is not null and text is not null and text != ''")
     kind = rows.schema["doc"].dataType.simpleString()
+    with open(tokenizer, "rb") as f:  # executors need not have the file: a vocabulary of about a megabyte goes to them
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encoding = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             yield pd.DataFrame({"doc": b.doc, "source": b.source, "tokens": [len(encoding.encode_ordinary(t)) for t in b.text]})

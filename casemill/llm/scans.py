@@ -33,8 +33,8 @@ SURE_MARKS = "¬­"
 #: Months, in full and short.
 MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split()
 
-#: Candidates differ from the word seen by at most so many misread groups.
-MAX_MISREAD = 2
+#: Candidates differ from the word seen by at most so many misread groups, or one for every so many letters of a longer one.
+MAX_MISREAD, LETTERS_A_MISREAD = 2, 4
 #: A known word is doubted only where a candidate is so many times as frequent.
 DOUBT_RATIO = 50
 #: Lines at the top and at the bottom of a page among which its furniture stands: it may have slipped between others.
@@ -115,7 +115,8 @@ def _core(token: str) -> str:
 
 
 def misread_groups(seen: str, meant: str) -> tuple[str, ...] | None:
-    """The misread groups (seen>meant), at most MAX_MISREAD, that turn one word into the other; None if none do."""
+    """The misread groups (seen>meant), as few as there can be, that turn one word into the other; None if none do."""
+    most = max(MAX_MISREAD, len(meant) // LETTERS_A_MISREAD)
     border: dict[tuple[int, int], tuple[str, ...]] = {(0, 0): ()}
     while border:
         (i, j), steps = min(border.items(), key=lambda x: (x[0][0] + x[0][1], len(x[1])))
@@ -123,7 +124,7 @@ def misread_groups(seen: str, meant: str) -> tuple[str, ...] | None:
         if i == len(seen) and j == len(meant):
             return steps or None
         moves = [((i + 1, j + 1), steps)] if seen[i : i + 1] == meant[j : j + 1] != "" else []
-        if len(steps) < MAX_MISREAD:
+        if len(steps) < most:
             moves += [((i + n, j + len(m)), (*steps, f"{seen[i : i + n]}>{m}")) for n in (1, 2) if i + n <= len(seen) for m in _SEEN_FOR.get(seen[i : i + n], ()) if meant.startswith(m, j)]
         for at, way in moves:
             if at not in border or len(way) < len(border[at]):

@@ -406,3 +406,8 @@ def test_member_counts(spark):
     whole = [t for t in texts if t]
     for m in {c for t in whole for c in t} | {m for c in lookalikes.classes(set()) for m in c if len(m) > 1}:
         assert got.get(m, 0) == sum(t.count(m) for t in whole), ascii(m)
+
+
+def test_long_words_may_have_more_misreads():
+    groups = scans.misread_groups("recornrnendati0ns", "recommendations")
+    assert groups and len(groups) == 3 and scans.misread_groups("rn0rn", "mom") is None
