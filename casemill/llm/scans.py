@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,35 +134,57 @@ def misread_groups(seen: str, meant: str) -> tuple[str, ...] | None:
     return None
 
 
+class _CoreNumbers(dict):
+    """Numbers of the cores of tokens, # for tokens with digits, 0 for those that are no words."""
+
+    def __init__(self) -> None:
+        self.names, self.numbers = [""], {"": 0}
+
+    def __missing__(self, token: str) -> int:
+        c = core(token) or ("#" if re.search(r"\d", token) else "")
+        if c not in self.numbers:
+            self.numbers[c] = len(self.names)
+            self.names.append(c)
+        self[token] = n = self.numbers[c]
+        return n
+
+
+def _pieces_of(texts: Iterable[str], tokens: int) -> Iterator[list[str]]:
+    """Texts in lists of about so many tokens; a longer text is a list of its own."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t) // 6
+        if size >= tokens:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def corpus_counts(corpus: DataFrame, text: str) -> DataFrame:
     """(key, n): how often all texts of a corpus have each word and each pair of neighbouring words (key with a blank).
     Words with digits count as #. Null texts count nothing."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
-        pairs: Counter = Counter()
-        known: dict[str, str] = {}
-
-        def out() -> pd.DataFrame:
-            total = [(w, n) for w, n in words.items() if w] + [(f"{a} {b}", n) for (a, b), n in pairs.items() if a and b]
-            return pd.DataFrame(total, columns=["key", "n"])
-
+        known = _CoreNumbers()
         for b in batches:
-            for t in b.t:
-                cores = []
-                for w in t.split():
-                    c = known.get(w)
-                    if c is None:
-                        c = known[w] = core(w) or ("#" if re.search(r"\d", w) else "")
-                    cores.append(c)
-                words.update(cores)
-                pairs.update(zip(cores, cores[1:], strict=False))
-            if len(known) > COUNTED:
-                known.clear()
-            if len(pairs) > COUNTED:
-                yield out()
-                words, pairs = Counter(), Counter()
-        yield out()
+            for texts in _pieces_of(b.t, COUNTED):
+                if len(known) > COUNTED:
+                    known = _CoreNumbers()
+                tokens = [t.split() for t in texts]
+                ids = np.fromiter(map(known.__getitem__, chain.from_iterable(tokens)), np.int64)
+                if not len(ids):
+                    continue
+                names, kinds = known.names, len(known.names)
+                words = np.bincount(ids, minlength=kinds)
+                words[0] = 0  # what is no word
+                inner = np.ones(len(ids), bool)
+                inner[np.cumsum([len(t) for t in tokens])[:-1] % len(ids)] = False  # no pair over two texts
+                left, right = ids[:-1], ids[1:]
+                codes, n = np.unique((left * kinds + right)[inner[1:] & (left > 0) & (right > 0)], return_counts=True)
+                some = np.flatnonzero(words)
+                yield pd.DataFrame({"key": [names[k] for k in some] + [f"{names[x]} {names[y]}" for x, y in zip((codes // kinds).tolist(), (codes % kinds).tolist(), strict=True)], "n": np.concatenate([words[some], n])})
 
     rows = corpus.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
     return rows.mapInPandas(arrow_safe(count), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))

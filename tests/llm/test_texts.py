@@ -411,3 +411,17 @@ def test_member_counts(spark):
 def test_long_words_may_have_more_misreads():
     groups = scans.misread_groups("recornrnendati0ns", "recommendations")
     assert groups and len(groups) == 3 and scans.misread_groups("rn0rn", "mom") is None
+
+
+def test_corpus_counts(spark, monkeypatch):
+    assert scans.corpus_counts(spark.createDataFrame([("",), (" ",), (None,)], "t string").coalesce(1), "t").count() == 0
+    texts = ["The trial, the re-use of 3 items.", "", "the", None, "-- !", "trial the trial"]
+    for size in (1, 200_000):
+        monkeypatch.setattr(scans, "COUNTED", size)
+        got = {r.key: r.n for r in scans.corpus_counts(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()}
+        want = Counter()
+        for t in texts:
+            cores = [scans.core(w) or ("#" if any(c.isdigit() for c in w) else "") for w in (t or "").split()]
+            want.update(c for c in cores if c)
+            want.update(f"{a} {b}" for a, b in zip(cores, cores[1:], strict=False) if a and b)
+        assert got == dict(want)
