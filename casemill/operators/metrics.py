@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.operators.ordered import Ordered
-from casemill.runtime import cut
+from casemill.runtime import cut, spread
 
 #: Buckets of p between the two steps of running totals.
 BUCKETS = 1024
@@ -179,18 +179,23 @@ def resampled(rows: DataFrame, by: list[str], cluster: str, sums: list[str], dra
     """(by, draw, within, sums): the sums over rows, each cluster drawn as often as a hash of seed, cluster and draw says.
 
     Numbers of draws are Poisson distributed with mean 1, independently for each cluster: the bootstrap for data whose
-    clusters no machine can number. A row is multiplied where it is read and added up before the shuffle, which carries no
-    more than a row for each (by, draw, within) and task; nothing is broadcast and nothing joined. rows should be summed
+    clusters no machine can number. A row is multiplied and added up before the shuffle of the draws, which carries no more
+    than a row for each (by, draw, within) and task; nothing is broadcast and nothing joined. rows should be summed
     per cluster before. Rows with a null cluster are left out; a draw that takes no cluster has no row. Four draws share a
     hash: draw d takes the hex digits 8 (d mod 4) to 8 (d mod 4) + 8 of md5(seed|cluster|d div 4).
     """
     keys = [*by, "draw", *(within or [])]
-    spread = rows.where(F.col(cluster).isNotNull()).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
+    known = rows.where(F.col(cluster).isNotNull())
+    # Few rows make many draws: they are spread over all cores first.
+    fours = spread(known, *by, cluster, *(within or [])).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))))
     digits = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("_four")))
-    one = spread.withColumn("_h", digits).withColumn("_i", F.explode(F.array(*(F.lit(i) for i in range(4))))).withColumn("draw", (F.col("_four") * 4 + F.col("_i")).cast("int")).where(F.col("draw") < draws)
-    u = F.conv(F.expr("substring(_h, 8 * _i + 1, 8)"), 16, 10).cast("bigint")
-    weight = F.size(F.filter(F.array(*(F.lit(x) for x in POISSON)), lambda x: x <= F.col("_u")))
-    return one.withColumn("_u", u).withColumn("_w", weight).where("_w > 0").groupBy(*keys).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums))
+    u = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring("_h", 8 * i + 1, 8).alias("u")) for i in range(4))))
+    one = fours.withColumn("_h", digits).withColumn("_u", u).withColumn("draw", (F.col("_four") * 4 + F.col("_u.i")).cast("int")).where(F.col("draw") < draws)
+    # Eight hex digits stand in the order of their numbers.
+    weight = F.lit(len(POISSON))
+    for n in reversed(range(len(POISSON))):
+        weight = F.when(F.col("_u.u") < f"{POISSON[n]:08x}", n).otherwise(weight)
+    return one.withColumn("_w", weight).where("_w > 0").groupBy(*keys).agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums))
 
 
 def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, draws: int, seed: int, bins: int = 10) -> DataFrame:
