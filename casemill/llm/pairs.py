@@ -264,7 +264,7 @@ def defects(df: DataFrame, id_col: str, prompt_col: str, response_col: str, ruli
     blank or letterless response is empty. A null prompt can be neither copied nor differ in language. Repeated rows give
     repeated results, a null id is kept. Other columns of df are ignored. No rows give no rows.
     """
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{prompt_col}`").cast("string").alias("prompt"), F.col(f"`{response_col}`").cast("string").alias("response"))
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{prompt_col}`").cast("string").alias("prompt"), F.col(f"`{response_col}`").cast("string").alias("response"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, known = _Reader(ruling, ruling_keys), _Tokens()
@@ -285,15 +285,14 @@ def defects(df: DataFrame, id_col: str, prompt_col: str, response_col: str, ruli
                     yield _frame(len(counts), **{c: counts[c].to_numpy() for c in counts})
                     part, size = [], 0
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = cut(rows.mapInPandas(arrow_safe(read), f"id {kind}, {_READ}"))
+    found = cut(rows.mapInPandas(arrow_safe(read), f"id string, {_READ}"))
     model = found.where("inner is not null").groupBy("context").agg(F.sum("inner").alias("inner"), F.sum("boundary").alias("boundary")).select("context", ((F.col("boundary") + 0.5) / (F.col("inner") + F.col("boundary") + 1)).alias("chance"))
     asked = found.where("inner is null").drop("inner", "boundary").join(model, "context", "left")
     chance = F.coalesce("chance", F.col("ended").cast("double"))  # never seen: a sentence's end will do
     cut_off = F.col("context").isNotNull() & (chance < F.when(F.col("after"), BOUNDARY_CHANCE_RULED).otherwise(BOUNDARY_CHANCE))
     declined = F.col("refusal") if ruling is None else ~F.col("ruled")
     defect = F.when(F.col("defect").isNotNull(), F.col("defect")).when(cut_off & ~(F.col("refusal") & F.col("ended")), "truncated").when(cut_off | declined, "refusal")
-    return asked.select(F.col("id").alias(id_col), defect.alias("defect")).where("defect is not null")
+    return asked.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), defect.alias("defect")).where("defect is not null")
 
 
 def _frame(n: int, **columns) -> pd.DataFrame:
@@ -304,14 +303,15 @@ def _frame(n: int, **columns) -> pd.DataFrame:
 
 def copy_ratios(df: DataFrame, id_col: str, prompt_col: str, response_col: str) -> DataFrame:
     """(id, ratio): bytes per byte of each response, compressed with its prompt; 1 where either is null or blank."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{prompt_col}`").cast("string").alias("prompt"), F.col(f"`{response_col}`").cast("string").alias("response"))
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{prompt_col}`").cast("string").alias("prompt"), F.col(f"`{response_col}`").cast("string").alias("response"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _Reader(RULING, RULING_WORDS)
         for b in batches:
             yield pd.DataFrame({"id": b.id, "ratio": [reader.copies.ratio(_plain(p or ""), _plain(reader.parts(r or "")[0])) for p, r in zip(b.prompt, b.response, strict=True)]})
 
-    return rows.mapInPandas(arrow_safe(measure), f"id {rows.schema['id'].dataType.simpleString()}, ratio double").withColumnRenamed("id", id_col)
+    made = rows.mapInPandas(arrow_safe(measure), "id string, ratio double")
+    return made.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), "ratio")
 
 
 __all__ = ["COPY_RATIO", "RULING", "RULING_WORDS", "copy_ratios", "defects", "language_counts", "other_language"]

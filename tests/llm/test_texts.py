@@ -425,3 +425,9 @@ def test_corpus_counts(spark, monkeypatch):
             want.update(c for c in cores if c)
             want.update(f"{a} {b}" for a, b in zip(cores, cores[1:], strict=False) if a and b)
         assert got == dict(want)
+
+
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame([(2**60 + 1, QUESTION, ""), (None, QUESTION, ""), (2**60 + 2, QUESTION, QUESTION)], "response_id bigint, question string, content string").coalesce(1)
+    assert {tuple(r) for r in _defects(df).collect()} == {(2**60 + 1, "empty"), (None, "empty"), (2**60 + 2, "copies_question")}
+    assert {r.response_id for r in pairs.copy_ratios(df, "response_id", "question", "content").collect()} == {2**60 + 1, None, 2**60 + 2}
