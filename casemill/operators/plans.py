@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,17 @@ def canonical_digest(fields: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
 
 
+def carry_identity(rows: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """(by, n, whole): whether every row of a group has all the fields that tell it from others."""
+    present = reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in fields))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(present).alias("whole"))
+
+
+def banded(rate: Column, high: float, low: float) -> Column:
+    """high at a rate of at least high, low at one of at most low, else between; null for null."""
+    return F.when(rate >= high, "high").when(rate <= low, "low").when(rate.isNotNull(), "between")
+
+
 def pair_key(*parts: Column) -> Column:
     """One key of several parts, arrays among them in their order; null parts are told from missing ones."""
     return F.sha2(F.to_json(F.struct(*(p.alias(f"p{n}") for n, p in enumerate(parts))), {"ignoreNullFields": "false"}), 256)

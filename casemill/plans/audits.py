@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import ids
 from casemill.functions import text as t
-from casemill.operators import alignment, audits, gates, intervals, layout, ledger, matching, plans, ranking, resolve, vocabulary, voting
+from casemill.operators import alignment, audits, deferral, gates, intervals, layout, ledger, matching, plans, ranking, resolve, vocabulary, voting
 from casemill.operators.metrics import rounded
 from casemill.plans import scoring
 from casemill.plans.corpus import _CASE, _ISO, _VERDICTS
@@ -219,7 +219,17 @@ def flow_alignment(spark: SparkSession, d: str) -> DataFrame:
     return alignment.align(flows.join(texts, "file").select("file", "flow_text", "report"), "file", "report", "flow_text")
 
 
-QUERIES = {f.__name__: f for f in (line_reslices, prose_not_listed, verdict_audit, correction_audit, corrected_clauses, import_aliases, pair_keys, paired_rank, rectangle_problems, answer_cells, vote_board, switch_summary, year_ladder, page_dates, pane_states, case_id_forms, residual_serials, item_clusters, slash_compounds, cost_bounds, cumulative_calls, url_years, date_gate, page_gutters, page_reading_order, page_bands, page_band_cuts, flow_alignment)}
+def call_identity(spark: SparkSession, d: str) -> DataFrame:
+    return plans.carry_identity(table(spark, d, "responses"), ["model", "protocol"], ["call_id", "item_id", "repeat_index"])
+
+
+def deferral_bands(spark: SparkSession, d: str) -> DataFrame:
+    """How models defer at each cost: at 0.40 or more, at 0.05 or less, or between."""
+    made = deferral.levels(scoring.scored(spark, d), scoring.COSTS, 100, ["model"])
+    return made.select("model", "cost", plans.banded(F.col("deferral_rate"), 0.40, 0.05).alias("band"))
+
+
+QUERIES = {f.__name__: f for f in (line_reslices, prose_not_listed, verdict_audit, correction_audit, corrected_clauses, import_aliases, pair_keys, paired_rank, rectangle_problems, answer_cells, vote_board, switch_summary, year_ladder, page_dates, pane_states, case_id_forms, residual_serials, item_clusters, slash_compounds, cost_bounds, cumulative_calls, url_years, date_gate, page_gutters, page_reading_order, page_bands, page_band_cuts, flow_alignment, call_identity, deferral_bands)}
 
 _FILES = "f AS (SELECT case_number, unnest(source_files) AS file FROM cases), cp AS (SELECT f.case_number, p.text FROM panes p JOIN f USING (file) WHERE p.text IS NOT NULL)"
 _STATED = lambda c: f"nullif(concat(regexp_extract({c}, '{STATED}', 1), regexp_extract({c}, '{STATED}', 2)), '')"
@@ -283,6 +293,13 @@ SELECT pane_id, CASE WHEN len(head) = 0 OR list_has_any(own, head) THEN 'ok' WHE
  WHEN coalesce(regexp_matches(title, '(?i)Paragraph 17|During (?:its|the) consideration of'), false) OR regexp_matches(text, '(?i)^\\s*During (?:its|the) consideration of') THEN 'arises from another' ELSE 'mismatch' END AS state FROM p""",
     "case_id_forms": """SELECT case_id, concat_ws('/', upper(split_part(case_number, '/', 1)), lpad(split_part(case_number, '/', 2), 4, '0'), CAST(CAST(split_part(case_number, '/', 3) AS INTEGER) AS VARCHAR), right(split_part(case_number, '/', 4), 2)) AS canonical, CAST(split_part(case_number, '/', 2) AS INTEGER) AS serial,
  replace(case_number, '/', '-') || '.html' AS file_name, true AS same FROM cases""",
+    "residual_serials": f"""WITH n AS (SELECT pane_id, text, list_distinct(regexp_extract_all(text, '{_CASE}', 1)) AS own FROM panes WHERE text IS NOT NULL),
+r AS (SELECT pane_id, list_distinct(list_transform(own, lambda x: CAST(split_part(x, '/', 2) AS INTEGER))) AS s, list_reduce(list_prepend(text, list_reverse_sort(own)), lambda a, i: regexp_replace(a, regexp_escape(i) || '([^0-9]|$)', '[case]\\1', 'g')) AS rest FROM n),
+m AS (SELECT pane_id, s, list_transform(regexp_extract_all(rest, '(?i)(?:\\b[a-z]{{2,6}}[ \t]?[/\\\\-][ \t]?([0-9]{{2,5}})\\b)|(?:\\b([0-9]{{2,5}})[ \t]*[/\\\\,-][ \t]*[0-9])', 0), lambda x: CAST(regexp_extract(x, '([0-9]{{2,5}})', 1) AS INTEGER)) AS k FROM r)
+SELECT pane_id, CAST(len(s) AS INTEGER) AS serials, array_to_string(list_transform(list_sort(list_intersect(k, s)), lambda x: CAST(x AS VARCHAR)), ',') AS "left" FROM m""",
+    "call_identity": "SELECT model, protocol, count(*) AS n, bool_and(call_id IS NOT NULL AND item_id IS NOT NULL AND repeat_index IS NOT NULL) AS whole FROM responses GROUP BY 1, 2",
+    "deferral_bands": f"""WITH {scoring.SCORED}, ok AS (SELECT * FROM scored WHERE p IS NOT NULL AND correct IS NOT NULL), g AS (SELECT CAST(unnest({scoring.COSTS}) AS INTEGER) AS cost), r AS (SELECT model, cost, avg(CAST((1 - p) * 100 > cost AS INTEGER)) AS rate FROM ok, g GROUP BY 1, 2)
+SELECT model, cost, CASE WHEN rate >= 0.40 THEN 'high' WHEN rate <= 0.05 THEN 'low' ELSE 'between' END AS band FROM r""",
     "item_clusters": """WITH c AS (SELECT case_number, coalesce(list_filter(tags, lambda x: starts_with(x, 'inter_')), []) AS o FROM eval_items) SELECT CASE WHEN len(o) = 0 THEN 'case:' || case_number WHEN len(o) = 1 THEN o[1] END AS cluster, count(*) AS items FROM c GROUP BY 1""",
     "slash_compounds": """WITH x AS (SELECT complainant AS t FROM pages UNION ALL SELECT text FROM panes), m AS (SELECT unnest(regexp_extract_all(t, '[A-Za-z]+ ?/ ?[A-Za-z]+', 0)) AS m FROM x WHERE t IS NOT NULL),
 c AS (SELECT lower(regexp_extract(m, '([A-Za-z]+) ?/( ?)([A-Za-z]+)', 1)) AS "left", lower(regexp_extract(m, '([A-Za-z]+) ?/( ?)([A-Za-z]+)', 3)) AS "right", regexp_extract(m, '([A-Za-z]+) ?/( ?)([A-Za-z]+)', 2) AS gap FROM m)
