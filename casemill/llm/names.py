@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.operators.graph import components
@@ -478,10 +478,11 @@ def cluster_names(names: DataFrame, column: str) -> DataFrame:
 
     Works without a list of known names. A spelling is reduced to its sorted distinctive words (words broken in two joined
     where the whole is the more frequent, given names by GIVEN_NAMES). Two of them meet where they agree in the phonetic
-    codes of their sorted words, from the front or the back, and in what is left after deletions; in each such block
-    every one meets the most frequent one of it, so no block makes more pairs than it has members. A pair is accepted within
-    NAME_EDITS and Jaro-Winkler NAME_LIKE, for each spelling the nearest. Truncated words, acronyms and initials go to
-    the cluster that has DOMINANT of the rows they may stand for. Accepted pairs are clustered by connected components,
+    codes of their sorted words, from the front or the back, and in what is left after deletions. Every such pair within
+    NAME_EDITS and Jaro-Winkler NAME_LIKE is accepted, but for words cut off: a word with which a longer one begins that is
+    written as often is near only to whole words written still more often. Accepted pairs are clustered by connected
+    components: first those of each block with its most frequent spelling, then all between different components in
+    one block. Truncated words, acronyms and initials go to the cluster that has DOMINANT of the rows they may stand for,
     and a cluster is split by its generic words (generic_groups). Null and blank names are left out.
     """
     forms = cut(names.select(F.trim(F.col(f"`{column}`").cast("string")).alias("form")).where("form is not null and form != ''").groupBy("form").agg(F.count("*").alias("n")))
@@ -521,40 +522,53 @@ def cluster_names(names: DataFrame, column: str) -> DataFrame:
 
     coded = cut(typed.join(mended, "form", "left").mapInPandas(arrow_safe(reduce), "form string, n bigint, words string, letters string, said array<string>"))
     sets = cut(coded.groupBy("words").agg(F.sum("n").alias("n")).withColumn("id", F.xxhash64("words")))
-    # A word with which a longer one begins that is written as often is cut off, not misspelt.
+    # A word with which a longer one begins that is written as often is cut off; it is misspelt where it is near a whole
+    # word that is written still more often.
     starts = F.explode(F.expr("transform(sequence(5, length(words) - 1), k -> substring(words, 1, k))")).alias("short")
     cut_off = sets.where("instr(words, ' ') = 0 and length(words) > 5").select(starts, "words", "n")
-    shortened = cut(cut_off.groupBy("short").agg(F.max("n").alias("most")).join(sets.select(F.col("words").alias("short"), "n"), "short").where("most >= n").select(F.col("short").alias("words")))
+    shortened = cut(cut_off.groupBy("short").agg(F.max("n").alias("most")).join(sets.select(F.col("words").alias("short"), "n"), "short").where("most >= n").select(F.col("short").alias("words"), "most"))
+    sides = cut(sets.join(shortened, "words", "left"))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
                 at, keys = block_keys(part.words.tolist())
-                yield pd.DataFrame({"key": keys, "id": part.id.to_numpy()[at], "n": part.n.to_numpy()[at]})
+                yield pd.DataFrame({"key": keys, "id": part.id.to_numpy()[at], "n": part.n.to_numpy()[at], "cut": part.cut.to_numpy()[at]})
 
-    blocks = cut(spread(sets.join(shortened, "words", "left_anti"), "words").mapInPandas(arrow_safe(keyed), "key bigint, id bigint, n bigint"))
-    tops = blocks.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("n"), "id")).alias("top"), F.count("*").alias("size")).where("size > 1").select("key", F.col("top.id").alias("top"))
-    met = blocks.join(tops, "key").where("id != top").select("id", "top").distinct()
-    side = lambda i, w, n: sets.select(F.col("id").alias(i), F.col("words").alias(w), F.col("n").alias(n))
+    in_block = Window.partitionBy("key")
+    top, size = F.min(F.struct("cut", (-F.col("n")).alias("n"), "id")).over(in_block), F.count("*").over(in_block)
+    keys = spread(sides.select("words", "id", "n", F.expr("most is not null").alias("cut")), "words").mapInPandas(arrow_safe(keyed), "key bigint, id bigint, n bigint, cut boolean")
+    blocks = cut(keys.select("key", "id", top["id"].alias("top"), size.alias("size")).where("size > 1").drop("size"))
+    side = lambda s: sides.select(F.col("id").alias("id" if s == "x" else "other"), F.col("words").alias(s), F.col("n").alias(f"n_{s}"), F.col("most").alias(f"most_{s}"))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for x, y, n in zip(b.x, b.y, b.n_y, strict=True):
-                d = edits(x, y, NAME_EDITS)
-                if d <= NAME_EDITS and (like := jaro_winkler(x, y)) >= NAME_LIKE and any(a == c for a, c in zip(codes(x), codes(y), strict=True)):
-                    out.append((x, y, d, like, n))
-            yield pd.DataFrame(out, columns=["x", "y", "d", "like", "n"])
-
-    pairs = met.join(side("id", "x", "n_x"), "id").join(side("top", "y", "n_y"), "top").select("x", "y", "n_y")
-    accepted = spread(pairs, "x").mapInPandas(arrow_safe(near), "x string, y string, d int, like double, n bigint")
-    links = accepted.groupBy("x").agg(F.min(F.struct("d", (-F.col("like")).alias("like"), (-F.col("n")).alias("n"), "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+            for x, y in zip(b.x, b.y, strict=True):
+                if edits(x, y, NAME_EDITS) <= NAME_EDITS and jaro_winkler(x, y) >= NAME_LIKE and any(a == c for a, c in zip(codes(x), codes(y), strict=True)):
+                    out.append((x, y))
+            yield pd.DataFrame(out, columns=["x", "y"])
+
+    def accepted(met: DataFrame) -> DataFrame:
+        both = met.distinct().join(side("x"), "id").join(side("y"), "other")
+        pairs = both.where("most_x is null and (most_y is null or n_x > most_y) or most_y is null and n_y > most_x").select("x", "y")
+        return cut(spread(pairs, "x", "y").mapInPandas(arrow_safe(near), "x string, y string"))
+
     own = sets.select(F.col("words").alias("x"), F.col("words").alias("y"))
-    first = cut(components(links.union(own), "x", "y").withColumnRenamed("node", "words").join(sets, "words"))
+    links = accepted(blocks.where("id != top").select("id", F.col("top").alias("other")))
+    linked = cut(components(links.union(own), "x", "y"))
+    # Pairs inside one component would change nothing. Where a block holds several components, all pairs between them meet.
+    part = linked.select(F.xxhash64("node").alias("id"), F.xxhash64("component").alias("part"))
+    mixed = blocks.select("key", "id").join(part, "id").select("*", F.min("part").over(in_block).alias("low"), F.max("part").over(in_block).alias("high")).where("low < high")
+    mixed = cut(mixed.select("key", "id", "part"))
+    between = mixed.join(mixed.select("key", F.col("id").alias("other"), F.col("part").alias("part_b")), "key").where("part < part_b").select("id", "other")
+    first = cut(components(accepted(between).union(linked), "x", "y").withColumnRenamed("node", "words").join(sides, "words"))
+    # A word cut off that has links after all is misspelt, and stands for nothing longer.
+    misspelt = first.where("most is not null").join(first.groupBy("component").count().where("count > 1"), "component").select("words")
 
     # Shortened names: what each may stand for, by cluster.
-    whole = cut_off.join(shortened, "words", "left_anti").join(first.select("words", "component"), "words").select("short", "component", "n")
+    whole = cut_off.join(shortened.join(misspelt, "words", "left_anti"), "words", "left_anti").join(misspelt.withColumnRenamed("words", "short"), "short", "left_anti").join(first.select("words", "component"), "words").select("short", "component", "n")
     initial = first.where("instr(words, ' ') > 0").select(F.explode(F.expr("transform(sequence(0, size(split(words, ' ')) - 1), k -> array_join(array_sort(transform(split(words, ' '), (w, i) -> if(i = k, substring(w, 1, 1), w))), ' '))")).alias("short"), "component", "n")
     acronym = coded.where("length(letters) >= 3 and instr(words, ' ') > 0").select(F.col("letters").alias("short"), "words", "n").join(first.select("words", "component"), "words").select("short", "component", "n")
     stands = whole.union(initial).union(acronym).groupBy("short", "component").agg(F.sum("n").alias("n"))

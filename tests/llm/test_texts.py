@@ -232,6 +232,36 @@ def test_name_clusters_against_the_known_names(spark):
     assert both / len(same) > 0.9 and both / len(mine) > 0.98
 
 
+def test_name_clusters_link_every_near_pair(spark):
+    r = random.Random(8)
+    rows = ["morvestaris"] * 125 + ["morvetairs", "morvsetaris", "morrvetaris"]
+    for base in ("yarrinumbra", "yamdrinulen", "ruawaldethis", "aldovaris", "nordorin", "pelhamorin lorimical dremontical"):
+        for _ in range(40):
+            w = base
+            for _ in range(r.choice([1, 2, 2, 3])):
+                k = r.randrange(1, len(base) - 4)
+                w = r.choice([w[:k] + w[k + 1 :], w[:k] + r.choice("adegmrw") + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + r.choice("adegmrw") + w[k + 1 :]])
+            rows += [" ".join(sorted(w.split()))] * r.choice([1, 1, 1, 2, 5])
+    forms = sorted(set(rows))
+    assert not any(a != b and b.startswith(a) for a in forms for b in forms)
+    of = {x.form: x.entity for x in _clusters(spark, rows)}
+    near = lambda a, b: names.edits(a, b, 2) <= names.NAME_EDITS and names.jaro_winkler(a, b) >= names.NAME_LIKE and any(c == d for c, d in zip(names.codes(a), names.codes(b), strict=True))
+    want = {f: f for f in forms}
+    for k, a in enumerate(forms):
+        for b in forms[k + 1 :]:
+            if near(a, b) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {f: low if w == high else w for f, w in want.items()}
+    assert of == want
+
+
+def test_name_clusters_tell_cut_off_words_from_misspelt_ones(spark):
+    rows = ["Kirbrandyxis"] * 5 + ["Kirbrandxs", "Kirbrandxsde"] + ["Kirbrandonde"] * 5 + ["Pelhamanto"] * 3 + ["Pelhammoor"] * 3 + ["Pelhama", "Pelhamm"]
+    of = {r.form: r.entity for r in _clusters(spark, rows)}
+    assert of["Kirbrandxs"] == of["Kirbrandyxis"] != of["Kirbrandxsde"] == of["Kirbrandonde"]
+    assert of["Pelhama"] == of["Pelhamanto"] != of["Pelhamm"] == of["Pelhammoor"]
+
+
 def test_blocks_hold_every_near_pair():
     r = random.Random(6)
 
